@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, chat, topk
+from tidemark.llm import ann, bpe, chat, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk_bitsliced": topk.op2_topk_bitsliced,
     "op3_ann_projections": ann.op3_ann_projections,
+    "op6_bpe_roundtrip": bpe.op6_bpe_roundtrip,
     "op7_chat_format": chat.op7_chat_format,
 }
 
