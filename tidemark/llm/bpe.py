@@ -1,30 +1,35 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Texts are split into words in blocks of whole documents. A block lists its distinct words once; a document keeps, by
-   position, the number of each of its words in that list.
-2. The distinct words of all blocks are encoded once each. Their ids meet an id-to-piece table; the pieces of a word, in
-   order, decode it.
-3. Ids and decoded words go back to the blocks that list the word, and by position into the documents.
+1. Texts are split into words, in blocks of whole documents of one input partition. A block lists each of its words
+   once, and keeps the number of the word at each position of its documents.
+2. The lists meet in groups by a hash of the word. There each distinct word is encoded once.
+3. The ids go back to the blocks that list the word. Each word's ids are joined with the id-to-piece table, whose pieces
+   decode it; by position, ids and decoded words make up the documents again.
 
 A word here is a stretch of text that the tokenizer's own splitting never joins with its neighbours: a run of white space
-with the run of other characters after it. Special tokens are words of their own.
+with the run of other characters after it. Special tokens are words of their own. What is shuffled is packed: a list of
+words in alphabetic order, ids in that order, positions by frequency of the word.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import read, written
 
 #: Characters of text in a block; a longer document is a block of its own.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 32_000_000
+#: Groups of the word table for each input partition; a group holds about as many words at every size of the input.
+GROUPS_PER_PARTITION = 8
 #: White space as the tokenizer sees it: without the four separators that Python's \s has besides.
 CHUNKS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 
@@ -51,42 +56,104 @@ def words_of(text: str, special: re.Pattern | None) -> list[str]:
     return CHUNKS.findall(text)
 
 
-def split_blocks(special: list[str]):
-    """Rows of a partition as blocks: rows that carry a document's positions, and one row that lists the block's words."""
+class Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
 
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def pack(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """int32 values byte by byte: first all low bytes, and so on, which packs better."""
+    return values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+
+
+BLOCKS = "block long, group_no int, doc_ids array<long>, lengths array<int>, data binary, places binary"
+
+
+def pack_block(block: int, docs: list[tuple], numbers: Numbers, n_groups: int) -> Iterator[tuple]:
+    """A row with the positions of all documents, and for each group a row with the block's words of that group.
+
+    Positions tell words by their rank in frequency; places tells where in the list of (group, word) each rank stands.
+    """
+    words = np.array(list(numbers), dtype=object)
+    flat = np.concatenate([x for _, x in docs])
+    by_count = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), np.int32)
+    rank[by_count] = np.arange(len(words))
+    group = np.fromiter((zlib.crc32(w.encode()) % n_groups for w in words), np.int64, len(words))
+    listed = np.array(sorted(range(len(words)), key=lambda i: (group[i], words[i])), dtype=np.int64)
+    place = np.empty(len(words), np.int32)
+    place[listed] = np.arange(len(words))
+    yield block, None, [x for x, _ in docs], [len(x) for _, x in docs], pack(planes(rank[flat])), pack(planes(place[by_count]))
+    ends = np.flatnonzero(np.diff(group[listed], append=-1)) + 1
+    for own in np.split(listed, ends[:-1]) if len(listed) else []:
+        yield block, int(group[own[0]]), None, None, pack(word_list(words[own])), None
+
+
+def word_list(words) -> bytes:
+    sizes = np.fromiter((len(w.encode()) for w in words), "<u4", len(words))
+    return len(words).to_bytes(8, "little") + sizes.tobytes() + "".join(words).encode()
+
+
+def from_word_list(data: bytes) -> list[str]:
+    n = int.from_bytes(data[:8], "little")
+    at = 8 + 4 * n + np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u4", n, 8), dtype=np.int64)])
+    return [data[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def split_blocks(special: list[str], n_groups: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         pattern = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         part, n_block, chars = TaskContext.get().partitionId(), 0, 0
-        seen: dict[str, int] = {}
+        numbers, docs = Numbers(), []
+
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame(pack_block((part << 32) + n_block, docs, numbers, n_groups), columns=["block", "group_no", "doc_ids", "lengths", "data", "places"]).astype({"group_no": "Int32"})
+
         for batch in batches:
-            docs: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].array, batch["text"], strict=True):
                 words = words_of(text or "", pattern)
-                at = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words))
-                docs.append((None if pd.isna(doc_id) else doc_id, (part << 32) + n_block, at.tobytes(), None))
+                docs.append((None if pd.isna(doc_id) else int(doc_id), np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))))
                 chars += len(text or "")
                 if chars >= BLOCK_CHARS:
-                    docs.append((None, (part << 32) + n_block, None, list(seen)))
-                    seen, chars, n_block = {}, 0, n_block + 1
-            yield pd.DataFrame(docs, columns=["doc_id", "block", "positions", "words"]).astype({"doc_id": "Int64"})
-        if seen:
-            yield pd.DataFrame([(None, (part << 32) + n_block, None, list(seen))], columns=["doc_id", "block", "positions", "words"]).astype({"doc_id": "Int64"})
+                    yield rows()
+                    numbers, docs, chars, n_block = Numbers(), [], 0, n_block + 1
+        if docs:
+            yield rows()
 
     return run
 
 
-def encoder(path: str):
-    """A scalar function word -> ids that takes a batch of words at a time."""
+def encode_group(path: str):
+    """Of a group's lists each distinct word is encoded once; a list's ids stand in the order of its words."""
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = tokenizer(path)
-        for words in batches:
-            yield pd.Series([x.ids for x in own.encode_batch(words.tolist(), add_special_tokens=False)])
+    def run(lists: pd.DataFrame) -> pd.DataFrame:
+        lists_of = [from_word_list(unpack(x)) for x in lists["data"]]
+        numbers = Numbers()
+        at = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words in lists_of]
+        found = [x.ids for x in tokenizer(path).encode_batch(list(numbers), add_special_tokens=False)]
+        ids = np.array([np.array(x, "<i4") for x in found] + [None], dtype=object)[:-1]
+        size = np.fromiter(map(len, found), "<i4", len(found))
+        packed = [pack(len(x).to_bytes(8, "little") + size[x].tobytes() + b"".join(y.tobytes() for y in ids[x])) for x in at]
+        return pd.DataFrame({"in_block": lists["block"], "group_no": lists["group_no"], "ids": packed})
 
-    return encode
+    return run
 
 
 def byte_of_piece_char() -> dict[str, int]:
@@ -96,59 +163,64 @@ def byte_of_piece_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """id int, piece binary: the vocabulary, whose size the tokenizer's file fixes."""
-    of, special = byte_of_piece_char(), {x.content for x in tokenizer(path).get_added_tokens_decoder().values()}
-    rows = [(i, bytearray(p.encode() if p in special else bytes(of[c] for c in p))) for p, i in tokenizer(path).get_vocab(with_added_tokens=True).items()]
-    return spark.createDataFrame(rows, "id int, piece binary")
-
-
-def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """word, ids, decoded, of distinct words. They stay dealt by word throughout, so nothing but the distinct is shuffled."""
-    ids = words.select("word").distinct().withColumn("ids", encoder(path)("word"))
-    each = ids.select("word", "ids", F.posexplode("ids").alias("at", "id")).join(F.broadcast(pieces(words.sparkSession, path)), "id")
-    piece = F.struct("at", F.hex("piece").alias("piece"))
-    whole = each.groupBy("word").agg(F.first("ids").alias("ids"), F.array_sort(F.collect_list(piece)).alias("found"))
-    text = F.decode(F.unhex(F.array_join(F.transform("found", lambda x: x["piece"]), "")), "UTF-8")
-    return whole.select("word", "ids", text.alias("decoded"))
-
-
-def put_back(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """Ids and decoded text of the documents of a block, by position."""
-    order = np.argsort(words["at"].to_numpy())
-    ids = words["ids"].to_numpy()[order]
-    as_text = np.array([",".join(map(str, x)) for x in ids], dtype=object)
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    decoded = words["decoded"].to_numpy()[order]
-    out = []
-    for doc_id, positions in zip(docs["doc_id"].array, docs["positions"], strict=True):
-        at = np.frombuffer(positions, np.int32)
-        n = int(size[at].sum())
-        out.append((doc_id, n, hashlib.sha256(",".join(as_text[at].tolist()).encode()).hexdigest(), hashlib.sha256("".join(decoded[at].tolist()).encode()).hexdigest()))
-    return pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
+def pieces(path: str) -> list[bytes]:
+    """The id-to-piece table; the tokenizer's file fixes its size."""
+    of, own = byte_of_piece_char(), tokenizer(path)
+    special = {x.content for x in own.get_added_tokens_decoder().values()}
+    table = {i: p.encode() if p in special else bytes(of[c] for c in p) for p, i in own.get_vocab(with_added_tokens=True).items()}
+    return [table.get(i, b"") for i in range(max(table) + 1)]
 
 
-def ids_back(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    order = np.argsort(words["at"].to_numpy())
-    ids, decoded = words["ids"].to_numpy()[order], words["decoded"].to_numpy()[order]
-    out = []
-    for doc_id, positions in zip(docs["doc_id"].array, docs["positions"], strict=True):
-        at = np.frombuffer(positions, np.int32)
-        out.append((doc_id, np.concatenate([[], *ids[at]]).astype(np.int32), "".join(decoded[at].tolist())))
-    return pd.DataFrame(out, columns=["doc_id", "ids", "decoded"]).astype({"doc_id": "Int64"})
+def words_back(lists: pd.DataFrame, table: np.ndarray) -> tuple[list[np.ndarray], list[str]]:
+    """Ids and decoded text of a block's words, in the order of (group, word)."""
+    ids: list[np.ndarray] = []
+    for data in lists.sort_values("group_no")["ids"]:
+        data = unpack(data)
+        n = int.from_bytes(data[:8], "little")
+        size = np.frombuffer(data, "<i4", n, 8)
+        ids += np.split(np.frombuffer(data, "<i4", offset=8 + 4 * n), np.cumsum(size)[:-1]) if n else []
+    return ids, [b"".join(table[x].tolist()).decode("utf-8", "replace") for x in ids]
 
 
-NO_WORDS = pd.DataFrame({"at": np.zeros(0, np.int32), "ids": pd.Series([], dtype=object), "decoded": pd.Series([], dtype=object)})
+def documents_back(block: pd.DataFrame) -> Iterator[tuple]:
+    """doc_id and the places of its words in the block's list."""
+    for row in block.itertuples():
+        at = from_planes(unpack(row.places))[from_planes(unpack(row.data))]
+        ends = np.cumsum(row.lengths)
+        yield from zip([None if pd.isna(x) else int(x) for x in row.doc_ids], np.split(at, ends[:-1]), strict=True)
+
+
+def object_array(items: list) -> np.ndarray:
+    out = np.empty(len(items), dtype=object)
+    out[:] = items
+    return out
+
+
+def digested(block: pd.DataFrame, lists: pd.DataFrame, table: np.ndarray) -> pd.DataFrame:
+    ids, decoded = words_back(lists, table)
+    as_text, size = object_array([",".join(map(str, x.tolist())) for x in ids]), np.fromiter(map(len, ids), np.int64, len(ids))
+    whole, sha = object_array(decoded), lambda x: hashlib.sha256(x.encode()).hexdigest()
+    out = [(doc_id, int(size[at].sum()), sha(",".join(as_text[at].tolist())), sha("".join(whole[at].tolist()))) for doc_id, at in documents_back(block)]
+    return pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
+
+
+def in_full(block: pd.DataFrame, lists: pd.DataFrame, table: np.ndarray) -> pd.DataFrame:
+    ids, decoded = words_back(lists, table)
+    whole = object_array(decoded)
+    out = [(doc_id, np.concatenate([np.zeros(0, "<i4"), *[ids[i] for i in at.tolist()]]), "".join(whole[at].tolist())) for doc_id, at in documents_back(block)]
+    return pd.DataFrame(out, columns=["doc_id", "ids", "decoded"]).astype({"doc_id": "Int64"})
 
 
 def by_block(docs: DataFrame, path: str, fn, schema: str) -> DataFrame:
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = written(parts.mapInPandas(split_blocks(special_tokens(path)), "doc_id long, block long, positions binary, words array<string>"), "bpe-blocks")
-    listed = parts.where(F.col("words").isNotNull()).select(F.col("block").alias("in_block"), F.posexplode("words").alias("at", "word"))
-    found = listed.join(encoded_words(listed, path), "word").select("in_block", "at", "ids", "decoded")
-    own = parts.where(F.col("positions").isNotNull()).select("block", "doc_id", "positions")
-    both = own.groupBy("block").cogroup(found.groupBy("in_block"))
-    return both.applyInPandas(lambda a, b: fn(a, b if len(b) else NO_WORDS) if len(a) else pd.DataFrame(), schema)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    n_groups = GROUPS_PER_PARTITION * max(1, docs.rdd.getNumPartitions())
+    blocks = written(docs.mapInPandas(split_blocks(special_tokens(path), n_groups), BLOCKS), "bpe-blocks")
+    lists = blocks.where(F.col("group_no").isNotNull()).select("block", "group_no", "data")
+    encoded = lists.groupBy("group_no").applyInPandas(encode_group(path), "in_block long, group_no int, ids binary")
+    own = blocks.where(F.col("group_no").isNull()).select("block", "doc_ids", "lengths", "data", "places")
+    table = pieces(path)
+    both = own.groupBy("block").cogroup(encoded.groupBy("in_block"))
+    return both.applyInPandas(lambda a, b: fn(a, b, object_array(table)), schema)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -158,12 +230,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     text is that token. A null text counts as empty and has no ids. Null and repeated doc_id keep their rows. Whole
     texts are taken, of any length. Other columns are ignored.
     """
-    return by_block(docs, path, ids_back, "doc_id long, ids array<int>, decoded string")
+    return by_block(docs, path, in_full, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode() with its long columns digested where they are made."""
-    return by_block(docs, path, put_back, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return by_block(docs, path, digested, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
