@@ -8,7 +8,7 @@
 
 A word here is a stretch of text that the tokenizer's own splitting never joins with its neighbours: a run of white space
 with the run of other characters after it. Special tokens are words of their own. What is shuffled is packed: a list of
-words in alphabetic order, ids in that order, positions by frequency of the word.
+words in alphabetic order, ids in that order, positions by frequency of the word. Blocks are made twice, from the same partitions: once for the lists, once for the positions.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read, written
+from tidemark.llm.common import read
 
 #: Characters of text in a block; a longer document is a block of its own.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 #: Groups of the word table for each input partition; a group holds about as many words at every size of the input.
 GROUPS_PER_PARTITION = 8
 #: White space as the tokenizer sees it: without the four separators that Python's \s has besides.
 CHUNKS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 
 
+@lru_cache(2)
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -81,27 +83,34 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
 
 
-BLOCKS = "block long, group_no int, doc_ids array<long>, lengths array<int>, data binary, places binary"
+LISTS = "block long, group_no int, data binary"
+POSITIONS = "block long, doc_ids array<long>, lengths array<int>, data binary, places binary, words_crc long"
 
 
-def pack_block(block: int, docs: list[tuple], numbers: Numbers, n_groups: int) -> Iterator[tuple]:
-    """A row with the positions of all documents, and for each group a row with the block's words of that group.
+def in_order(numbers: Numbers, n_groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's words, the crc32 of each, and their numbers in order of (group, word): an order that only depends on the set."""
+    words = object_array(list(numbers))
+    crc = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words))
+    listed = np.array(sorted(range(len(words)), key=words.__getitem__), dtype=np.int64)
+    return words, crc, listed[np.argsort(crc[listed] % n_groups, kind="stable")]
 
-    Positions tell words by their rank in frequency; places tells where in the list of (group, word) each rank stands.
-    """
-    words = np.array(list(numbers), dtype=object)
+
+def lists_of(block: int, docs: list[tuple], numbers: Numbers, n_groups: int) -> Iterator[tuple]:
+    """For each group the block's words of that group."""
+    words, crc, listed = in_order(numbers, n_groups)
+    group = crc[listed] % n_groups
+    for own in np.split(listed, np.flatnonzero(np.diff(group)) + 1) if len(listed) else []:
+        yield block, int(crc[own[0]] % n_groups), pack(word_list(words[own]))
+
+
+def positions_of(block: int, docs: list[tuple], numbers: Numbers, n_groups: int) -> Iterator[tuple]:
+    """The words at all positions, by their rank in frequency, and the place of each rank in the order of (group, word)."""
+    words, crc, listed = in_order(numbers, n_groups)
     flat = np.concatenate([x for _, x in docs])
     by_count = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-    rank = np.empty(len(words), np.int32)
-    rank[by_count] = np.arange(len(words))
-    group = np.fromiter((zlib.crc32(w.encode()) % n_groups for w in words), np.int64, len(words))
-    listed = np.array(sorted(range(len(words)), key=lambda i: (group[i], words[i])), dtype=np.int64)
-    place = np.empty(len(words), np.int32)
-    place[listed] = np.arange(len(words))
-    yield block, None, [x for x, _ in docs], [len(x) for _, x in docs], pack(planes(rank[flat])), pack(planes(place[by_count]))
-    ends = np.flatnonzero(np.diff(group[listed], append=-1)) + 1
-    for own in np.split(listed, ends[:-1]) if len(listed) else []:
-        yield block, int(group[own[0]]), None, None, pack(word_list(words[own])), None
+    rank, place = np.empty(len(words), np.int32), np.empty(len(words), np.int32)
+    rank[by_count] = place[listed] = np.arange(len(words))
+    yield block, [x for x, _ in docs], [len(x) for _, x in docs], pack(planes(rank[flat])), pack(planes(place[by_count])), int(crc.sum())
 
 
 def word_list(words) -> bytes:
@@ -115,27 +124,24 @@ def from_word_list(data: bytes) -> list[str]:
     return [data[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def split_blocks(special: list[str], n_groups: int):
+def split_blocks(special: list[str], n_groups: int, rows_of, columns: list[str]):
+    """rows_of over the blocks of a partition."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         pattern = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        part, n_block, chars = TaskContext.get().partitionId(), 0, 0
-        numbers, docs = Numbers(), []
-
-        def rows() -> pd.DataFrame:
-            return pd.DataFrame(pack_block((part << 32) + n_block, docs, numbers, n_groups), columns=["block", "group_no", "doc_ids", "lengths", "data", "places"]).astype({"group_no": "Int32"})
-
+        block, chars, numbers, docs = TaskContext.get().partitionId() << 32, 0, Numbers(), []
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].array, batch["text"], strict=True):
                 words = words_of(text or "", pattern)
                 docs.append((None if pd.isna(doc_id) else int(doc_id), np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))))
                 chars += len(text or "")
                 if chars >= BLOCK_CHARS:
-                    yield rows()
-                    numbers, docs, chars, n_block = Numbers(), [], 0, n_block + 1
+                    yield pd.DataFrame(rows_of(block, docs, numbers, n_groups), columns=columns)
+                    block, chars, numbers, docs = block + 1, 0, Numbers(), []
         if docs:
-            yield rows()
+            yield pd.DataFrame(rows_of(block, docs, numbers, n_groups), columns=columns)
 
     return run
 
@@ -144,14 +150,14 @@ def encode_group(path: str):
     """Of a group's lists each distinct word is encoded once; a list's ids stand in the order of its words."""
 
     def run(lists: pd.DataFrame) -> pd.DataFrame:
-        lists_of = [from_word_list(unpack(x)) for x in lists["data"]]
         numbers = Numbers()
-        at = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words in lists_of]
+        at = [np.fromiter(map(numbers.__getitem__, words := from_word_list(unpack(x))), np.int64, len(words)) for x in lists["data"]]
         found = [x.ids for x in tokenizer(path).encode_batch(list(numbers), add_special_tokens=False)]
-        ids = np.array([np.array(x, "<i4") for x in found] + [None], dtype=object)[:-1]
+        ids = object_array([np.array(x, "<i4") for x in found])
         size = np.fromiter(map(len, found), "<i4", len(found))
         packed = [pack(len(x).to_bytes(8, "little") + size[x].tobytes() + b"".join(y.tobytes() for y in ids[x])) for x in at]
-        return pd.DataFrame({"in_block": lists["block"], "group_no": lists["group_no"], "ids": packed})
+        crc = np.fromiter((zlib.crc32(w.encode()) for w in numbers), np.int64, len(numbers))
+        return pd.DataFrame({"in_block": lists["block"], "group_no": lists["group_no"], "ids": packed, "list_crc": [int(crc[x].sum()) for x in at]})
 
     return run
 
@@ -171,8 +177,10 @@ def pieces(path: str) -> list[bytes]:
     return [table.get(i, b"") for i in range(max(table) + 1)]
 
 
-def words_back(lists: pd.DataFrame, table: np.ndarray) -> tuple[list[np.ndarray], list[str]]:
+def words_back(block: pd.DataFrame, lists: pd.DataFrame, table: np.ndarray) -> tuple[list[np.ndarray], list[str]]:
     """Ids and decoded text of a block's words, in the order of (group, word)."""
+    if block["words_crc"].sum() != lists["list_crc"].sum():
+        raise ValueError("the documents were not the same when they were read again; write them to a table first")
     ids: list[np.ndarray] = []
     for data in lists.sort_values("group_no")["ids"]:
         data = unpack(data)
@@ -197,7 +205,7 @@ def object_array(items: list) -> np.ndarray:
 
 
 def digested(block: pd.DataFrame, lists: pd.DataFrame, table: np.ndarray) -> pd.DataFrame:
-    ids, decoded = words_back(lists, table)
+    ids, decoded = words_back(block, lists, table)
     as_text, size = object_array([",".join(map(str, x.tolist())) for x in ids]), np.fromiter(map(len, ids), np.int64, len(ids))
     whole, sha = object_array(decoded), lambda x: hashlib.sha256(x.encode()).hexdigest()
     out = [(doc_id, int(size[at].sum()), sha(",".join(as_text[at].tolist())), sha("".join(whole[at].tolist()))) for doc_id, at in documents_back(block)]
@@ -205,7 +213,7 @@ def digested(block: pd.DataFrame, lists: pd.DataFrame, table: np.ndarray) -> pd.
 
 
 def in_full(block: pd.DataFrame, lists: pd.DataFrame, table: np.ndarray) -> pd.DataFrame:
-    ids, decoded = words_back(lists, table)
+    ids, decoded = words_back(block, lists, table)
     whole = object_array(decoded)
     out = [(doc_id, np.concatenate([np.zeros(0, "<i4"), *[ids[i] for i in at.tolist()]]), "".join(whole[at].tolist())) for doc_id, at in documents_back(block)]
     return pd.DataFrame(out, columns=["doc_id", "ids", "decoded"]).astype({"doc_id": "Int64"})
@@ -214,12 +222,10 @@ def in_full(block: pd.DataFrame, lists: pd.DataFrame, table: np.ndarray) -> pd.D
 def by_block(docs: DataFrame, path: str, fn, schema: str) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_groups = GROUPS_PER_PARTITION * max(1, docs.rdd.getNumPartitions())
-    blocks = written(docs.mapInPandas(split_blocks(special_tokens(path), n_groups), BLOCKS), "bpe-blocks")
-    lists = blocks.where(F.col("group_no").isNotNull()).select("block", "group_no", "data")
-    encoded = lists.groupBy("group_no").applyInPandas(encode_group(path), "in_block long, group_no int, ids binary")
-    own = blocks.where(F.col("group_no").isNull()).select("block", "doc_ids", "lengths", "data", "places")
+    split = lambda rows_of, schema: docs.mapInPandas(split_blocks(special_tokens(path), n_groups, rows_of, [x.split()[0] for x in schema.split(", ")]), schema)
+    encoded = split(lists_of, LISTS).groupBy("group_no").applyInPandas(encode_group(path), "in_block long, group_no int, ids binary, list_crc long")
     table = pieces(path)
-    both = own.groupBy("block").cogroup(encoded.groupBy("in_block"))
+    both = split(positions_of, POSITIONS).groupBy("block").cogroup(encoded.groupBy("in_block"))
     return both.applyInPandas(lambda a, b: fn(a, b, object_array(table)), schema)
 
 
@@ -228,7 +234,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     ids are those of the tokenizer in the file at path, without added special tokens; a special token's own string in a
     text is that token. A null text counts as empty and has no ids. Null and repeated doc_id keep their rows. Whole
-    texts are taken, of any length. Other columns are ignored.
+    texts are taken, of any length. Other columns are ignored. docs is read twice, which takes less disk than a table of
+    the positions; if its partitions differ the second time, the job fails and says so.
     """
     return by_block(docs, path, in_full, "doc_id long, ids array<int>, decoded string")
 
