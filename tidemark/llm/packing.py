@@ -27,7 +27,7 @@ from tidemark.llm.common import read, written
 CAPACITY = 4096
 END_ID = 1
 #: Lengths above CAPACITY / LARGE are large, and rounded up to GROUPS sizes.
-LARGE, GROUPS = 8, 48
+LARGE, GROUPS = 4, 512
 MEMO_WORDS = 600_000
 BATCH_CHARS = 2_000_000
 BLOCK_PIECES = 100_000
