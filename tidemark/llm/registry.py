@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, chat, topk
+from tidemark.llm import ann, bpe, chat, line_dedup, near_dedup, packing, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk_bitsliced": topk.op2_topk_bitsliced,
     "op3_ann_projections": ann.op3_ann_projections,
     "op6_bpe_roundtrip": bpe.op6_bpe_roundtrip,
     "op7_chat_format": chat.op7_chat_format,
+    "op8_pack_linear_grouping": packing.op8_pack_linear_grouping,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_topk_bitsliced": topk.OP2_SQL, "op7_chat_format": chat.OP7_SQL}
