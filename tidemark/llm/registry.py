@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, chat, line_dedup, near_dedup, packing, topk
+from tidemark.llm import ann, bpe, chat, html_text, line_dedup, near_dedup, packing, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": html_text.op1_html_extract,
     "op2_topk_bitsliced": topk.op2_topk_bitsliced,
     "op3_ann_projections": ann.op3_ann_projections,
     "op6_bpe_roundtrip": bpe.op6_bpe_roundtrip,
