@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, chat, html_text, line_dedup, near_dedup, packing, topk
+from tidemark.llm import ann, bpe, chat, html_text, line_dedup, near_dedup, packing, quality, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": html_text.op1_html_extract,
     "op2_topk_bitsliced": topk.op2_topk_bitsliced,
     "op3_ann_projections": ann.op3_ann_projections,
+    "op4_quality_pu": quality.op4_quality_pu,
+    "op5_toxicity_gbt": toxicity.op5_toxicity_gbt,
     "op6_bpe_roundtrip": bpe.op6_bpe_roundtrip,
     "op7_chat_format": chat.op7_chat_format,
     "op8_pack_linear_grouping": packing.op8_pack_linear_grouping,
