@@ -5,9 +5,10 @@
 2. ROWS minima make a band; classes with an equal band share a bucket. Classes at a similarity of 0.8 share one of the
    BANDS with a probability of over 0.999995. Each class is first compared with the smallest of each of its buckets, on
    the full sets. That joins most of a bucket, however large, with as many comparisons as it has members.
-3. Members that this leaves in another component than the bucket's smallest are compared with the whole bucket, in
-   blocks, by signature, and what passes on the full sets. So no link between members of a bucket is missed, and pairs
-   within one component, which could add nothing, aren't made.
+3. Members that this leaves outside of the bucket's largest component are compared with one of its members, HUBS times,
+   and those still outside with the whole bucket, in blocks: by signature, then by their rarest shingles,
+   of which linked documents share a known part, and what passes on the full sets. So no link
+   between members of a bucket is missed, and pairs within one component, which could add nothing, aren't made.
 4. Components of all links are found by alternating large-star and small-star.
 """
 
@@ -21,13 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read, written
+from tidemark.llm.common import per_row, read, written
 from tidemark.llm.components import components
 
 BANDS, ROWS = 28, 4
 MINIMA = BANDS * ROWS
 SEED = 7
 MEMO_WORDS = 500_000
+HUBS = 2
 #: Members of a bucket that are compared with as many others at once.
 BLOCK = 1024
 #: Sets of at most so many bytes in all are sent to every executor.
@@ -127,17 +129,45 @@ def linked(percent: int):
     return run
 
 
+def sets_for(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """node, shingles binary, of the documents named by nodes (node); no other text is taken."""
+    wanted = nodes.select(F.col("node").alias("doc_id")).distinct()
+    texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
+    return written(texts.mapInPandas(sets_of(size), "node long, shingles binary").dropDuplicates(["node"]), "sets")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that the full sets link. Only the texts of documents in some pair are taken."""
+    """Of pairs (a, b) those that the full sets link."""
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    sets = written(texts.mapInPandas(sets_of(size), "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    sets = sets_for(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, size)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return written(both.select("a", "b", "x", "y").mapInPandas(linked(percent), "a long, b long"), "links")
 
 
+def as_longs(batch: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"node": batch["node"], "s": [np.frombuffer(x, np.int64) for x in batch["shingles"]]})
+
+
+def rarest(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, rare array<long>: the rarest of its shingles among nodes, rarest first; a good part more than can differ from those of a linked document."""
+    each = sets_for(nodes, docs, size).mapInPandas(per_row(as_longs), "node long, s array<long>").select("node", F.explode("s").alias("s"))
+    times = each.groupBy("s").agg(F.count("*").alias("times"))
+    sorted_ = each.join(times, "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "s"))).alias("all"))
+    n = F.size("all")
+    first = F.slice("all", F.lit(1), (2 * (n - F.ceil(n * F.lit(percent) / F.lit(100))) + 2).cast("int"))
+    return sorted_.select("node", F.transform(first, lambda x: x["s"]).alias("rare"))
+
+
+def may_link(x: list[int], n_x: int, y: list[int], n_y: int, percent: int) -> bool:
+    """Whether sets of n_x and n_y shingles, of which x and y are the first in one order, can have the common ones that a link takes.
+
+    With c in common, the first n_x - c + k and the first n_y - c + k share k, for every k.
+    """
+    c = -(-percent * (n_x + n_y) // (100 + percent))
+    k = min(len(x) - (n_x - c), len(y) - (n_y - c))
+    return k <= 0 or len(set(x[: n_x - c + k]).intersection(y[: n_y - c + k])) >= k
+
+
 def agreeing(percent: int):
     """Pairs of members of a bucket, of which the left ones stand in blocks, whose signatures agree in about that many minima or more.
 
@@ -153,11 +183,18 @@ def agreeing(percent: int):
         x, y = (np.frombuffer(b"".join(z["signature"]), "<u2").reshape(len(z), MINIMA) for z in (left, right))
         c, d = left["component"].to_numpy(), right["component"].to_numpy()
         p, q = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
+        rare = [x.tolist() for x in right["rare"]]
+        here, u, w = left["bucket"].iloc[0], np.stack(left["bands"].to_numpy()), np.stack(right["bands"].to_numpy())
         out = []
         for i in range(len(x)):
             ok = (c[i] != d) & (100 * np.minimum(p[i], q) >= percent * np.maximum(p[i], q))
             at = np.flatnonzero(ok)
             at = at[(y[at] == x[i]).sum(axis=1) >= least]
+            if len(at):  # a pair that shares several buckets is made in the first of them alone
+                same = w[at] == u[i]
+                at = at[u[i][same.argmax(axis=1)] == here]
+                own = left["rare"].iloc[i].tolist()
+                at = at[np.array([may_link(own, p[i], rare[k], q[k], percent) for k in at.tolist()], bool)]
             out.append(pd.DataFrame({"a": left["node"].iloc[i], "b": right["node"].to_numpy()[at]}))
         return pd.concat(out)
 
@@ -169,27 +206,33 @@ def links_of(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> Data
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
     members = written(buckets.join(heads, "bucket").select("bucket", "head", "node"), "buckets")
-    stars = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    links = verify(stars, docs, size, percent)
-    joined = components(links)
-    # members whose component is not their bucket's smallest member's
-    of = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component"))
-    known = members.join(of("node"), "node", "left").join(of("head"), "head", "left")
-    known = known.select("bucket", "node", F.coalesce("node_component", "node").alias("component"), (F.coalesce("node_component", "node") != F.coalesce("head_component", "head")).alias("open"))
-    known = written(known, "known")
+    links = verify(members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), docs, size, percent)
+    members = members.select("bucket", "node")
+    for turn in range(HUBS + 1):
+        joined = components(links)
+        known = members.join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        known = written(known, "known")
+        inside = known.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max_by("node", F.xxhash64("node", F.lit(turn))).alias("hub"))
+        largest = inside.groupBy("bucket").agg(F.max(F.struct("n", "component", "hub")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+        known = known.join(largest, "bucket").select("bucket", "node", "component", F.col("most.hub").alias("hub"), (F.col("component") != F.col("most.component")).alias("open"))
+        if turn == HUBS:
+            break
+        pairs = known.where("open").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+        links = links.unionByName(verify(pairs, docs, size, percent))
+    known = written(known.drop("hub"), "known")
     open_ = known.where("open").select("bucket", "node", "component")
     if open_.isEmpty():
         return joined
     n_open = open_.groupBy("bucket").agg(F.count("*").alias("n_open"))
-    full = known.join(n_open, "bucket").join(nodes.select("node", "n_shingles", "signature"), "node")
-    full = written(full, "open")
+    full = known.join(n_open, "bucket").join(nodes.select("node", "n_shingles", "signature", "bands"), "node")
+    full = written(full.join(rarest(full.select("node"), docs, size, percent), "node"), "open")
     n_left = F.ceil(F.col("n_open") / BLOCK).cast("int")
     n_right = F.ceil(F.col("n") / BLOCK).cast("int")
     sized = full.join(full.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
     spread = F.xxhash64("node")
     left = sized.where("open").withColumn("i", F.pmod(spread, n_left)).withColumn("j", F.explode(F.sequence(F.lit(0), n_right - 1)))
     right = sized.withColumn("j", F.pmod(spread, n_right)).withColumn("i", F.explode(F.sequence(F.lit(0), n_left - 1)))
-    keep = ["node", "component", "n_shingles", "signature", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")]
+    keep = ["node", "component", "n_shingles", "signature", "bands", "rare", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")]
     left, right = left.select("bucket", *keep), right.select("bucket", *keep)
     left = left.select([F.col(c).alias(f"left_{c}") for c in left.columns])
     pairs = left.groupBy("left_bucket", "left_i", "left_j").cogroup(right.groupBy("bucket", "i", "j")).applyInPandas(agreeing(percent), "a long, b long")
