@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidemark.plans import market, records
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = market.QUERIES | records.QUERIES
+ORACLE_SQL: dict[str, str] = market.SQL | records.SQL
