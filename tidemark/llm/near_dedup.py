@@ -29,9 +29,10 @@ BANDS, ROWS = 28, 4
 MINIMA = BANDS * ROWS
 SEED = 7
 MEMO_WORDS = 500_000
-HUBS = 2
+HUBS = 1
 #: Members of a bucket that are compared with as many others at once.
 BLOCK = 1024
+UNIT = 4 * BLOCK
 #: Sets of at most so many bytes in all are sent to every executor.
 BROADCAST_IDS = 2_000_000
 
@@ -180,36 +181,43 @@ def agreeing(percent: int):
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         left = left.rename(columns=lambda x: x.removeprefix("left_"))
+        right = right.sort_values("bucket", kind="stable", ignore_index=True)
         x, y = (np.frombuffer(b"".join(z["signature"]), "<u2").reshape(len(z), MINIMA) for z in (left, right))
-        c, d = left["component"].to_numpy(), right["component"].to_numpy()
-        p, q = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
-        rare = [x.tolist() for x in right["rare"]]
-        here, u, w = left["bucket"].iloc[0], np.stack(left["bands"].to_numpy()), np.stack(right["bands"].to_numpy())
-        out = []
-        for i in range(len(x)):
-            ok = (c[i] != d) & (100 * np.minimum(p[i], q) >= percent * np.maximum(p[i], q))
-            at = np.flatnonzero(ok)
-            at = at[(y[at] == x[i]).sum(axis=1) >= least]
+        u, w = (np.stack(z["bands"].to_numpy()) for z in (left, right))
+        c, d, p, q, nodes, buckets = left["component"].to_numpy(), right["component"].to_numpy(), left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy(), right["node"].to_numpy(), left["bucket"].to_numpy()
+        first, end = (np.searchsorted(right["bucket"].to_numpy(), buckets, side) for side in ("left", "right"))
+        a, b = [], []
+        for i, node in enumerate(left["node"].to_numpy()):
+            own = slice(first[i], end[i])
+            at = first[i] + np.flatnonzero((c[i] != d[own]) & (100 * np.minimum(p[i], q[own]) >= percent * np.maximum(p[i], q[own])))
             if len(at):  # a pair that shares several buckets is made in the first of them alone
-                same = w[at] == u[i]
-                at = at[u[i][same.argmax(axis=1)] == here]
-                own = left["rare"].iloc[i].tolist()
-                at = at[np.array([may_link(own, p[i], rare[k], q[k], percent) for k in at.tolist()], bool)]
-            out.append(pd.DataFrame({"a": left["node"].iloc[i], "b": right["node"].to_numpy()[at]}))
-        return pd.concat(out)
+                at = at[u[i][(w[at] == u[i]).argmax(axis=1)] == buckets[i]]
+            if len(at):
+                at = at[(y[at] == x[i]).sum(axis=1) >= least]
+            for k in at.tolist():
+                if may_link(left["rare"].iat[i].tolist(), p[i], right["rare"].iat[k].tolist(), q[k], percent):
+                    a.append(node)
+                    b.append(nodes[k])
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
     return run
 
 
+def with_links(joined: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (node, component) after more links (a, b): the components so far stand for the links so far."""
+    if more.isEmpty():
+        return joined
+    return components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
 def links_of(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """node, component of the classes (node, n_shingles, bands, signature) that some link joins with another."""
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
     members = written(buckets.join(heads, "bucket").select("bucket", "head", "node"), "buckets")
     links = verify(members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), docs, size, percent)
-    members = members.select("bucket", "node")
+    members, joined = members.select("bucket", "node"), components(links)
     for turn in range(HUBS + 1):
-        joined = components(links)
         known = members.join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
         known = written(known, "known")
         inside = known.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max_by("node", F.xxhash64("node", F.lit(turn))).alias("hub"))
@@ -218,7 +226,8 @@ def links_of(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> Data
         if turn == HUBS:
             break
         pairs = known.where("open").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-        links = links.unionByName(verify(pairs, docs, size, percent))
+        more = verify(pairs, docs, size, percent)
+        joined = with_links(joined, more)
     known = written(known.drop("hub"), "known")
     open_ = known.where("open").select("bucket", "node", "component")
     if open_.isEmpty():
@@ -233,14 +242,12 @@ def links_of(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> Data
     left = sized.where("open").withColumn("i", F.pmod(spread, n_left)).withColumn("j", F.explode(F.sequence(F.lit(0), n_right - 1)))
     right = sized.withColumn("j", F.pmod(spread, n_right)).withColumn("i", F.explode(F.sequence(F.lit(0), n_left - 1)))
     keep = ["node", "component", "n_shingles", "signature", "bands", "rare", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")]
-    left, right = left.select("bucket", *keep), right.select("bucket", *keep)
+    unit = F.pmod(F.xxhash64("bucket"), F.lit(max(1, full.count() // UNIT))).alias("unit")  # small buckets go together
+    left, right = left.select(unit, "bucket", *keep), right.select(unit, "bucket", *keep)
     left = left.select([F.col(c).alias(f"left_{c}") for c in left.columns])
-    pairs = left.groupBy("left_bucket", "left_i", "left_j").cogroup(right.groupBy("bucket", "i", "j")).applyInPandas(agreeing(percent), "a long, b long")
+    pairs = left.groupBy("left_unit", "left_i", "left_j").cogroup(right.groupBy("unit", "i", "j")).applyInPandas(agreeing(percent), "a long, b long")
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = verify(pairs, docs, size, percent)
-    if more.isEmpty():
-        return joined
-    return components(links.unionByName(more))
+    return with_links(joined, verify(pairs, docs, size, percent))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
