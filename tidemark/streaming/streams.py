@@ -25,8 +25,8 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return stream.sparkSession.read.parquet(path)
 
 
-def source(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 8) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def source(spark: SparkSession, folder: str, schema: str, only: str = "*.parquet", files_per_trigger: int = 8) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", only).parquet(folder)
 
 
 def next_state(queue: DataFrame, most: int, now: str) -> DataFrame:
