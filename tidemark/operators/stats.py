@@ -101,8 +101,8 @@ def spearman(rows: DataFrame) -> DataFrame:
     Ranks need no window over all rows: a value's rank follows from the counts of the values before it, and those are
     counted by value, summed over ranges of values.
     """
-    # sums of doubles may differ in the last bit when made again, and values are joined
-    rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "regimes")
+    # sums of doubles may differ in the last bits when made again: values are rounded, so that ties stay ties, and kept
+    rows = written(rows.select("regime", F.monotonically_increasing_id().alias("id"), *[F.round(c, 9).alias(c) for c in ("bias", *HORIZONS)]), "regimes")
     long = rows.select("regime", "id", F.posexplode(F.array("bias", *HORIZONS)).alias("k", "value"))
     counts = long.groupBy("regime", "k", "value").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("regime", "k").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)

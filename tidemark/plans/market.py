@@ -143,7 +143,7 @@ ok AS (SELECT *, CASE WHEN bias > 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS sign
   WHERE abs(bias) > 0.001 AND ret_next IS NOT NULL AND ret_5 IS NOT NULL AND ret_14 IS NOT NULL AND ret_30 IS NOT NULL),
 q AS (SELECT sign, quantile_cont(ret_next, 0.01) AS lo, quantile_cont(ret_next, 0.99) AS hi FROM ok GROUP BY sign),
 reg AS (SELECT sign AS regime, ok.* EXCLUDE (sign) FROM ok JOIN q USING (sign) WHERE ret_next BETWEEN lo AND hi UNION ALL SELECT 'OVERALL', ok.* EXCLUDE (sign) FROM ok)"""
-_RANK = ", ".join(f"rank() OVER (PARTITION BY regime ORDER BY {c}) + (count(*) OVER (PARTITION BY regime, {c}) - 1) / 2e0 AS {c}" for c in ("bias", "ret_next", "ret_5", "ret_14", "ret_30"))
+_RANK = ", ".join(f"rank() OVER (PARTITION BY regime ORDER BY round({c}, 9)) + (count(*) OVER (PARTITION BY regime, round({c}, 9)) - 1) / 2e0 AS {c}" for c in ("bias", "ret_next", "ret_5", "ret_14", "ret_30"))
 _MEANS = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY regime, ticker) AS {c}" for c in ("bias", "ret_next", "ret_5", "ret_14", "ret_30"))
 _LONG = "UNPIVOT {} ON ret_next, ret_5, ret_14, ret_30 INTO NAME horizon VALUE y"
 
