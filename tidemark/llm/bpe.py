@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read
+from tidemark.llm.common import read, small_batches
 
 #: Characters of text in a block; a longer document is a block of its own.
 BLOCK_CHARS = 16_000_000
@@ -221,6 +221,7 @@ def in_full(block: pd.DataFrame, lists: pd.DataFrame, table: np.ndarray) -> pd.D
 
 def by_block(docs: DataFrame, path: str, fn, schema: str) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     n_groups = GROUPS_PER_PARTITION * max(1, docs.rdd.getNumPartitions())
     split = lambda rows_of, schema: docs.mapInPandas(split_blocks(special_tokens(path), n_groups, rows_of, [x.split()[0] for x in schema.split(", ")]), schema)
     encoded = split(lists_of, LISTS).groupBy("group_no").applyInPandas(encode_group(path), "in_block long, group_no int, ids binary, list_crc long")

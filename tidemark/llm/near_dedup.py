@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import per_row, read, written
+from tidemark.llm.common import per_row, read, small_batches, written
 from tidemark.llm.components import components
 
 BANDS, ROWS = 28, 4
@@ -259,6 +259,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     n_shingles. A row without doc_id has a null component_id and is kept. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     found = written(docs.mapInPandas(signed(shingle_words), SIGNED), "signed")
     linkable = found.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
     classes = linkable.groupBy("set_id").agg(F.min("doc_id").alias("node"))

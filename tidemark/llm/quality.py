@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, per_row, read, written
+from tidemark.llm.common import held_out, per_row, read, small_batches, written
 
 #: At most so many positives and so many unlabelled rows are fitted on, the first by a hash of doc_id.
 SAMPLE_ROWS = 20_000
@@ -105,6 +105,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     texts are scored like any other. Where nothing can be learned (no training row of label 1), all scores are the prior,
     or 0 without labels. Null and repeated doc_id keep their rows. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     found = prepared(docs)
     training = found.where(~F.col("held_out"))
     own = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))

@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, per_row, read, written
+from tidemark.llm.common import held_out, per_row, read, small_batches, written
 
 #: At most so many labelled rows are learned from, the first by a hash of doc_id; the lexicon has at most LEXICON entries.
 SAMPLE_ROWS = 20_000
@@ -98,6 +98,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     greatest counts, null ones don't. Null and empty texts are scored like any other. With training rows of one label
     only, all scores are that label; without any, 0. Null and repeated doc_id keep their rows. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     own = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     ids = docs.where(~F.col("held_out")).select("doc_id").join(own, "doc_id").distinct()
