@@ -108,3 +108,20 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_removed", "text")
+
+
+OP10_SQL = r"""
+WITH raws AS (SELECT doc_id, unnest(range(len(a))) AS line_no, unnest(a) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)),
+named AS (SELECT doc_id, line_no, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS line FROM raws),
+lines AS (
+  SELECT *, row_number() OVER w AS seq, sum(length(line) - length(replace(line, ' ', '')) + 1) OVER w AS cum, length(line) - length(replace(line, ' ', '')) + 1 AS n
+  FROM named WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+whole AS (SELECT doc_id, list(line ORDER BY seq) AS all_lines, list(line_no ORDER BY seq) AS numbers FROM lines GROUP BY doc_id),
+ahead AS (SELECT s.doc_id, s.seq AS first, min(e.seq) AS last FROM lines s JOIN lines e ON e.doc_id = s.doc_id AND e.seq >= s.seq AND e.cum >= s.cum - s.n + 50 GROUP BY 1, 2),
+back AS (SELECT e.doc_id, max(s.seq) AS first, e.seq AS last FROM lines e JOIN lines s ON e.doc_id = s.doc_id AND s.seq <= e.seq AND e.cum - s.cum + s.n >= 50 GROUP BY e.doc_id, e.seq),
+windows AS (SELECT doc_id, first, last, md5(array_to_string(all_lines[first:last], chr(10))) AS k FROM (FROM ahead UNION FROM back) JOIN whole USING (doc_id)),
+copies AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, first) AS nth FROM windows),
+gone AS (SELECT DISTINCT c.doc_id, numbers[i] AS line_no FROM (SELECT doc_id, unnest(range(first, last + 1)) AS i FROM copies WHERE nth > 1) c JOIN whole USING (doc_id)),
+left_over AS (SELECT doc_id, count(g.line_no) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (g.line_no IS NULL), '') AS text
+  FROM raws LEFT JOIN gone g USING (doc_id, line_no) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, l.text FROM documents d LEFT JOIN left_over l USING (doc_id)"""

@@ -276,3 +276,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS sh FROM d),
+g AS (SELECT min(doc_id) AS node, sh, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
+e AS (SELECT node, n, unnest(sh) AS x FROM g),
+p AS (
+  SELECT a.node AS a, b.node AS b, a.n + b.n AS n, count(*) AS c
+  FROM e a JOIN e b ON a.x = b.x AND a.node < b.node AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (n - c)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT node, node AS c FROM g UNION SELECT o.b, r.c FROM r JOIN both_ways o ON o.a = r.node),
+m AS (SELECT node, min(c) AS component FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id, s.doc_id = coalesce(m.component, s.doc_id) AS kept
+FROM s LEFT JOIN g ON g.sh = s.sh LEFT JOIN m ON m.node = g.node"""

@@ -21,4 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_topk_bitsliced": topk.OP2_SQL, "op7_chat_format": chat.OP7_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_topk_bitsliced": topk.OP2_SQL,
+    "op7_chat_format": chat.OP7_SQL,
+    "op9_near_dedup": near_dedup.OP9_SQL,
+    "op10_line_dedup": line_dedup.OP10_SQL,
+}
