@@ -4,7 +4,8 @@ Vectors are scaled to length 1, where the largest cosine is the least distance.
 them to M dimensions; for two points at distance d, the squared projected distance over d**2 follows the chi-square
 distribution with M degrees of freedom. A kd-tree over the projected points of a block yields them nearest first. Each
 is verified on its own vector, until the distance that the next ones have at least in the projection is so large
-that a point nearer than the k-th verified one would have come earlier with probability CONFIDENCE.
+that a point nearer than the k-th verified one would have come earlier with probability CONFIDENCE. Leaves are opened by
+steps, and of their rows those are verified that the test doesn't leave out already.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ M = 8
 LEAF = 32
 CONFIDENCE = 0.95
 SEED = 20_240_601
-STEP = 8  # leaves that are opened at once
+STEP = 8  # leaves that are opened at first; then twice as many each time
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -62,18 +63,11 @@ class KdTree:
         self.low = np.stack([points[x].min(axis=0) for x in done])
         self.high = np.stack([points[x].max(axis=0) for x in done])
 
-    def nearest_first(self, q: np.ndarray):
-        """(row numbers, least squared distance that all rows still to come have), nearest first by steps."""
+    def nearest_first(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves, and the least squared distance to q that their rows can have, nearest first."""
         bound = (np.maximum(np.maximum(self.low - q, q - self.high), 0) ** 2).sum(axis=1)
         order = np.argsort(bound, kind="stable")
-        held, held_d = np.zeros(0, np.int64), np.zeros(0)
-        for i in range(0, len(order), STEP):
-            rows = np.concatenate([self.leaves[j] for j in order[i : i + STEP]])
-            held, held_d = np.concatenate([held, rows]), np.concatenate([held_d, ((self.points[rows] - q) ** 2).sum(axis=1)])
-            next_ = bound[order[i + STEP]] if i + STEP < len(order) else np.inf
-            out = held_d <= next_
-            yield held[out], next_
-            held, held_d = held[~out], held_d[~out]
+        return order, bound[order]
 
 
 def cosine(a: np.ndarray, a_norm: np.ndarray, q: np.ndarray, q_norm: float) -> np.ndarray:
@@ -84,25 +78,30 @@ def search_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFr
     ids, v = rows["vec_id"].to_numpy(), V.matrix(rows["v"])
     norm = np.sqrt((v * v).sum(axis=1))
     unit, project = v / norm[:, None], projection(v.shape[1])
-    tree, stop = KdTree((unit[:, :, None] * project[None]).sum(axis=1) if len(v) < 64 else unit @ project), chi_square_point(M, CONFIDENCE)
+    tree, stop = KdTree(unit @ project), chi_square_point(M, CONFIDENCE)
     out: list[pd.DataFrame] = []
     for query_id, q in zip(queries["vec_id"].to_numpy(), queries["v"], strict=True):
         q = np.asarray(q, np.float64)
         q_norm = math.sqrt(float((q * q).sum()))
         q_unit = q / q_norm
-        kept, scores = np.zeros(0, np.int64), np.zeros(0)
-        for found, next_ in tree.nearest_first(q_unit @ project):
+        q_low = q_unit @ project
+        order, bound = tree.nearest_first(q_low)
+        kept, scores, within, i, step = np.zeros(0, np.int64), np.zeros(0), np.inf, 0, STEP
+        # a row at exactly the distance of the k-th may still come with a smaller id, so only what is truly farther is left out
+        while i < len(order) and bound[i] <= within:
+            found = np.concatenate([tree.leaves[j] for j in order[i : i + step]])
+            i, step = i + step, 2 * step
+            if within < np.inf:
+                found = found[((tree.points[found] - q_low) ** 2).sum(axis=1) <= within]
             found = found[ids[found] != query_id]
-            kept, scores = np.concatenate([kept, found]), np.concatenate([scores, cosine(v[found], norm[found], q, q_norm)])
-            if len(kept) > k:
-                kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-                near = scores >= kth
-                if near.sum() > 4 * k:  # many equal ones: the smaller ids
-                    near = np.lexsort((ids[kept], -scores))[:k]
+            kept, scores = np.concatenate([kept, found]), np.concatenate([scores, unit[found] @ q_unit])
+            if len(kept) >= k:
+                near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-12)
+                if len(near) > 64:  # many equal ones: the smaller ids
+                    near = near[np.lexsort((ids[kept[near]], -np.round(scores[near], 12)))[:64]]
                 kept, scores = kept[near], scores[near]
-            # the smaller of equal ids may still come at distance 0, so only what is truly farther ends the search
-            if len(kept) >= k and next_ > stop * max(0.0, 2 - 2 * scores.min()) + 1e-9:
-                break
+                within = stop * max(0.0, 2 - 2 * np.partition(scores, len(scores) - k)[len(scores) - k]) + 1e-9
+        scores = cosine(v[kept], norm[kept], q, q_norm)
         best = np.lexsort((ids[kept], -scores))[:k]
         out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[kept][best], "score": scores[best]}))
     return pd.concat(out)
