@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import windows as W
 from tidemark.operators import bias, indicators, stats
 from tidemark.sources import tables as T
+from tidemark.sources.shared import written
 from tidemark.sources.tables import BARS_SQL
 
 
@@ -20,7 +21,8 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bias.normalised(raw(spark, sf_dir))
+    """The raw index is read three times (median, deviations, scores), so it is kept."""
+    return bias.normalised(written(raw(spark, sf_dir), "raw-index"))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
