@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann, bpe, chat, html_text, line_dedup, near_dedup, packing, quality, topk, toxicity
+from tidemark.llm.common import first_by_hash
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", None, " ", "a  b", "a\n\nb\n\n\nc ", "x<|endoftext|> y", "it's  don't", "\x1c!\x1c ", "\xa0 x", "日本語 😀", "é Å İ", "Same text", "Same text", "word " * 9000]
@@ -103,6 +104,15 @@ def labelled(spark):
     return spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([*labels, (5, None, None)], "doc_id long, quality int, toxic int"), {i: (q, t) for i, q, t in labels}
 
 
+def test_first_by_hash(spark):
+    """The filter before the sort leaves the sample as it is; small and empty tables go whole."""
+    rows = spark.range(5000).withColumnRenamed("id", "doc_id")
+    plain = [r[0] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(300).collect()]
+    assert [r[0] for r in first_by_hash(rows, 300).collect()] == plain
+    assert first_by_hash(rows, 9000).count() == 5000
+    assert first_by_hash(rows.limit(0), 300).count() == 0
+
+
 @pytest.mark.parametrize(("fn", "k"), [(quality.scored, 0), (toxicity.scored, 1)])
 def test_classifiers(spark, fn, k):
     docs, labels, truth = labelled(spark)

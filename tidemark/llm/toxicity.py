@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, per_row, read, small_batches, written
+from tidemark.llm.common import first_by_hash, held_out, per_row, read, small_batches, written
 
 #: At most so many labelled rows are learned from, the first by a hash of doc_id; the lexicon has at most LEXICON entries.
 SAMPLE_ROWS = 20_000
@@ -101,8 +101,8 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     own = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    ids = docs.where(~F.col("held_out")).select("doc_id").join(own, "doc_id").distinct()
-    ids = written(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS), "toxic-sample")  # SAMPLE_ROWS at most
+    ids = written(docs.where(~F.col("held_out")).select("doc_id").join(own, "doc_id").distinct(), "toxic-labelled")
+    ids = written(first_by_hash(ids, SAMPLE_ROWS), "toxic-sample")  # SAMPLE_ROWS at most
     sample = written(docs.join(F.broadcast(ids), "doc_id").select("doc_id", "held_out", "toxic", "text"), "toxic-texts")
     words, begins = lexicon_of(sample)
     training = written(sample.mapInPandas(featured(words, begins), SCHEMA).coalesce(4), "toxic-training")
