@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, per_row, read, small_batches, written
+from tidemark.llm.common import first_by_hash, held_out, per_row, read, small_batches, written
 
 #: At most so many positives and so many unlabelled rows are fitted on, the first by a hash of doc_id.
 SAMPLE_ROWS = 20_000
@@ -87,7 +87,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> list[np.n
 
 
 def sample(rows: DataFrame) -> np.ndarray:
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(SAMPLE_ROWS).select("x").toPandas()
+    found = first_by_hash(rows, SAMPLE_ROWS, "x").select("x").toPandas()
     return np.array(found["x"].tolist(), np.float64).reshape(-1, N_FEATURES)
 
 
