@@ -12,6 +12,12 @@ from tidemark.sources import tables as T
 from tidemark.sources.shared import shared_dir
 from tidemark.streaming import streams
 
+#: The subreddits that are searched, in order.
+SUBREDDITS = (
+    "wallstreetbets", "stocks", "investing", "StockMarket", "finance", "dividendinvesting", "pennystocks", "trading", "RobinHood", "wealthmanagement", "TechnicalAnalysis", "PersonalFinance",
+    "ETFs", "MemeStocks", "ValueInvesting",
+)
+
 
 def article_top20(spark, sf_dir):
     return T.companies(spark, sf_dir).select("symbol", "name", "current_page").orderBy(F.desc("current_page"), "symbol").limit(20)
@@ -129,10 +135,26 @@ def unprocessed_queue(spark, sf_dir):
 
 
 def submissions_dedup(spark, sf_dir):
-    rows = T.companies(spark, sf_dir).select("symbol", "name").where("symbol <= 20")
-    words = F.filter(F.array(F.col("symbol").cast("string"), F.col("name")), lambda w: F.length(w) > 2)
-    tasks = rows.select("symbol", F.explode(words).alias("keyword")).select("symbol", "keyword", F.explode(F.array(*map(F.lit, ["stocks", "investing", "stocks"]))).alias("subreddit"))
-    return tasks.dropDuplicates(["keyword", "subreddit"])
+    """Submissions found by any task, each once: of a (url, title, created_utc) the row that came in first, newest submissions first.
+
+    A task is a company, a keyword (symbol, then name if it differs; of more than two characters) and a subreddit. A
+    submission is a document: it stands in the subreddit of its number and mentions two companies, which either keyword
+    finds. Tasks run by symbol, keyword and subreddit, as listed; a task yields the newest first.
+    """
+    companies = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol"), F.trim("s_name").alias("name"))
+    symbol = F.col("symbol").cast("string")
+    words = F.when(F.lower(symbol) == F.lower("name"), F.array(symbol)).otherwise(F.array(symbol, "name"))
+    tasks = companies.select("symbol", F.posexplode(words).alias("nth", "keyword")).where(F.length("keyword") > 2)
+    tasks = tasks.select("symbol", "nth", "keyword", F.posexplode(F.array(*map(F.lit, SUBREDDITS))).alias("place", "subreddit"))
+    n = companies.agg(F.count("*").alias("n"))
+    posts = T.table(spark, sf_dir, "documents").crossJoin(F.broadcast(n)).select(  # one row
+        "doc_id", F.md5("text").alias("url"), F.substring("text", 1, 80).alias("title"), (F.col("n_chars") + 1_700_000_000).alias("created_utc"),
+        (F.col("doc_id") % len(SUBREDDITS)).cast("int").alias("place"), F.explode(F.array(F.col("doc_id") % F.col("n"), F.floor(F.col("doc_id") / len(SUBREDDITS)) % F.col("n"))).alias("symbol"),
+    )
+    found = posts.join(tasks, ["symbol", "place"])
+    first = found.groupBy("url", "title", "created_utc").agg(F.min_by(F.struct("symbol", "keyword", "subreddit"), F.struct("symbol", "nth", "place", "doc_id")).alias("r"))
+    date = F.expr("CAST(timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, created_utc) AS STRING)")
+    return first.select("r.*", "title", "url", "created_utc", date.alias("date")).orderBy(F.desc("created_utc"), "url", "title")
 
 
 def stream_windows(spark, sf_dir):
@@ -183,6 +205,15 @@ SQL = {
     "scrape_update": f"""WITH {_QUEUE} SELECT id, CASE WHEN id % 4 = 0 THEN 'body' ELSE content END AS content, CAST(CASE WHEN id % 4 = 0 THEN 0 WHEN id % 2 = 0 THEN retry + 1 ELSE retry END AS INTEGER) AS retry,
       CASE WHEN id % 2 = 0 AND id % 4 <> 0 THEN 'HTTP 404' END AS error, id % 4 = 0 OR scraped AS scraped FROM q""",
     "unprocessed_queue": f"WITH {_COMPANIES} SELECT symbol, last_updated FROM c WHERE NOT is_processed ORDER BY last_updated NULLS FIRST, symbol LIMIT 50",
+    "submissions_dedup": f"""WITH c AS (SELECT s_suppkey AS symbol, trim(s_name) AS name FROM supplier),
+      k AS (SELECT symbol, 0 AS nth, CAST(symbol AS VARCHAR) AS keyword FROM c UNION ALL SELECT symbol, 1, name FROM c WHERE lower(name) <> lower(CAST(symbol AS VARCHAR))),
+      s AS (SELECT unnest([{", ".join(f"'{x}'" for x in SUBREDDITS)}]) AS subreddit, unnest(range({len(SUBREDDITS)})) AS place),
+      t AS (SELECT * FROM k, s WHERE length(keyword) > 2),
+      p AS (SELECT doc_id, md5(text) AS url, substring(text, 1, 80) AS title, 1700000000 + n_chars AS created_utc, doc_id % {len(SUBREDDITS)} AS place, unnest([doc_id % n, doc_id // {len(SUBREDDITS)} % n]) AS symbol
+        FROM documents, (SELECT count(*) AS n FROM supplier)),
+      r AS (SELECT t.symbol, keyword, subreddit, title, url, created_utc, row_number() OVER (PARTITION BY url, title, created_utc ORDER BY t.symbol, nth, t.place, doc_id) AS rn
+        FROM p JOIN t ON p.symbol = t.symbol AND p.place = t.place)
+      SELECT symbol, keyword, subreddit, title, url, created_utc, strftime(TIMESTAMP '1970-01-01' + to_seconds(created_utc), '%Y-%m-%d %H:%M:%S') AS date FROM r WHERE rn = 1 ORDER BY created_utc DESC, url, title""",
     "batch_windows": """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS d, sum(value) AS v, count(*) AS n FROM events GROUP BY 1, 2)
       SELECT user_id, CAST(d + CAST(k AS INTEGER) AS DATE) AS day, round(sum(v), 4) AS total, sum(n)::BIGINT AS n FROM d, range(15) r(k) GROUP BY 1, 2""",
 }
