@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+import os
+
+import pandas as pd
+import pytest
+
 from tidemark.plans import records
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_submissions_of_all_companies(spark, tmp_path):
     spark.createDataFrame([(i, "100" if i == 100 else f"Company {i}") for i in range(120)], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
@@ -17,3 +25,25 @@ def test_submissions_of_all_companies(spark, tmp_path):
         (6, "Company 6", "TechnicalAnalysis", "c", 1_700_000_001, "2023-11-14 22:13:21"),
     ]
     assert len(set(records.SUBREDDITS)) == 15
+
+
+@pytest.mark.parametrize("one_file", [True, False])
+def test_stream_has_all_windows(spark, tmp_path, one_file):
+    """Of one file; and of files out of order, more than a trigger takes: the newest days first."""
+    day = lambda i: datetime.datetime(2024, 1, 1, 12) + datetime.timedelta(days=i)
+    events = [(u, day(i), float(10 * i + u)) for i in range(20) for u in (1, 2)]
+    for i in [None] if one_file else range(20):
+        rows = [e for e in events if i is None or e[1] == day(19 - i)]
+        path = tmp_path / ("events.parquet" if one_file else f"events.parquet/part-{i}.parquet")
+        path.parent.mkdir(exist_ok=True)
+        pd.DataFrame(rows, columns=["user_id", "ts", "value"]).astype({"ts": "datetime64[us]"}).to_parquet(path)
+        os.utime(path, (1_700_000_000 + (i or 0),) * 2)
+    stream, batch = (sorted(map(tuple, f(spark, str(tmp_path)).collect())) for f in (records.stream_windows, records.batch_windows))
+    assert len(stream) == 2 * 34 and stream == batch
+
+
+def test_stream_is_batch_on_the_table(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test data")
+    stream, batch = ({(r.user_id, r.day): (r.total, r.n) for r in f(spark, SF).collect()} for f in (records.stream_windows, records.batch_windows))
+    assert len(stream) == 659 and stream.keys() == batch.keys() and all(batch[k] == pytest.approx(v) for k, v in stream.items())

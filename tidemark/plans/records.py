@@ -158,11 +158,10 @@ def submissions_dedup(spark, sf_dir):
 
 
 def stream_windows(spark, sf_dir):
-    """Sliding sums by user over the events, as a stream that takes what is there; closed windows only."""
+    """Sliding sums by user over the events, as a stream that takes what is there."""
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema = T.table(spark, sf_dir, "events").schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    stream = streams.source(spark, sf_dir, schema, only="events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    found = streams.run_once(streams.sliding_sums(stream, "user_id", "value"), f"{folder}/out", f"{folder}/state")
+    stream = streams.source(spark, f"{sf_dir}/events.parquet", T.table(spark, sf_dir, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    found = streams.sliding_sums_of_stream(stream, "user_id", "value", f"{folder}/out", f"{folder}/state")
     return found.select("user_id", "day", F.round("total", 4).alias("total"), "n")
 
 

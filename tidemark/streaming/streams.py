@@ -4,29 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def sliding_sums(events: DataFrame, key: str, value: str, days: int = 15) -> DataFrame:
-    """key, day, total, n over the days [day - days + 1, day]: batch or stream (ts: timestamp)."""
+    """key, day, total, n over the days [day - days + 1, day] (ts: timestamp)."""
     window = F.window("ts", f"{days} days", "1 day")
-    found = events.withWatermark("ts", "1 day").groupBy(key, window.alias("w")).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
+    found = events.groupBy(key, window.alias("w")).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
     return found.select(key, F.to_date(F.col("w.end") - F.expr("interval 1 day")).alias("day"), "total", "n")
 
 
+def sliding_sums_of_stream(stream: DataFrame, key: str, value: str, path: str, checkpoint: str, days: int = 15) -> DataFrame:
+    """sliding_sums over all that the stream has brought so far, in whatever order; with the checkpoint a second run takes only what came since.
+
+    Each micro-batch is summed by itself and written to a folder of its number, which replaces what a broken-off try
+    left there. Sums and counts add up over micro-batches, so no window has to be closed, and no row is ever too late.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        sliding_sums(batch, key, value, days).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(path).groupBy(key, "day").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
 def first_rows(events: DataFrame, key: str) -> DataFrame:
     """A row for each key within the watermark."""
     return events.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark([key])
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is there now, written as Parquet; with the checkpoint a second run takes only what came since."""
-    out = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-    out.awaitTermination()
-    return stream.sparkSession.read.parquet(path)
-
-
-def source(spark: SparkSession, folder: str, schema: str, only: str = "*.parquet", files_per_trigger: int = 8) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", only).parquet(folder)
+def source(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 8) -> DataFrame:
+    """The table at path, a file or a folder of files, as a stream."""
+    # without a pattern Spark takes the path for a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def next_state(queue: DataFrame, most: int, now: str) -> DataFrame:
