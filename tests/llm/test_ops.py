@@ -125,6 +125,15 @@ def test_classifiers(spark, fn, k):
 
 
 # 6
+@pytest.mark.parametrize("text", ["a\n\n\nb\tc\td", "a\tb\tc\n\n", "one two\n\n\nthree\tfour\xa0five", "a  b\u3000c", " a\x85b", "a \x1cb", "a b\nc", "a\0 b", ""])
+def test_words_are_those_of_the_library(text):
+    """Also where surplus spaces and missing ones add up to one for each word."""
+    own = bpe.tokenizer(BYTE)
+    words = bpe.words_of(text, None)
+    assert words == bpe.CHUNKS.findall(text)
+    assert [i for w in words for i in own.encode(w, add_special_tokens=False).ids] == own.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe(spark):
     own = bpe.tokenizer(BYTE)
     got = {r.doc_id: r for r in bpe.digests(docs_of(spark, ODD), BYTE).collect()}

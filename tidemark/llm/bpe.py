@@ -53,7 +53,9 @@ def words_of(text: str, special: re.Pattern | None) -> list[str]:
     """The words of a text, which joined are the text."""
     if special is not None and special.search(text):
         return [w for i, part in enumerate(special.split(text)) if part for w in ([part] if i % 2 else words_of(part, None))]
-    if "\0" not in text and text and len(text.split()) == text.count(" ") + text.count("\n") + 1:
+    plain, words = text.count(" ") + text.count("\n"), text.split()
+    # no other white space, as only so many characters are not in words; and each has a word on both sides
+    if len(words) == plain + 1 and sum(map(len, words)) + plain == len(text) and "\0" not in text:
         return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
     return CHUNKS.findall(text)
 
