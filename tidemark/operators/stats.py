@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
+from tidemark.operators import ranks
 from tidemark.sources.shared import written
 
 WARM_UP = 49
@@ -90,25 +91,26 @@ def regimes(rows: DataFrame) -> DataFrame:
     rows = rows.where(F.abs("bias") > 0.001)
     sign = F.when(F.col("bias") > 0, "POSITIVE").otherwise("NEGATIVE")
     signed = rows.withColumn("regime", sign)
-    tails = signed.groupBy("regime").agg(F.percentile("ret_next", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    kept = signed.join(F.broadcast(tails), "regime").where(F.col("ret_next").between(F.col("q")[0], F.col("q")[1])).drop("q")  # two rows
+    counts = signed.groupBy("regime", F.col("ret_next").alias("value")).agg(F.count("*").alias("n"))
+    tails = ranks.percentiles(counts, ["regime"], {"low": 0.01, "high": 0.99})
+    kept = signed.join(F.broadcast(tails), "regime").where(F.col("ret_next").between(F.col("low"), F.col("high"))).drop("low", "high")  # two rows
     return kept.unionByName(rows.withColumn("regime", F.lit("OVERALL")))
 
 
 def spearman(rows: DataFrame) -> DataFrame:
     """regime, horizon, rho: rank correlation of bias and returns; ties have their mean rank.
 
-    Ranks need no window over all rows: a value's rank follows from the counts of the values before it, and those are
-    counted by value, summed over ranges of values.
+    Ranks need no window over all rows: a value's rank follows from the counts of the values before it, which are
+    counted by value and summed over ranges of values.
     """
     # sums of doubles may differ in the last bits when made again: values are rounded, so that ties stay ties, and kept
     rows = written(rows.select("regime", F.monotonically_increasing_id().alias("id"), *[F.round(c, 9).alias(c) for c in ("bias", *HORIZONS)]), "regimes")
     long = rows.select("regime", "id", F.posexplode(F.array("bias", *HORIZONS)).alias("k", "value"))
     counts = long.groupBy("regime", "k", "value").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("regime", "k").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("n").over(earlier), F.lit(0)) + (F.col("n") + 1) / 2
-    ranks = counts.select("regime", "k", "value", rank.alias("rank"))
-    wide = long.join(ranks, ["regime", "k", "value"]).groupBy("regime", "id").pivot("k", list(range(len(HORIZONS) + 1))).agg(F.first("rank"))
+    placed = ranks.positions(counts, ["regime", "k"])
+    rank = F.col("before") + (F.col("n") + 1) / 2
+    ranked = placed.select("regime", "k", "value", rank.alias("rank"))
+    wide = long.join(ranked, ["regime", "k", "value"]).groupBy("regime", "id").pivot("k", list(range(len(HORIZONS) + 1))).agg(F.first("rank"))
     rho = lambda i: F.try_divide(F.covar_pop("0", str(i)), F.stddev_pop("0") * F.stddev_pop(str(i)))
     found = wide.groupBy("regime").agg(*[rho(i + 1).alias(k) for i, k in enumerate(HORIZONS)])
     return found.unpivot("regime", list(HORIZONS), "horizon", "rho")
