@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,13 @@ def test_classifiers(spark, fn, k):
 
 
 # 6
+def test_more_than_64_neighbours():
+    v = np.random.default_rng(5).standard_normal((300, 8))
+    rows = pd.DataFrame({"vec_id": np.arange(300), "v": list(v)})
+    found = ann.search_block(rows, rows[:1], 100)
+    assert len(found) == found.vec_id.nunique() == 100 and found.score.is_monotonic_decreasing
+
+
 @pytest.mark.parametrize("text", ["a\n\n\nb\tc\td", "a\tb\tc\n\n", "one two\n\n\nthree\tfour\xa0five", "a  b\u3000c", " a\x85b", "a \x1cb", "a b\nc", "a\0 b", ""])
 def test_words_are_those_of_the_library(text):
     """Also where surplus spaces and missing ones add up to one for each word."""

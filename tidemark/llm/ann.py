@@ -97,8 +97,8 @@ def search_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFr
             kept, scores = np.concatenate([kept, found]), np.concatenate([scores, unit[found] @ q_unit])
             if len(kept) >= k:
                 near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-12)
-                if len(near) > 64:  # many equal ones: the smaller ids
-                    near = near[np.lexsort((ids[kept[near]], -np.round(scores[near], 12)))[:64]]
+                if len(near) > max(k, 64):  # many equal ones: the smaller ids
+                    near = near[np.lexsort((ids[kept[near]], -np.round(scores[near], 12)))[: max(k, 64)]]
                 kept, scores = kept[near], scores[near]
                 within = stop * max(0.0, 2 - 2 * np.partition(scores, len(scores) - k)[len(scores) - k]) + 1e-9
         scores = cosine(v[kept], norm[kept], q, q_norm)
