@@ -38,11 +38,15 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Texts are long: at most so many go to a Python worker at once, in this session from now on."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 2_000, size: int = 4 << 20) -> None:
+    """Texts are long: at most so many, of about so many bytes, go to a Python worker at once, in this session from now on.
+
+    One row that is larger goes alone.
+    """
+    records = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(records)) <= rows:
+        spark.conf.set(records, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -28,7 +28,8 @@ from tidemark.llm.components import components
 BANDS, ROWS = 28, 4
 MINIMA = BANDS * ROWS
 SEED = 7
-MEMO_WORDS = 500_000
+#: Words whose hashes a task remembers, and the longest of them.
+MEMO_WORDS, MEMO_LENGTH = 100_000, 64
 HUBS = 1
 #: Members of a bucket that are compared with as many others at once.
 BLOCK = 1024
@@ -38,17 +39,18 @@ BROADCAST_IDS = 2_000_000
 
 
 class WordHashes(dict):
+    """Hashes of words, of a task, and gone with it."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= MEMO_LENGTH:
+            if len(self) > MEMO_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
-MEMO = WordHashes()
-
-
-def shingles(text: str | None, size: int) -> np.ndarray:
+def shingles(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
     """The distinct shingles of size words, ascending; of fewer words the whole sequence is the one shingle.
 
     Only A-Z are lower-cased, and only ASCII white space parts words, as bytes.lower() and bytes.split() do.
@@ -56,7 +58,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(MEMO.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - size + 1)
     out = np.full(n, min(size, len(h)), np.uint64)
     for i in range(min(size, len(h))):
@@ -92,10 +94,11 @@ def signed(size: int):
     a, b = coefficients()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                found = shingles(text, size)
+                found = shingles(text, size, hashes)
                 signature = minima(found, a, b) if len(found) else None
                 # 16 bits of each minimum tell whether two agree
                 rows.append((len(found), *((None,) * 3 if signature is None else (xxhash.xxh3_128_digest(found.tobytes()), band_keys(signature).view(np.int64), (signature >> np.uint64(48)).astype("<u2").tobytes()))))
@@ -110,8 +113,9 @@ SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, signat
 
 def sets_of(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
         for batch in batches:
-            yield pd.DataFrame({"node": batch["doc_id"], "shingles": [shingles(x, size).tobytes() for x in batch["text"]]})
+            yield pd.DataFrame({"node": batch["doc_id"], "shingles": [shingles(x, size, hashes).tobytes() for x in batch["text"]]})
 
     return run
 

@@ -32,10 +32,13 @@ CAPACITY = 4096
 END_ID = 1
 #: Lengths above CAPACITY / LARGE are large, and rounded up to GROUPS sizes.
 LARGE, GROUPS = 4, 512
-MEMO_WORDS = 500_000
+#: Bytes of words and ids that a task remembers, with what Python needs for an entry.
+MEMO_BYTES, ENTRY_BYTES = 24_000_000, 200
 BATCH_CHARS = 1_000_000
 #: Fixed values of the tokenizer's file: how it splits, and the byte that stands for its end of a word here.
 SPLIT, WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "\x01"
+#: Unassigned (libraries differ in what they know), private or half a pair, and marks, whose order the normal form may change.
+OWN_WAY = {"Cn", "Co", "Cs", "Mn", "Mc", "Me"}
 BLOCK_PIECES = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block long"
 
@@ -155,6 +158,10 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> pd.DataFra
     return pd.DataFrame(plan, columns=["length", "rank", "n", "sequence", "offset", "copies"]).astype("int64")
 
 
+def library_ids(path: str, text: str) -> bytes:
+    return np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @lru_cache(2)
 def word_encoder(path: str):
     """A function from words to the bytes of their ids, or None if the file isn't of the kind that it knows.
@@ -185,6 +192,11 @@ def word_encoder(path: str):
         return w.lower() if "Σ" not in w else "".join(map(str.lower, w))
 
     def encode(words: list[str]) -> list[bytes]:
+        """Words with characters that one of both may not know, or that combine, are the library's."""
+        odd = [not w.isascii() and any(map(OWN_WAY.__contains__, map(unicodedata.category, w))) for w in words]
+        if any(odd):
+            known = iter(encode([w for w, x in zip(words, odd, strict=True) if not x]))
+            return [library_ids(path, w) if x else next(known) for w, x in zip(words, odd, strict=True)]
         parts = [pattern.findall(w.lower() if w.isascii() else lower(unicodedata.normalize("NFC", w))) for w in words]
         if not parts:
             return []
@@ -197,27 +209,39 @@ def word_encoder(path: str):
     return encode
 
 
-def pieces_of(path: str, capacity: int):
+class WordIds(dict):
+    """The bytes of the ids of words, as far as MEMO_BYTES go: of a task, and gone with it."""
+
+    def __init__(self, encode):
+        self.encode, self.size = encode, 0
+
+    def learn(self, words: set[str]) -> None:
+        """Afterwards all words are in it."""
+        new = [w for w in words if w not in self]
+        if self.size > MEMO_BYTES:
+            self.clear()
+            self.size, new = 0, list(words)
+        self.update(zip(new, self.encode(new), strict=True))
+        self.size += sum(ENTRY_BYTES + 2 * len(w) + len(self[w]) for w in new)
+
+
+def pieces_of(path: str, capacity: int, special: list[str]):
     """Tokens of whole texts, cut. A word's ids are remembered; words never join across white space."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        own, special, memo, fast = tokenizer(path), special_tokens(path), MEMO, word_encoder(path)
+        fast = word_encoder(path)
+        memo = WordIds(fast)
         # white space for split() that isn't the tokenizer's, and the byte that marks ends
         apart = ["\x1c", "\x1d", "\x1e", "\x1f", WORD_END, *special]
         end, block, n_block = np.array([END_ID], "<u4").tobytes(), TaskContext.get().partitionId() << 32, 0
 
         def cut(part: list[tuple]) -> Iterator[tuple]:
             nonlocal block, n_block
-            new = {w for _, words, _ in part for w in words if w not in memo}
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = {w for _, words, _ in part for w in words}
-            asked = list(new)
-            memo.update(zip(asked, fast(asked) if asked else [], strict=True))
+            memo.learn({w for _, words, _ in part for w in words})
             for doc_id, words, text in part:
-                ids = np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text is not None else b"".join(map(memo.__getitem__, words))
+                ids = library_ids(path, text) if text is not None else b"".join(map(memo.__getitem__, words))
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     now = ids[at : at + 4 * capacity]
@@ -242,9 +266,6 @@ def pieces_of(path: str, capacity: int):
     return run
 
 
-MEMO: dict[str, bytes] = {}
-
-
 def placed(pieces: pd.DataFrame, before: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
     """sequence_id and offset of a block's pieces. before: how many pieces of each length the earlier blocks hold."""
     pieces = pieces.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], kind="stable", ignore_index=True)
@@ -268,7 +289,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     small_batches(docs.sparkSession)
-    pieces = written(docs.mapInPandas(pieces_of(path, capacity), PIECES), "pieces")
+    pieces = written(docs.mapInPandas(pieces_of(path, capacity, special_tokens(path)), PIECES), "pieces")
     counts = pieces.groupBy("block", "length").count()
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # capacity rows at most
     plan = make_plan(histogram, capacity).sort_values(["length", "rank"], ignore_index=True)
