@@ -240,6 +240,16 @@ def test_near(spark):
     assert near_dedup.near_duplicates(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_near_of_repeated_ids(spark):
+    """A doc_id with two texts, each with a near copy; three texts of no doc_id; a very long text and its copy; repeated rows."""
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    long = " ".join(f"l{i % 7919}" for i in range(200_000))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (3, b + " y"), (4, "else"), (None, a), (None, None), (9, long), (8, long + " end"), (1, a)]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 2, 80).collect()
+    assert len(out) == len(rows)
+    assert {(r.doc_id, r.component_id, r.kept) for r in out} == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (None, None, True), (8, 8, True), (9, 8, False)}
+
+
 # 10
 def brute_lines(rows, least=50):
     docs = [(d, [(i, y) for i, x in enumerate((t or "").split("\n")) if (y := re.sub(r"\s+", " ", x).strip(" "))]) for d, t in rows]

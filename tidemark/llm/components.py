@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     are taken with partial aggregates, so a node with very many neighbours is not gathered anywhere. Ends when a round
     leaves the edges as they were.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

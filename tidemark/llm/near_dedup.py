@@ -1,7 +1,7 @@
 """Near duplicates by MinHash: many universal hash minima, banding, verification, connected components.
 
 1. A document becomes the set of its word shingles, as 64-bit hashes, and this its MINIMA minima of universal hashes.
-   Documents with equal sets are one class, told by a 128-bit digest; only its smallest doc_id goes on.
+   Documents with equal sets are one class, told by a 128-bit digest; only one of its rows goes on, as its node.
 2. ROWS minima make a band; classes with an equal band share a bucket. Classes at a similarity of 0.8 share one of the
    BANDS with a probability of over 0.999995. Each class is first compared with the smallest of each of its buckets, on
    the full sets. That joins most of a bucket, however large, with as many comparisons as it has members.
@@ -9,7 +9,10 @@
    and those still outside with the whole bucket, in blocks: by signature, then by their rarest shingles,
    of which linked documents share a known part, and what passes on the full sets. So no link
    between members of a bucket is missed, and pairs within one component, which could add nothing, aren't made.
-4. Components of all links are found by alternating large-star and small-star.
+4. Components of all links are found by alternating large-star and small-star. Classes of one doc_id are linked besides;
+   a component's smallest doc_id is taken at the end.
+
+A bucket may hold any share of the rows: its members carry the bucket's size, and by it are salted where they are joined.
 """
 
 from __future__ import annotations
@@ -34,8 +37,10 @@ HUBS = 1
 #: Members of a bucket that are compared with as many others at once.
 BLOCK = 1024
 UNIT = 4 * BLOCK
-#: Sets of at most so many bytes in all are sent to every executor.
-BROADCAST_IDS = 2_000_000
+#: Keys of at most so many bytes, at so many for each, are sent to every executor.
+BROADCAST_BYTES, KEY_BYTES = 32_000_000, 96
+#: Members of a bucket that are joined in one task.
+SALT = 4096
 
 
 class WordHashes(dict):
@@ -90,6 +95,10 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return keys
 
 
+def digest(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
 def signed(size: int):
     a, b = coefficients()
 
@@ -101,21 +110,25 @@ def signed(size: int):
                 found = shingles(text, size, hashes)
                 signature = minima(found, a, b) if len(found) else None
                 # 16 bits of each minimum tell whether two agree
-                rows.append((len(found), *((None,) * 3 if signature is None else (xxhash.xxh3_128_digest(found.tobytes()), band_keys(signature).view(np.int64), (signature >> np.uint64(48)).astype("<u2").tobytes()))))
+                rows.append((len(found), *((None,) * 3 if signature is None else (digest(found), band_keys(signature).view(np.int64), (signature >> np.uint64(48)).astype("<u2").tobytes()))))
             made = pd.DataFrame(rows, columns=["n_shingles", "set_id", "bands", "signature"])
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), made], axis=1)
+            yield pd.concat([batch[["doc_id", "row_key"]].reset_index(drop=True), made], axis=1)
 
     return run
 
 
-SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, signature binary"
+SIGNED = "doc_id long, row_key long, n_shingles long, set_id binary, bands array<long>, signature binary"
 
 
 def sets_of(size: int):
+    """Sets of the rows whose set is the node's: a row_key is a hash, and may be another row's."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            yield pd.DataFrame({"node": batch["doc_id"], "shingles": [shingles(x, size, hashes).tobytes() for x in batch["text"]]})
+            found = [shingles(x, size, hashes) for x in batch["text"]]
+            own = np.array([digest(x) == y for x, y in zip(found, batch["set_id"], strict=True)], bool)
+            yield pd.DataFrame({"node": batch["node"], "shingles": [x.tobytes() for x in found]})[own]
 
     return run
 
@@ -134,17 +147,17 @@ def linked(percent: int):
     return run
 
 
-def sets_for(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """node, shingles binary, of the documents named by nodes (node); no other text is taken."""
-    wanted = nodes.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
+def sets_for(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """node, shingles binary, of the nodes that wanted (node) names; no other text is taken."""
+    keys = nodes.select("node", "row_key", "set_id").join(wanted.select("node").distinct(), "node", "left_semi")
+    keys = F.broadcast(keys) if keys.count() * KEY_BYTES <= BROADCAST_BYTES else keys
+    texts = docs.join(keys, "row_key").select("node", "set_id", "text")
     return written(texts.mapInPandas(sets_of(size), "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those that the full sets link."""
-    pairs = written(pairs, "pairs")
-    sets = sets_for(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, size)
+    sets = sets_for(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), nodes, docs, size)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return written(both.select("a", "b", "x", "y").mapInPandas(linked(percent), "a long, b long"), "links")
 
@@ -153,9 +166,9 @@ def as_longs(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": batch["node"], "s": [np.frombuffer(x, np.int64) for x in batch["shingles"]]})
 
 
-def rarest(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """node, rare array<long>: the rarest of its shingles among nodes, rarest first; a good part more than can differ from those of a linked document."""
-    each = sets_for(nodes, docs, size).mapInPandas(per_row(as_longs), "node long, s array<long>").select("node", F.explode("s").alias("s"))
+def rarest(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, rare array<long>: the rarest of its shingles among those wanted, rarest first; a good part more than can differ from those of a linked document."""
+    each = sets_for(wanted, nodes, docs, size).mapInPandas(per_row(as_longs), "node long, s array<long>").select("node", F.explode("s").alias("s"))
     times = each.groupBy("s").agg(F.count("*").alias("times"))
     sorted_ = each.join(times, "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "s"))).alias("all"))
     n = F.size("all")
@@ -214,44 +227,44 @@ def with_links(joined: DataFrame, more: DataFrame) -> DataFrame:
     return components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
-def links_of(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """node, component of the classes (node, n_shingles, bands, signature) that some link joins with another."""
+def largest_parts(known: DataFrame, turn: int) -> DataFrame:
+    """Of each bucket of several components: n_open (members outside of the largest), most (that component) and hub (a member of it), for every salt."""
+    inside = known.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.max_by("node", F.xxhash64("node", F.lit(turn))).alias("hub"))
+    largest = inside.groupBy("bucket").agg(F.max(F.struct("m", "component", "hub")).alias("most"), F.sum("m").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    salts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / SALT) - 1)
+    return largest.select("bucket", (F.col("n") - F.col("most.m")).alias("n_open"), F.col("most.component").alias("most"), F.col("most.hub").alias("hub"), F.explode(salts).alias("salt"))
+
+
+def links_of(docs: DataFrame, nodes: DataFrame, same_doc: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, component of the classes (node, row_key, set_id, n_shingles, bands, signature) that some link joins with another. same_doc: links besides."""
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    members = written(buckets.join(heads, "bucket").select("bucket", "head", "node"), "buckets")
-    links = verify(members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), docs, size, percent)
-    members, joined = members.select("bucket", "node"), components(links)
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SALT)).alias("salt")
+    members = written(buckets.join(heads, "bucket").select("bucket", salt, "head", "n", "node"), "buckets")
+    links = verify(members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), nodes, docs, size, percent)
+    joined = components(links.unionByName(same_doc))
     for turn in range(HUBS + 1):
-        known = members.join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        known = written(known, "known")
-        inside = known.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max_by("node", F.xxhash64("node", F.lit(turn))).alias("hub"))
-        largest = inside.groupBy("bucket").agg(F.max(F.struct("n", "component", "hub")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-        known = known.join(largest, "bucket").select("bucket", "node", "component", F.col("most.hub").alias("hub"), (F.col("component") != F.col("most.component")).alias("open"))
-        if turn == HUBS:
-            break
-        pairs = known.where("open").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-        more = verify(pairs, docs, size, percent)
-        joined = with_links(joined, more)
-    known = written(known.drop("hub"), "known")
-    open_ = known.where("open").select("bucket", "node", "component")
-    if open_.isEmpty():
+        known = members.join(joined, "node", "left").select("bucket", "salt", "n", "node", F.coalesce("component", "node").alias("component"))
+        known = known.join(largest_parts(known, turn), ["bucket", "salt"])
+        known = written(known.select("bucket", "n", "n_open", "node", "component", "hub", (F.col("component") != F.col("most")).alias("open")), "known")
+        if turn < HUBS:
+            pairs = known.where("open").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+            joined = with_links(joined, verify(pairs, nodes, docs, size, percent))
+    if known.isEmpty():
         return joined
-    n_open = open_.groupBy("bucket").agg(F.count("*").alias("n_open"))
-    full = known.join(n_open, "bucket").join(nodes.select("node", "n_shingles", "signature", "bands"), "node")
-    full = written(full.join(rarest(full.select("node"), docs, size, percent), "node"), "open")
-    n_left = F.ceil(F.col("n_open") / BLOCK).cast("int")
-    n_right = F.ceil(F.col("n") / BLOCK).cast("int")
-    sized = full.join(full.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    full = known.drop("hub").join(nodes.select("node", "n_shingles", "signature", "bands"), "node")
+    full = written(full.join(rarest(known, nodes, docs, size, percent), "node"), "open")
+    n_left, n_right = F.ceil(F.col("n_open") / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
     spread = F.xxhash64("node")
-    left = sized.where("open").withColumn("i", F.pmod(spread, n_left)).withColumn("j", F.explode(F.sequence(F.lit(0), n_right - 1)))
-    right = sized.withColumn("j", F.pmod(spread, n_right)).withColumn("i", F.explode(F.sequence(F.lit(0), n_left - 1)))
+    left = full.where("open").withColumn("i", F.pmod(spread, n_left)).withColumn("j", F.explode(F.sequence(F.lit(0), n_right - 1)))
+    right = full.withColumn("j", F.pmod(spread, n_right)).withColumn("i", F.explode(F.sequence(F.lit(0), n_left - 1)))
     keep = ["node", "component", "n_shingles", "signature", "bands", "rare", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")]
     unit = F.pmod(F.xxhash64("bucket"), F.lit(max(1, full.count() // UNIT))).alias("unit")  # small buckets go together
     left, right = left.select(unit, "bucket", *keep), right.select(unit, "bucket", *keep)
     left = left.select([F.col(c).alias(f"left_{c}") for c in left.columns])
     pairs = left.groupBy("left_unit", "left_i", "left_j").cogroup(right.groupBy("unit", "i", "j")).applyInPandas(agreeing(percent), "a long, b long")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return with_links(joined, verify(pairs, docs, size, percent))
+    pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    return with_links(joined, verify(pairs, nodes, docs, size, percent))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -259,23 +272,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     Documents are linked if 100 * common shingles >= percent * shingles of both; component_id is the smallest doc_id
     that links reach, kept tells the document that stays. Documents without words are linked with nothing. Rows that
-    repeat a doc_id are one document for this, whose links are those of all its texts' classes; each row has its own
-    n_shingles. A row without doc_id has a null component_id and is kept. Other columns are ignored.
+    repeat a doc_id are one document for this, whose links are those of all its texts; each row has its own n_shingles.
+    A row without doc_id has a null component_id and is kept. No rows give no rows. Other columns are ignored. Texts are
+    whole, of any length.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
     small_batches(docs.sparkSession)
-    found = written(docs.mapInPandas(signed(shingle_words), SIGNED), "signed")
-    linkable = found.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
-    classes = linkable.groupBy("set_id").agg(F.min("doc_id").alias("node"))
-    firsts = linkable.join(classes, (linkable["set_id"] == classes["set_id"]) & (linkable["doc_id"] == classes["node"]), "left_semi")
-    firsts = firsts.select(F.col("doc_id").alias("node"), "n_shingles", "bands", "signature").dropDuplicates(["node", "signature"])
-    joined = links_of(docs, firsts, shingle_words, percent)
-    of_class = linkable.select("set_id", "doc_id").join(classes, "set_id").select("doc_id", "node").distinct()
-    of_class = of_class.join(joined, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    of_doc = of_class.groupBy("doc_id").agg(F.min("component").alias("component_id"))
-    out = found.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    found = written(docs.mapInPandas(signed(shingle_words), SIGNED).withColumn("row", F.monotonically_increasing_id()), "signed")
+    linkable = found.where("set_id is not null and doc_id is not null")
+    classes = linkable.groupBy("set_id").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
+    firsts = linkable.join(classes.select("node"), linkable["row"] == F.col("node")).drop("row", "doc_id")
+    of_doc = linkable.join(classes, "set_id").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").select("doc_id", "b")
+    same_doc = written(linkable.join(of_doc, "doc_id").join(classes, "set_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "same-doc")
+    joined = links_of(docs, firsts, same_doc, shingle_words, percent)
+    least = classes.join(joined, "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    linked_classes = classes.join(joined, "node", "left").join(least, "component", "left").select("set_id", F.coalesce("component_id", "least").alias("component_id"))
+    out = linkable.join(linked_classes, "set_id").select("doc_id", "n_shingles", "component_id")
+    rest = found.where("set_id is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
