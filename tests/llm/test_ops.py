@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann, bpe, chat, html_text, line_dedup, near_dedup, packing, quality, topk, toxicity
-from tidemark.llm.common import first_by_hash
+from tidemark.llm.common import sampled
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", None, " ", "a  b", "a\n\nb\n\n\nc ", "x<|endoftext|> y", "it's  don't", "\x1c!\x1c ", "\xa0 x", "日本語 😀", "é Å İ", "Same text", "Same text", "word " * 9000]
@@ -105,13 +105,21 @@ def labelled(spark):
     return spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([*labels, (5, None, None)], "doc_id long, quality int, toxic int"), {i: (q, t) for i, q, t in labels}
 
 
-def test_first_by_hash(spark):
-    """The filter before the sort leaves the sample as it is; small and empty tables go whole."""
-    rows = spark.range(5000).withColumnRenamed("id", "doc_id")
-    plain = [r[0] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(300).collect()]
-    assert [r[0] for r in first_by_hash(rows, 300).collect()] == plain
-    assert first_by_hash(rows, 9000).count() == 5000
-    assert first_by_hash(rows.limit(0), 300).count() == 0
+def test_sampled(spark):
+    """The filter before the sort leaves the sample as it is; small and empty tables go whole; so do keys that aren't spread as hashes are."""
+    rows = spark.range(5000).select(F.xxhash64("id").alias("row_key"), "id")
+    plain = sorted(r[0] for r in rows.orderBy("row_key").limit(300).collect())
+    assert sorted(r[0] for r in sampled(rows.union(rows), 300).collect()) == plain
+    assert sampled(rows, 9000).count() == 5000 and sampled(rows.limit(0), 300).count() == 0
+    assert [sampled(spark.range(5000).select((F.col("id") + k).alias("row_key")), 300).count() for k in (0, 2**62)] == [300, 300]
+
+
+def test_prior():
+    """Positives and negatives of overlapping scores; the unlabelled hold 30 or 80 % positives."""
+    rng = np.random.default_rng(2)
+    for prior in (0.3, 0.8):
+        p, u = rng.beta(6, 2, 20_000), np.concatenate([rng.beta(6, 2, int(40_000 * prior)), rng.beta(2, 6, 40_000 - int(40_000 * prior))])
+        assert quality.prior_of(np.stack([np.histogram(x, 1000, (0, 1))[0] for x in (p, u)], axis=1)) == pytest.approx(prior, abs=0.03)
 
 
 @pytest.mark.parametrize(("fn", "k"), [(quality.scored, 0), (toxicity.scored, 1)])
@@ -125,6 +133,20 @@ def test_classifiers(spark, fn, k):
     assert fn(docs, labels.limit(0)).count() == 604 and fn(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize(("fn", "name"), [(quality.scored, "quality"), (toxicity.scored, "toxic")])
+def test_classifiers_on_odd_tables(spark, fn, name):
+    """One doc_id for nearly all rows, or none; labels of one kind; columns named like the operator's; very long and repeated texts."""
+    schema = "doc_id long, text string, score double, x string, row_key int, toxic string, held_out int"
+    texts = ["good words " * 3, "BAD!! " * 4, "word " * 200_000, None, "", "good words " * 3]
+    for ids in ([1] * 300, [None] * 300, list(range(300))):
+        docs = spark.createDataFrame([(d, f"{texts[i % 6]} {i % 50}" if texts[i % 6] and i % 6 != 2 else texts[i % 6], 9.0, "x", 1, "t", 7) for i, d in enumerate(ids) if i % 6 != 2 or i < 6], schema)
+        for kinds in ([0, 1], [1], [0]):
+            labels = spark.createDataFrame([(i, kinds[i % len(kinds)], 5) for i in range(300)], f"doc_id long, {name} int, score int")
+            if kinds == [0, 1] or ids[0] == 0:
+                out = fn(docs, labels, sample_rows=20).collect()
+                assert len(out) == docs.count() and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in out)
+
+
 # 6
 def test_more_than_64_neighbours():
     v = np.random.default_rng(5).standard_normal((300, 8))

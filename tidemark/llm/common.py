@@ -2,40 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import drop, shared_dir, written
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, as the session names it; a temporary one only where it is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jvm_dir.get() if jvm_dir.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
+__all__ = ["drop", "held_out", "per_row", "read", "sampled", "shared_dir", "small_batches", "written"]
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again.
 
-    A lost executor then costs a re-read and not the work before it.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(partition_by) if partition_by else out).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small_batches(spark: SparkSession, rows: int = 2_000, size: int = 4 << 20) -> None:
@@ -54,15 +33,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def first_by_hash(rows: DataFrame, limit: int, *ties: str) -> DataFrame:
-    """The limit rows of least hash of doc_id. Hashes beyond half as many again are left out before the sort.
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A hash of a document, which rows that repeat both have in common."""
+    return F.xxhash64(doc_id, text)
+
+
+def sampled(rows: DataFrame, limit: int) -> DataFrame:
+    """Of rows (row_key, ...), with those that repeat a row_key counted once, the limit of least row_key.
 
-    Without that each partition would hand on limit rows, and what meets in one place would grow with the input.
+    row_key is a hash: keys beyond half as many again are left out before the sort, so that what meets in one place
+    doesn't grow with the input; should fewer than limit be left, all keys are sorted.
     """
-    n, hashed = rows.count(), F.xxhash64("doc_id")
+    keys = rows.select("row_key").distinct()
+    n = keys.count()
     if n > 2 * limit:
-        rows = rows.where(hashed < F.lit(int(1.5 * limit / n * 2**64) - 2**63))
-    return rows.orderBy(hashed, "doc_id", *ties).limit(limit)
+        near = keys.where(F.col("row_key") < F.lit(int(1.5 * limit / n * 2**64) - 2**63))
+        keys = near if near.count() >= limit else keys
+    keys = written(keys.orderBy("row_key").limit(limit), "sample")
+    return rows.join(F.broadcast(keys), "row_key").dropDuplicates(["row_key"])  # limit keys at most
 
 
 def per_row(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

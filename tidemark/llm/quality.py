@@ -1,9 +1,14 @@
 """Quality by positive-unlabelled learning with the non-negative risk.
 
-Trusted positives are training rows of label 1; the unlabelled are texts of training rows, whatever their label. With the
-class prior pi, a score g is fitted that minimises pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)]): the second term
-is the risk on negatives, which can't be below zero. l is the logistic loss, so that the sigmoid of g estimates the
-probability of label 1. g is a small network over dense features of the whole text.
+Trusted positives are training rows of label 1; no other label is looked at. With the class prior pi, a score g is fitted
+that minimises pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)]): the second term is the risk on negatives, which
+can't be below zero. l is the logistic loss, so that the sigmoid of g estimates the probability of label 1. g is a small
+network over dense features of the whole text.
+
+The prior is estimated from positives and unlabelled texts alone. A network that tells positives from unlabelled texts
+scores all rows; at the top of its scores nearly all unlabelled texts are positive, so the share of unlabelled rows that
+reach a score, over the share of positives that do, comes down to the prior there. The score is taken at which this
+ratio with its margin of error is least.
 """
 
 from __future__ import annotations
@@ -15,10 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import first_by_hash, held_out, per_row, read, small_batches, written
+from tidemark.llm.common import drop, held_out, per_row, read, row_key, sampled, small_batches, written
 
-#: At most so many positives and so many unlabelled rows are fitted on, the first by a hash of doc_id.
+#: At most so many labelled rows are fitted on as positives, and as many as unlabelled, the first by a hash of doc_id and text.
 SAMPLE_ROWS = 20_000
+#: Scores are counted in so many bins; a ratio of shares is surer than 1 - DELTA.
+BINS, DELTA = 1000, 0.1
 HIDDEN, STEPS, BATCH, RATE, SEED = 16, 600, 4096, 0.01, 11
 THRESHOLD = 0.7
 SYMBOLS = "!#$%&*|.,;:?@_=~^<>/\\"
@@ -50,7 +57,7 @@ N_FEATURES = len(features(""))
 
 
 def featured(batch: pd.DataFrame) -> pd.DataFrame:
-    return batch[["doc_id", "held_out"]].assign(x=[features(t) for t in batch["text"]])
+    return batch[["doc_id", "held_out", "row_key"]].assign(x=[features(t) for t in batch["text"]])
 
 
 def scale(x: np.ndarray, mean: np.ndarray, dev: np.ndarray) -> np.ndarray:
@@ -61,12 +68,15 @@ def network(x: np.ndarray, w: list[np.ndarray]) -> np.ndarray:
     return np.tanh(x @ w[0] + w[1]) @ w[2] + w[3]
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> list[np.ndarray]:
-    """Weights of the network; Adam over batches of both kinds of rows."""
+def sigmoid(g: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(g, -40, 40)))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> list[np.ndarray]:
+    """Weights of the network; Adam over batches of both kinds of rows. Without prior it tells positives from unlabelled rows."""
     rng = np.random.default_rng(SEED)
     w = [rng.standard_normal((positive.shape[1], HIDDEN)) * 0.3, np.zeros(HIDDEN), rng.standard_normal(HIDDEN) * 0.3, np.zeros(1)]
     m, v = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w]
-    sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -40, 40)))
     soft = lambda g: np.logaddexp(0, g)
     for step in range(1, STEPS + 1):
         p, u = (a[rng.integers(0, len(a), BATCH)] for a in (positive, unlabelled))
@@ -74,10 +84,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> list[np.n
         h = np.tanh(x @ w[0] + w[1])
         g = h @ w[2] + w[3]
         gp, gu = g[:BATCH], g[BATCH:]
-        negative = soft(gu).mean() - prior * soft(gp).mean()
-        # below zero the risk on negatives is overfitted: step back on it alone
-        d_negative = np.concatenate([-prior * sigmoid(gp), sigmoid(gu)]) / BATCH
-        d = -d_negative if negative < 0 else d_negative + np.concatenate([-prior * sigmoid(-gp), np.zeros(BATCH)]) / BATCH
+        if prior is None:
+            d = np.concatenate([-sigmoid(-gp), sigmoid(gu)]) / BATCH
+        else:
+            negative = soft(gu).mean() - prior * soft(gp).mean()
+            # below zero the risk on negatives is overfitted: step back on it alone
+            d_negative = np.concatenate([-prior * sigmoid(gp), sigmoid(gu)]) / BATCH
+            d = -d_negative if negative < 0 else d_negative + np.concatenate([-prior * sigmoid(-gp), np.zeros(BATCH)]) / BATCH
         dh = d[:, None] * w[2] * (1 - h * h)
         grads = [x.T @ dh + 1e-4 * w[0], dh.sum(axis=0), h.T @ d + 1e-4 * w[2], np.array([d.sum()])]
         for i, grad in enumerate(grads):
@@ -86,44 +99,73 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> list[np.n
     return w
 
 
-def sample(rows: DataFrame) -> np.ndarray:
-    found = first_by_hash(rows, SAMPLE_ROWS, "x").select("x").toPandas()
-    return np.array(found["x"].tolist(), np.float64).reshape(-1, N_FEATURES)
+def matrix(rows: DataFrame) -> np.ndarray:
+    return np.array(rows.select("x").toPandas()["x"].tolist(), np.float64).reshape(-1, N_FEATURES)
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, x of every row."""
+    """doc_id, held_out, row_key, x of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return written(docs.mapInPandas(per_row(featured), "doc_id long, held_out boolean, x array<double>"), "features")
+    docs = docs.withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
+    return written(docs.mapInPandas(per_row(featured), "doc_id long, held_out boolean, row_key long, x array<double>"), "features")
+
+
+def scoring(weights: list[np.ndarray], mean: np.ndarray, dev: np.ndarray, keep: list[str]):
+    def score(batch: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(batch["x"].tolist(), np.float64).reshape(-1, N_FEATURES)
+        return batch[keep].assign(score=sigmoid(network(scale(x, mean, dev), weights)))
+
+    return per_row(score)
+
 
+def prior_of(counts: np.ndarray) -> float:
+    """The class prior. counts: positives and unlabelled rows in each bin of scores, the least scores first."""
+    n = counts.sum(axis=0)
+    reach = counts[::-1].cumsum(axis=0)[::-1] / n
+    margin = np.sqrt(np.log(4 / DELTA) / 2 / n).sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        upper = np.where(reach[:, 0] > 0, (reach[:, 1] + margin) / reach[:, 0], np.inf)
+    at = int(np.argmin(upper))
+    return float(np.clip(reach[at, 1] / reach[at, 0], 0.01, 0.99))
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+
+def estimated_prior(positives: DataFrame, everything: DataFrame, positive: np.ndarray, unlabelled: np.ndarray, mean: np.ndarray, dev: np.ndarray) -> float:
+    """positives, everything: x, of all training rows of label 1 and of all training rows."""
+    weights = fit(scale(positive, mean, dev), scale(unlabelled, mean, dev), None)
+    rows = positives.select("x", F.lit(1).alias("p")).unionByName(everything.select("x", F.lit(0).alias("p")))
+    bin_ = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
+    found = rows.mapInPandas(scoring(weights, mean, dev, ["p"]), "p int, score double").groupBy(bin_).agg(F.sum("p").alias("p"), F.count_if(F.col("p") == 0).alias("u"))
+    counts = np.zeros((BINS, 2))
+    for r in found.collect():  # BINS rows at most
+        counts[r["bin"]] = r["p"], r["u"]
+    return prior_of(counts)
+
+
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score double, predicted int for every row of docs (doc_id, text). labels: doc_id, quality.
 
     Labels are learned from rows alone whose crc32(doc_id as text) mod 4 is not 2; of several labels of one doc_id the
-    least counts, null ones don't. The prior is the share of label 1 among the labelled training rows. Null and empty
-    texts are scored like any other. Where nothing can be learned (no training row of label 1), all scores are the prior,
-    or 0 without labels. Null and repeated doc_id keep their rows. Other columns are ignored.
+    least counts, null ones don't. The network is fitted on sample_rows of the rows of label 1, and on as many rows that
+    have some label, which isn't looked at, as unlabelled ones; rows that repeat doc_id and text are fitted on once. The
+    prior is counted over all training rows. Null and empty texts are scored like any other, very long ones as a whole.
+    Without a training row of label 1 all scores are 0. Null and repeated doc_id keep their rows. No rows give no rows.
+    Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     found = prepared(docs)
+    own = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("is_positive"))
     training = found.where(~F.col("held_out"))
-    own = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    labelled = training.join(own, "doc_id")
-    n, n_positive = labelled.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).first()
-    prior = n_positive / n if n else 0.0
-    if not n_positive or n_positive == n and training.count() == n:
-        return found.select("doc_id", "held_out", F.lit(prior).alias("score"), F.lit(int(prior >= threshold)).alias("predicted"))
-    positive, unlabelled = sample(labelled.where("quality = 1")), sample(training)
+    labelled = written(training.join(own, "doc_id").select("row_key", "is_positive", "x"), "labelled")
+    positive = matrix(sampled(labelled.where("is_positive"), sample_rows))
+    if not len(positive):
+        return found.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    unlabelled = matrix(sampled(labelled, sample_rows))
     mean, dev = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-6
+    prior = estimated_prior(labelled.where("is_positive"), training, positive, unlabelled, mean, dev)
     weights = fit(scale(positive, mean, dev), scale(unlabelled, mean, dev), prior)
-
-    def score(batch: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(batch["x"].tolist(), np.float64).reshape(-1, N_FEATURES)
-        p = 1 / (1 + np.exp(-np.clip(network(scale(x, mean, dev), weights), -40, 40)))
-        return batch[["doc_id", "held_out"]].assign(score=p, predicted=(p >= threshold).astype("int32"))
-
-    return found.mapInPandas(per_row(score), "doc_id long, held_out boolean, score double, predicted int")
+    drop(labelled)
+    out = found.mapInPandas(scoring(weights, mean, dev, ["doc_id", "held_out"]), "doc_id long, held_out boolean, score double")
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op4_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:

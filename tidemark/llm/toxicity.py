@@ -20,9 +20,9 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import first_by_hash, held_out, per_row, read, small_batches, written
+from tidemark.llm.common import held_out, per_row, read, row_key, sampled, small_batches, written
 
-#: At most so many labelled rows are learned from, the first by a hash of doc_id; the lexicon has at most LEXICON entries.
+#: At most so many labelled rows are learned from, the first by a hash of doc_id and text; the lexicon has at most LEXICON entries.
 SAMPLE_ROWS = 20_000
 LEXICON = 600
 #: A lexicon entry stands in at least so many toxic texts of the sample, and that many times likelier than in others.
@@ -91,19 +91,23 @@ def featured(words: frozenset[str], begins: frozenset[str]):
     return per_row(fn)
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score double, predicted int for every row of docs (doc_id, text). labels: doc_id, toxic.
 
-    Labels are learned from rows alone whose crc32(doc_id as text) mod 4 is not 2; of several labels of one doc_id the
-    greatest counts, null ones don't. Null and empty texts are scored like any other. With training rows of one label
-    only, all scores are that label; without any, 0. Null and repeated doc_id keep their rows. Other columns are ignored.
+    Labels are learned from rows alone whose crc32(doc_id as text) mod 4 is not 2, of these from sample_rows at most; of
+    several labels of one doc_id the greatest counts, null ones don't; rows that repeat doc_id and text are learned from
+    once. Null and empty texts are scored like any other, very long ones as a whole. With training rows of one label
+    only, all scores are that label; without any, 0. Null and repeated doc_id keep their rows. No rows give no rows.
+    Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    own = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    ids = written(docs.where(~F.col("held_out")).select("doc_id").join(own, "doc_id").distinct(), "toxic-labelled")
-    ids = written(first_by_hash(ids, SAMPLE_ROWS), "toxic-sample")  # SAMPLE_ROWS at most
-    sample = written(docs.join(F.broadcast(ids), "doc_id").select("doc_id", "held_out", "toxic", "text"), "toxic-texts")
+    own = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    keyed = docs.withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
+    labelled = written(keyed.where(~F.col("held_out")).select("row_key", "doc_id").join(own, "doc_id").select("row_key", "toxic").distinct(), "toxic-labelled")
+    chosen = written(sampled(labelled, sample_rows), "toxic-sample")  # sample_rows at most
+    sample = keyed.join(F.broadcast(chosen), "row_key").dropDuplicates(["row_key"])
+    sample = written(sample.select("doc_id", "held_out", "toxic", "text"), "toxic-texts")
     words, begins = lexicon_of(sample)
     training = written(sample.mapInPandas(featured(words, begins), SCHEMA).coalesce(4), "toxic-training")
     n, n_toxic = training.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
