@@ -289,7 +289,18 @@ def brute_lines(rows, least=50):
     return gone
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("partitions", [4, 40])
+def test_lines(spark, partitions):
+    """With 40 partitions intervals of the array go over many ranges."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        lines_are_those_of_brute_force(spark)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def lines_are_those_of_brute_force(spark):
     rng = random.Random(8)
     pool = [" ".join(f"p{k}w{i}" for i in range(n)) for k, n in enumerate([60, 20, 20, 20, 9, 3])]
     texts = []
@@ -305,3 +316,14 @@ def test_lines(spark):
         assert out[d].n_removed == len(away) and out[d].text == (t if not away else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in away))
         assert out[d].node == "clash"
     assert line_dedup.dedup_lines(docs_of(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_lines_of_odd_rows(spark):
+    """Repeated doc_ids and rows, rows without doc_id, a very long text, columns named like the operator's own."""
+    passage = "\n".join(" ".join(f"q{k}w{i}" for i in range(12)) for k in range(6))
+    long = "\n".join(f"line {i} of a very long text" for i in range(30_000))
+    rows = [(1, passage, "p"), (1, "own\n" + passage, "q"), (None, passage, "r"), (2, "x\n" + passage + "\ny", "s"), (2, "x\n" + passage + "\ny", "t"), (3, long, "u"), (4, long + "\nend", "v"), (5, " \n\t\n", "w")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, seq string").repartition(5)).collect()
+    found = sorted((r.doc_id or 0, r.seq, r.n_removed, r.text) for r in out)
+    assert [x for x in found if x[0] != 1] == [(0, "r", 0, passage), (2, "s", 6, "x\ny"), (2, "t", 6, "x\ny"), (3, "u", 0, long), (4, "v", 30_000, "end"), (5, "w", 0, " \n\t\n")]
+    assert {x[1]: x[2:] for x in found if x[0] == 1} == {"p": (6, ""), "q": (6, "own")}
