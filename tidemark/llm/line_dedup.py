@@ -204,7 +204,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keyed = docs.withColumn("__text_id", F.unhex(F.md5("text")))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("text_id", F.unhex(F.md5("text")))
     gone = repeated_lines(once(plain), min_words).select(F.col("doc_id").alias("__doc_id"), F.col("text_id").alias("__gone_id"), F.col("gone").alias("__gone"))
-    out = keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(gone["__doc_id"]) & (keyed["__text_id"] == gone["__gone_id"]), "left")
+    # by a shuffle at every size: what goes may be any share of the lines
+    out = keyed.join(gone.hint("merge"), keyed["doc_id"].cast("long").eqNullSafe(gone["__doc_id"]) & (keyed["__text_id"] == gone["__gone_id"]), "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
     n = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
