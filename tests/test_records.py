@@ -8,7 +8,9 @@ import os
 import pandas as pd
 import pytest
 
+from tidemark.operators import sentiment
 from tidemark.plans import records
+from tidemark.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +49,34 @@ def test_stream_is_batch_on_the_table(spark):
         pytest.skip("no test data")
     stream, batch = ({(r.user_id, r.day): (r.total, r.n) for r in f(spark, SF).collect()} for f in (records.stream_windows, records.batch_windows))
     assert len(stream) == 659 and stream.keys() == batch.keys() and all(batch[k] == pytest.approx(v) for k, v in stream.items())
+
+
+def test_streams_resume(spark, tmp_path):
+    """A second run takes only the files that came since: first rows, states of tries, scores."""
+    at = lambda day: datetime.datetime(2024, 1, day, 12)
+    days = [[(1, at(1), 1, False, "odd"), (1, at(2), 2, False, "HTTP 429"), (2, at(1), 3, False, "404")], [(1, at(3), 4, False, "x" * 600), (2, at(3), 5, True, None), (2, at(4), 6, False, "too many requests"), (1, at(3), 4, False, "again")]]
+    (tmp_path / "tries.parquet").mkdir()
+    states, firsts = [], []
+    for i, rows in enumerate(days):
+        pd.DataFrame(rows, columns=["id", "at", "nth", "ok", "message"]).astype({"at": "datetime64[us]"}).to_parquet(tmp_path / "tries.parquet" / f"part-{i}.parquet")
+        stream = streams.source(spark, f"{tmp_path}/tries.parquet", spark.read.parquet(f"{tmp_path}/tries.parquet").schema)
+        found = streams.retries_of_stream(stream.withColumn("at", stream["at"].cast("timestamp")), f"{tmp_path}/out", f"{tmp_path}/state")
+        states.append({r.id: (r.retry, r.error, r.scraped, r.last_at.day) for r in found.collect()})
+        first = streams.first_rows_of_stream(stream.select("nth", "message"), "nth", "message", f"{tmp_path}/first", f"{tmp_path}/first-state")
+        firsts.append(sorted(map(tuple, first.collect())))
+    assert states[0] == {1: (1, "odd", False, 1), 2: (1, "404", False, 1)}
+    assert states[1] == {1: (3, "x" * 500, False, 3), 2: (0, None, True, 3)} or states[1] == {1: (3, "again", False, 3), 2: (0, None, True, 3)}
+    assert firsts[0] == [(1, "odd"), (2, "HTTP 429"), (3, "404")] and firsts[1][:3] == firsts[0] and [x[0] for x in firsts[1]] == [1, 2, 3, 4, 5, 6] and firsts[1][3] == (4, "again")
+
+
+def test_any_scorer(spark):
+    """It is loaded once for a task and gets at most so many texts at once; null texts are empty."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def load():
+        seen.add(1)
+        return lambda texts: [(float(len(t)), float(len(texts))) for t in texts]
+
+    articles = spark.createDataFrame([(i, "t", "c" * i if i else None) for i in range(5)], "id long, title string, content string").coalesce(1)
+    found = sentiment.scored(articles, load, batch=2)
+    assert sorted(map(tuple, found.collect())) == [(0, 1.0, 2.0), (1, 3.0, 2.0), (2, 4.0, 2.0), (3, 5.0, 2.0), (4, 6.0, 1.0)] and seen.value == 1

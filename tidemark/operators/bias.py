@@ -23,7 +23,7 @@ def reach(followers: str) -> Column:
 def raw_index(bars: DataFrame, articles: DataFrame, outlets: DataFrame) -> DataFrame:
     """bars with bias_score and n_articles of the days [date - 14, date]; a bar without articles has 0.
 
-    Articles of unknown outlets don't count. They are summed by day before any window, so that a frame holds 15 rows at
+    Articles of unknown outlets don't count. Days without a bar don't matter. Articles are summed by day before any window, so that a frame holds 15 rows at
     most however many articles a day has.
     """
     own = articles.join(outlets.select(F.col("id").alias("outlet_id"), "avg_followers"), "outlet_id")

@@ -8,16 +8,12 @@ from pyspark.sql import DataFrame
 
 from numpy.lib.stride_tricks import sliding_window_view
 
-OUT = "ticker long, date date, ema10 double, smma34 double, zlema34 double, impulse_histo double, atr double, supertrend double, stx string, psi double, smooth_velocity double, macd double, b5 double, rel_vol double"
+OUT = "ticker long, date date, ema10 double, smma34 double, zlema34 double, impulse_macd double, impulse_histo double, impulse_signal double, atr double, supertrend double, stx string, psi double, smooth_velocity double, macd double, b5 double, rel_vol double"
 
 
 def ema(x: np.ndarray, span: int) -> np.ndarray:
     """Starts from the first value that is there."""
-    out, a, y = np.full(len(x), np.nan), 2 / (span + 1), np.nan
-    for i, v in enumerate(x):
-        y = v if np.isnan(y) else a * v + (1 - a) * y
-        out[i] = y
-    return out
+    return pd.Series(x).ewm(span=span, adjust=False).mean().to_numpy()
 
 
 def rolling(fn, x: np.ndarray, n: int) -> np.ndarray:
@@ -28,9 +24,14 @@ def rolling(fn, x: np.ndarray, n: int) -> np.ndarray:
 
 
 def smma(x: np.ndarray, n: int) -> np.ndarray:
-    out = rolling(np.mean, x, n)
-    for i in range(n, len(x)):
-        out[i] = (out[i - 1] * (n - 1) + x[i]) / n
+    return seeded(rolling(np.mean, x, n), x, n)
+
+
+def seeded(start: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """start up to row n - 1; from there each row is the one before with a weight of n - 1, and x with 1."""
+    out = start.copy()
+    if len(x) > n:
+        out[n - 1 :] = pd.Series(np.concatenate([start[n - 1 : n], x[n:]])).ewm(alpha=1 / n, adjust=False).mean().to_numpy()
     return out
 
 
@@ -39,12 +40,13 @@ def zlema(x: np.ndarray, n: int) -> np.ndarray:
     return 2 * once - ema(once, n)
 
 
-def impulse_macd(high, low, close, n: int = 34, signal: int = 9) -> np.ndarray:
-    """The histogram: how far the middle line leaves the band of smoothed highs and lows, less its own mean."""
+def impulse_macd(high, low, close, n: int = 34, signal: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How far the middle line leaves the band of smoothed highs and lows, what it has beyond its own mean, and that mean."""
     mid, top, bottom = zlema((high + low + close) / 3, n), smma(high, n), smma(low, n)
     with np.errstate(invalid="ignore"):
         out = np.where(mid > top, mid - top, np.where(mid < bottom, mid - bottom, 0.0))
-    return out - rolling(np.mean, out, signal)
+    mean = rolling(np.mean, out, signal)
+    return out, out - mean, mean
 
 
 def atr(high, low, close, n: int = 10) -> np.ndarray:
@@ -53,9 +55,7 @@ def atr(high, low, close, n: int = 10) -> np.ndarray:
     out = np.zeros(len(tr))
     if len(tr) >= n:
         out[n - 1] = tr[:n].mean()
-    for i in range(n, len(tr)):
-        out[i] = (out[i - 1] * (n - 1) + tr[i]) / n
-    return out
+    return seeded(out, tr, n)
 
 
 def supertrend(high, low, close, n: int = 10, times: float = 3.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,9 +123,10 @@ def of_security(bars: pd.DataFrame) -> pd.DataFrame:
     bars = bars.sort_values("date", ignore_index=True)
     high, low, close, volume = (bars[c].to_numpy(float) for c in ("high", "low", "close", "volume"))
     width, line, stx = supertrend(high, low, close)
+    impulse, histo, signal = impulse_macd(high, low, close)
     macd, mean = volume_shadow(high, low, close, volume), rolling(np.mean, volume, 50)
     return pd.DataFrame(
-        {"ticker": bars["ticker"], "date": bars["date"], "ema10": ema(close, 10), "smma34": smma(high, 34), "zlema34": zlema((high + low + close) / 3, 34), "impulse_histo": impulse_macd(high, low, close),
+        {"ticker": bars["ticker"], "date": bars["date"], "ema10": ema(close, 10), "smma34": smma(high, 34), "zlema34": zlema((high + low + close) / 3, 34), "impulse_macd": impulse, "impulse_histo": histo, "impulse_signal": signal,
          "atr": width, "supertrend": line, "stx": stx, "psi": squeeze(close), "smooth_velocity": velocity(close), "macd": macd, "b5": b5(macd), "rel_vol": np.where(mean > 0, volume / mean, np.nan)}
     )
 

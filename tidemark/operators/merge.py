@@ -5,26 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as X
+
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """old and the first row, by order, of each key of new that old lacks."""
-    first = new.groupBy(key).agg(F.min_by(F.struct(*new.columns), order).alias("r")).select("r.*")
+    """old and the first row, by order (null first), of each key of new that old lacks."""
+    first = new.groupBy(key).agg(F.min_by(F.struct(*new.columns), F.struct(order)).alias("r")).select("r.*")
     return old.unionByName(first.join(old.select(key), key, "left_anti").select(*old.columns))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, updated: list[str]) -> DataFrame:
-    """Rows of both by key; where both have one, old's with the columns named in updated from new."""
-    a, b = old.select(F.struct(*old.columns).alias("o"), F.col(key)), new.select(F.struct(*old.columns).alias("n"), F.col(key))
+def upsert(old: DataFrame, new: DataFrame, key: str, updated: list[str], stamp: str | None = None, now: Column | None = None) -> DataFrame:
+    """Rows of both by key; where both have one, old's with the columns named in updated from new. stamp: a column that such a change sets to now."""
+    a, b = old.select(F.struct(*old.columns).alias("o"), F.col(key)), new.select(F.struct(*new.columns).alias("n"), F.col(key))
     both = a.join(b, key, "full")
     pick = lambda c: F.when(F.col("o").isNull(), F.col(f"n.{c}")).when(F.col("n").isNull() | F.lit(c not in updated), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))
-    return both.select(*[F.col(key) if c == key else pick(c).alias(c) for c in old.columns])
+    changed = F.col("o").isNotNull() & F.col("n").isNotNull()
+    return both.select(*[F.col(key) if c == key else F.when(changed, now).otherwise(pick(c)).alias(c) if c == stamp else pick(c).alias(c) for c in old.columns])
 
 
-def partial_update(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """old with those values of changes that aren't null; null keeps what is there."""
+def partial_update(old: DataFrame, changes: DataFrame, key: str, stamp: str | None = None, now: Column | None = None) -> DataFrame:
+    """old with those values of changes that aren't null; null keeps what is there. stamp: a column that any change of a row sets to now."""
     changed = [c for c in changes.columns if c != key]
-    new = changes.select(key, *[F.col(c).alias(f"new_{c}") for c in changed])
-    return old.join(new, key, "left").select(*[F.coalesce(f"new_{c}", c).alias(c) if c in changed else F.col(c) for c in old.columns])
+    new = changes.select(key, *[F.col(c).alias(f"new_{c}") for c in changed], F.lit(True).alias("is_changed"))
+    pick = lambda c: F.when(F.col("is_changed"), now).otherwise(F.col(c)).alias(c) if c == stamp else F.coalesce(f"new_{c}", c).alias(c) if c in changed else F.col(c)
+    return old.join(new, key, "left").select(*[pick(c) for c in old.columns])
+
+
+def mark_complete(old: DataFrame, keys: DataFrame, key: str, stamp: str | None = None, now: Column | None = None) -> DataFrame:
+    """old with the rows named by keys processed. Their error isn't cleared: what isn't given is kept."""
+    return partial_update(old, keys.select(key, F.lit(True).alias("is_processed"), F.lit(None).cast("string").alias("last_error")), key, stamp, now)
+
+
+def reset_state(old: DataFrame, keys: DataFrame, key: str, stamp: str | None = None, now: Column | None = None) -> DataFrame:
+    """old with the rows named by keys as before their first page; their error isn't cleared either."""
+    return partial_update(old, keys.select(key, F.lit(0).cast("long").alias("current_page"), F.lit(False).alias("is_processed"), F.lit(None).cast("string").alias("last_error")), key, stamp, now)
+
+
+def append_new(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """target and the rows whose keys it lacks, of its columns (null where rows have none). Run again it adds nothing."""
+    shaped = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in target.dtypes])
+    return target.unionByName(shaped.join(target.select(*keys), keys, "left_anti"))
 
 
 def resolve_or_create(dimension: DataFrame, wanted: DataFrame, key: str, name: str, position: str) -> DataFrame:
@@ -48,17 +68,37 @@ def merge_handles(old: Column, new: Column) -> Column:
     return F.map_zip_with(old, new, lambda _, a, b: F.array_sort(F.array_union(F.coalesce(a, empty), F.coalesce(b, empty))))
 
 
-def scrape_update(queue: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """queue (id, content, retry, error, scraped) after outcomes (id, ok, text, message): success resets, failure counts one more."""
+def scrape_update(queue: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """queue (id, content, social_data, outlet_id, scraped, last_at, retry, error) after outcomes (id, ok, text, social, outlet, message).
+
+    Success sets what was found and resets the tries; failure counts one more and keeps the beginning of its message. A
+    rate limit is neither: the row stays as it was, and is tried again.
+    """
     both = queue.join(outcomes, "id", "left")
-    ok, tried = F.coalesce("ok", F.lit(False)), F.col("ok").isNotNull()
+    ok = F.coalesce("ok", F.lit(False))
+    limited = F.coalesce(~ok & (X.error_class(F.col("message"))["code"] == X.RATE_LIMITED), F.lit(False))
+    failed = F.col("ok").isNotNull() & ~ok & ~limited
+    on = lambda column, found, lost: F.when(ok, found).when(failed, lost).otherwise(F.col(column)).alias(column)
     return both.select(
-        "id", F.when(ok, F.col("text")).otherwise(F.col("content")).alias("content"), F.when(ok, 0).when(tried, F.col("retry") + 1).otherwise(F.col("retry")).cast("int").alias("retry"),
-        F.when(ok, None).when(tried, F.substring("message", 1, 500)).otherwise(F.col("error")).alias("error"), (ok | F.col("scraped")).alias("scraped"),
+        "id", on("content", F.coalesce("text", F.lit("")), F.col("content")), on("social_data", F.coalesce("social", F.lit("{}")), F.col("social_data")), on("outlet_id", F.col("outlet"), F.col("outlet_id")),
+        on("scraped", F.lit(True), F.col("scraped")), on("last_at", now, now), on("retry", F.lit(0), F.col("retry") + 1).cast("int").alias("retry"),
+        on("error", F.lit(None).cast("string"), X.shortened(F.coalesce("message", F.lit("Unknown error")))),
     )
 
 
+def repeats(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows that aren't the first of their key by order, with nth (from 2): what delete_repeats takes away."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return rows.where(F.col(key).isNotNull()).withColumn("nth", nth).where("nth > 1")
+
+
 def delete_repeats(rows: DataFrame, key: str, order: str) -> DataFrame:
     """rows but for all of a key that aren't its first by order; rows without key stay."""
     first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("first"))
     return rows.join(first, key, "left").where(F.col(key).isNull() | (F.col(order) == F.col("first"))).drop("first")
+
+
+def clean_repeats(rows: DataFrame, key: str, order: str, backup: str, dry_run: bool = True) -> DataFrame:
+    """delete_repeats, after what goes was written to the folder backup as CSV. A dry run writes the backup and returns rows."""
+    repeats(rows, key, order).write.mode("errorifexists").option("header", True).csv(backup)
+    return rows if dry_run else delete_repeats(rows, key, order)

@@ -3,26 +3,31 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as X
 from tidemark.functions import windows as W
 from tidemark.operators import ranks
 from tidemark.sources.shared import written
 
-WARM_UP = 49
 HORIZONS = {"ret_next": 1, "ret_5": 5, "ret_14": 14, "ret_30": 30}
+#: Names of what is reported.
+SHOCKS = {"positive": "Positive Price Shock (>2%)", "negative": "Negative Price Shock (<-2%)"}
+REGIMES = {"OVERALL": "OVERALL", "POSITIVE": "POSITIVE (>0)", "NEGATIVE": "NEGATIVE (<0)"}
+HORIZON_NAMES = {"ret_next": "1-Day", "ret_5": "5-Day", "ret_14": "14-Day", "ret_30": "30-Day"}
 
 
-def after_warm_up(bars: DataFrame) -> DataFrame:
-    """bars with rel_vol, without each security's first rows, where some indicator isn't there yet."""
-    t = F.row_number().over(W.by_date()) - 1
-    return bars.withColumns({"rel_vol": W.relative_volume(), "t": t}).where(F.col("t") >= WARM_UP).drop("t")
+def features(index: DataFrame, indicators: DataFrame) -> DataFrame:
+    """Bars with their index and all indicators, without the rows where any of them isn't there yet."""
+    return index.join(indicators, ["ticker", "date"]).dropna()
 
 
 def silent_shocks(rows: DataFrame, z: float = 3.0, volume: float = 3.0, quiet: float = 0.1, least_rows: int = 10) -> DataFrame:
-    """Moves in price or volume that no news goes with. Securities with fewer than least_rows rows have none."""
+    """rows (ticker, date, close, rel_vol, norm_bias_score) with the moves in price or volume that no news goes with. Securities with fewer than least_rows rows go."""
     rows = rows.withColumns({"log_ret": W.log_return(), "n": F.count("*").over(W.whole())}).where(F.col("n") >= least_rows)
     mean, dev = F.avg("log_ret").over(W.whole()), F.stddev_samp("log_ret").over(W.whole())
     rows = rows.withColumn("z_score_price", F.when(dev == 0, 0.0).otherwise(F.try_divide(F.col("log_ret") - mean, dev)))
@@ -49,10 +54,13 @@ def trajectories(rows: DataFrame, shock: float = 0.02, before: int = 5, after: i
 
 
 def event_study(paths: DataFrame) -> DataFrame:
-    """sign, n, mean, t of the change at the end of the paths."""
+    """sign, n, mean, t, p, verdict of the change at the end of the paths: whether it is above zero. Nothing if one of the signs lacks."""
     end = F.element_at("path", -1)
     found = paths.groupBy("sign").agg(F.count("*").alias("n"), F.avg(end).alias("mean"), F.stddev_samp(end).alias("dev"))
-    return found.select("sign", "n", "mean", F.try_divide(F.col("mean"), F.col("dev") / F.sqrt("n")).alias("t"))
+    found = found.select("sign", "n", "mean", F.try_divide(F.col("mean"), F.col("dev") / F.sqrt("n")).alias("t"))
+    both = found.agg(F.count("*").alias("signs")).where("signs = 2")
+    found = with_p(found.crossJoin(F.broadcast(both)).drop("signs"), lambda r: t_tail(r["t"], r["n"] - 1))  # two rows
+    return found.withColumn("verdict", X.significance(F.col("p"), "Noise"))
 
 
 def mean_path(paths: DataFrame, before: int = 5) -> DataFrame:
@@ -83,12 +91,37 @@ def t_tail(t: float, df: float) -> float:
     return inside / 2 if t > 0 else 1 - inside / 2
 
 
+def normal_tails(z: float) -> float:
+    """P(|N| > |z|)."""
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def with_p(results: DataFrame, p_of: Callable[[pd.Series], float]) -> DataFrame:
+    """A few rows of results with p; null where it can't be told."""
+
+    def run(batches):
+        for batch in batches:
+            p = [None if r.isna().any() else p_of(r) for _, r in batch.iterrows()]
+            yield batch.assign(p=pd.array(p, dtype="Float64"))
+
+    return results.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in results.dtypes), "p double"]))
+
+
+def study_rows(index: DataFrame, companies: DataFrame, top: int | None = None) -> DataFrame:
+    """ticker, date, close, norm_bias_score, where both are there, of known companies; top: of those with the most articles."""
+    wanted = companies.select(F.col("symbol").alias("ticker"), "current_page")
+    if top is not None:
+        wanted = wanted.orderBy(F.desc("current_page"), "ticker").limit(top)
+    rows = index.select("ticker", "date", "close", "norm_bias_score").where("close is not null and norm_bias_score is not null")
+    return rows.join(wanted.select("ticker"), "ticker", "left_semi")
+
+
 def regimes(rows: DataFrame) -> DataFrame:
     """regime, ticker, bias and returns to come. Zero biases don't count; the signed regimes lose the tails of ret_next, OVERALL doesn't."""
     rows = rows.withColumn("ret", W.pct_change())
     ahead = {k: F.lead("ret", 1).over(W.by_date()) if n == 1 else W.full(F.sum, "ret", 1, n) for k, n in HORIZONS.items()}
     rows = rows.select("ticker", F.col("norm_bias_score").alias("bias"), *[c.alias(k) for k, c in ahead.items()]).dropna()
-    rows = rows.where(F.abs("bias") > 0.001)
+    rows = written(rows.where(F.abs("bias") > 0.001), "returns")
     sign = F.when(F.col("bias") > 0, "POSITIVE").otherwise("NEGATIVE")
     signed = rows.withColumn("regime", sign)
     counts = signed.groupBy("regime", F.col("ret_next").alias("value")).agg(F.count("*").alias("n"))
@@ -98,36 +131,71 @@ def regimes(rows: DataFrame) -> DataFrame:
 
 
 def spearman(rows: DataFrame) -> DataFrame:
-    """regime, horizon, rho: rank correlation of bias and returns; ties have their mean rank.
+    """regime, a, b, rho: rank correlations of bias and all returns with each other; ties have their mean rank.
 
     Ranks need no window over all rows: a value's rank follows from the counts of the values before it, which are
     counted by value and summed over ranges of values.
     """
+    names = ["bias", *HORIZONS]
     # sums of doubles may differ in the last bits when made again: values are rounded, so that ties stay ties, and kept
-    rows = written(rows.select("regime", F.monotonically_increasing_id().alias("id"), *[F.round(c, 9).alias(c) for c in ("bias", *HORIZONS)]), "regimes")
-    long = rows.select("regime", "id", F.posexplode(F.array("bias", *HORIZONS)).alias("k", "value"))
+    rows = written(rows.select("regime", F.monotonically_increasing_id().alias("id"), *[F.round(c, 9).alias(c) for c in names]), "ranked-values")
+    long = rows.select("regime", "id", F.posexplode(F.array(*names)).alias("k", "value"))
     counts = long.groupBy("regime", "k", "value").agg(F.count("*").alias("n"))
     placed = ranks.positions(counts, ["regime", "k"])
     rank = F.col("before") + (F.col("n") + 1) / 2
     ranked = placed.select("regime", "k", "value", rank.alias("rank"))
-    wide = long.join(ranked, ["regime", "k", "value"]).groupBy("regime", "id").pivot("k", list(range(len(HORIZONS) + 1))).agg(F.first("rank"))
-    rho = lambda i: F.try_divide(F.covar_pop("0", str(i)), F.stddev_pop("0") * F.stddev_pop(str(i)))
-    found = wide.groupBy("regime").agg(*[rho(i + 1).alias(k) for i, k in enumerate(HORIZONS)])
-    return found.unpivot("regime", list(HORIZONS), "horizon", "rho")
+    wide = long.join(ranked, ["regime", "k", "value"]).groupBy("regime", "id").pivot("k", list(range(len(names)))).agg(F.first("rank"))
+    rho = lambda i, j: F.try_divide(F.covar_pop(str(i), str(j)), F.stddev_pop(str(i)) * F.stddev_pop(str(j)))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    found = wide.groupBy("regime").agg(*[rho(i, j).alias(f"{i}_{j}") for i, j in pairs])
+    cells = [F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"{min(i, j)}_{max(i, j)}").alias("rho")) for i in range(len(names)) for j in range(len(names))]
+    return found.select("regime", F.explode(F.array(*cells)).alias("x")).select("regime", "x.*")
 
 
 def panel(rows: DataFrame) -> DataFrame:
-    """regime, horizon, beta, se, z: fixed-effects regression of returns on bias, errors clustered by security."""
-    by = Window.partitionBy("regime", "ticker")
-    less_mean = lambda c: F.col(c) - F.avg(c).over(by)
-    rows = rows.select("regime", "ticker", less_mean("bias").alias("x"), *[less_mean(k).alias(k) for k in HORIZONS])
-    long = rows.unpivot(["regime", "ticker", "x"], list(HORIZONS), "horizon", "y")
-    fit = long.groupBy("regime", "horizon").agg(F.regr_slope("y", "x").alias("beta"), F.regr_intercept("y", "x").alias("a"), F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
-    e = F.col("y") - F.col("a") - F.col("beta") * F.col("x")
-    scores = long.join(F.broadcast(fit.select("regime", "horizon", "beta", "a")), ["regime", "horizon"]).groupBy("regime", "horizon", "ticker").agg(F.sum(e).alias("u0"), F.sum(e * F.col("x")).alias("u1"))  # twelve rows
-    meat = scores.groupBy("regime", "horizon").agg(F.count("*").alias("g"), F.sum(F.col("u0") * F.col("u0")).alias("m00"), F.sum(F.col("u0") * F.col("u1")).alias("m01"), F.sum(F.col("u1") * F.col("u1")).alias("m11"))
-    det = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    bread: tuple[Column, Column] = (-F.col("sx") / det, F.col("n") / det)
-    small = F.col("g") / (F.col("g") - 1) * (F.col("n") - 1) / (F.col("n") - 2)
-    var = small * (bread[0] * bread[0] * F.col("m00") + 2 * bread[0] * bread[1] * F.col("m01") + bread[1] * bread[1] * F.col("m11"))
-    return fit.join(meat, ["regime", "horizon"]).select("regime", "horizon", "beta", F.sqrt(var).alias("se"), F.try_divide(F.col("beta"), F.sqrt(var)).alias("z"))
+    """regime, horizon, beta, se, z, p: fixed-effects regression of returns on bias, errors clustered by security.
+
+    Taking each security's means off leaves sums of squares and products about these means, which one aggregation by
+    security gives; the rest is made of these sums. The intercept is zero, and so are a security's summed errors.
+    """
+    n = F.count("*")
+    moments = rows.groupBy("regime", "ticker").agg(n.alias("n"), (F.var_pop("bias") * n).alias("sxx"), *[(F.covar_pop("bias", k) * n).alias(k) for k in HORIZONS])
+    long = written(moments.unpivot(["regime", "ticker", "n", "sxx"], list(HORIZONS), "horizon", "sxy"), "moments")
+    fit = long.groupBy("regime", "horizon").agg(F.try_divide(F.sum("sxy"), F.sum("sxx")).alias("beta"), F.sum("n").alias("n"), F.sum("sxx").alias("s"), F.count("*").alias("g"))
+    score = F.col("sxy") - F.col("beta") * F.col("sxx")
+    meat = long.select("regime", "horizon", "sxy", "sxx").join(F.broadcast(fit), ["regime", "horizon"]).groupBy("regime", "horizon", "beta", "n", "s", "g").agg(F.sum(score * score).alias("m"))  # twelve rows
+    small = F.try_divide(F.col("g") * (F.col("n") - 1), (F.col("g") - 1) * (F.col("n") - 2))
+    se = F.try_divide(F.sqrt(small * F.col("m")), F.col("s"))
+    found = meat.select("regime", "horizon", "beta", se.alias("se"), F.try_divide("beta", se).alias("z"))
+    return with_p(found, lambda r: normal_tails(r["z"]))
+
+
+def silent_report(shocks: DataFrame) -> DataFrame:
+    """line_no, line: the report on silent shocks."""
+    n = F.count_if("silent_anomaly")
+    one = shocks.agg(F.count("*").alias("n"), n.alias("silent"), F.coalesce(F.try_divide(100 * n, F.count("*")), F.lit(0.0)).alias("rate"))
+    lines = F.array(
+        F.lit("=== SILENT SHOCK ANALYSIS ==="),
+        F.format_string("Total Data Points Analyzed: %d", "n"),
+        F.format_string("Total Silent Shocks Detected: %d", "silent"),
+        F.format_string("Global Rate: %.2f%%", "rate"),
+        F.lit("-----------------------------"),
+        F.lit("Definition: Days where Price moved > 2 Sigma but Media Sentiment remained Neutral (< 0.5 Sigma)."),
+    )
+    return one.select(F.posexplode(lines).alias("line_no", "line"))
+
+
+def labelled(column: str, names: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col(column))
+
+
+def place(column: str, names: dict[str, str]) -> Column:
+    return F.array_position(F.array(*map(F.lit, names)), F.col(column)).cast("int") - 1
+
+
+def regression_report(fits: DataFrame) -> DataFrame:
+    """line_no, line: the table of regressions."""
+    line = F.format_string("| %s | %s | %.4f | %.4f | %s |", labelled("regime", REGIMES), labelled("horizon", HORIZON_NAMES), "beta", "p", X.significance(F.col("p"), "Insignificant"))
+    return fits.select((3 + place("regime", REGIMES) * len(HORIZONS) + place("horizon", HORIZON_NAMES)).alias("line_no"), line.alias("line")).unionByName(
+        fits.sparkSession.createDataFrame(list(enumerate(["REGRESSION RESULTS", "| Regime | Forecast Horizon | Beta | P-Value | Significance |", "| :--- | :--- | :--- | :--- | :--- |"])), "line_no int, line string")
+    )

@@ -39,3 +39,30 @@ def drop(*tables: DataFrame) -> None:
             jvm = x.sparkSession._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(x.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+#: Derived tables of a session: by application, data and name, the state of their sources and the table.
+_KEPT: dict[tuple[str, str, str], tuple[list, DataFrame]] = {}
+
+
+def _state(spark: SparkSession, paths: list[str]) -> list:
+    """Bytes, files and time of change of each source: a file, or a folder of files."""
+    jvm, conf, found = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), []
+    for x in paths:
+        path = jvm.org.apache.hadoop.fs.Path(x)
+        fs = path.getFileSystem(conf)
+        summary = fs.getContentSummary(path)
+        found.append((x, summary.getLength(), summary.getFileCount(), fs.getFileStatus(path).getModificationTime()))
+    return found
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, sources: list[str], make) -> DataFrame:
+    """make(), written once in a session for all queries that read it, and again when its sources (tables in sf_dir) have changed."""
+    key, state = (spark.sparkContext.applicationId, sf_dir, name), _state(spark, [f"{sf_dir}/{x}.parquet" for x in sources])
+    if key in _KEPT:
+        known, table = _KEPT[key]
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        if known == state and path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+            return table
+    _KEPT[key] = state, written(make(), name)
+    return _KEPT[key][1]

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import kept
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ticker, date, open, high, low, close, volume: a row a day. (ticker, date) is the key."""
+    """ticker, date, open, high, low, close, volume: a row a day. (ticker, date) is the key. Made once in a session."""
+    return kept(spark, sf_dir, "bars", ["lineitem"], lambda: daily_bars(spark, sf_dir))
+
+
+def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     price = F.try_divide("l_extendedprice", "l_quantity")
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
@@ -20,9 +28,12 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ticker, date, outlet_id, pos, neg."""
-    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+def articles(spark: SparkSession, sf_dir: str, first: datetime.date | None = None, last: datetime.date | None = None) -> DataFrame:
+    """ticker, date, outlet_id, pos, neg. first, last: bounds of the date, for the scan; without outlet an article doesn't count."""
+    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").where("o_custkey is not null")
+    if first is not None and last is not None:
+        at = [datetime.datetime.combine(d, datetime.time()) for d in (first, last + datetime.timedelta(days=1))]
+        orders = orders.where((F.col("o_orderdate") >= F.lit(at[0]).cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(at[1]).cast("timestamp_ntz")))
     return line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).select(
         F.col("l_suppkey").alias("ticker"), F.to_date("o_orderdate").alias("date"), F.col("o_custkey").alias("outlet_id"), F.col("l_discount").alias("pos"), F.col("l_tax").alias("neg")
     )
