@@ -43,6 +43,50 @@ def test_html(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_keeps_articles(spark):
+    """What is named like no content but holds the article, or lacks its end; a comment that is an article; a nested notice."""
+    cases = [
+        ("<article class='post comments-open'><p>x</article>", "x"), ("<div class='wrap has-sidebar'><article>x</article></div>", "x"), ("<div class='sidebar'><article>x</article></div>", "x"),
+        ("<p class='share'>s<p>t</p>", "t"), ("<div class='ad'>never ended<p>y", "never ended\n\ny"), ("<main><p>m</p><aside>no</aside><header>h</header></main><article class='comment'>c</article>", "m\n\nh"),
+        ("<ul><li class='ad'>x<li>y</ul>", "y"), ("a<span class='ad'>b</span>c", "a\n\nc"), ("<div id=comments><p>no</div>z", "z"), ("x" * 3_000_000, "x" * 3_000_000),
+    ]
+    pages = [(i, f"http://h{i}.x/", PAGE.format(x), "clash") for i, (x, _) in enumerate(cases)]
+    out = html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string, kept string")).collect()
+    assert {r.page_id: r.text for r in out} == {i: t for i, (_, t) in enumerate(cases)}
+
+
+def test_html_is_that_of_brute_force(spark):
+    """Pages without marks, on two hosts: by the nearest path, whose first 250 characters are the same, shared lines go; near copies keep theirs."""
+    rng, pages, want = random.Random(11), [], {}
+    base = "s" * 250
+    for host in ("a.x", "b.x"):
+        paths = sorted({f"/{base}/{rng.choice(['news', 'sport', 'zoo'])}/{rng.randint(0, 10**rng.randint(1, 6))}" for _ in range(40)})
+        bodies = []
+        for i, path in enumerate(paths):
+            # the template has 30 lines, the text one to three; some pages are copies of the page before, but for a word
+            own = [f"{host} own {i} {k} " + " ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(3, 30))) for k in range(rng.randint(1, 3))]
+            own = [x.rsplit(" ", 1)[0] + " edited" if k == 0 else x for k, x in enumerate(bodies[-1][1])] if i % 7 == 3 else own
+            bodies.append((path, own))
+        template = [f"{host} template {k}" for k in range(30)]
+
+        def edits(a, b):
+            row = list(range(len(b) + 1))
+            for i, x in enumerate(a, 1):
+                row, old = [i], row
+                for j, y in enumerate(b, 1):
+                    row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+            return row[-1]
+
+        for i, (path, own) in enumerate(bodies):
+            lines = template[:10] + own + template[10:]
+            pages.append((len(pages), f"https://{host}{path}", "".join(f"<p>{x}</p>" for x in lines)))
+            near = sorted((k for k in (i - 1, i + 1) if 0 <= k < len(bodies)), key=lambda k: (edits(path, bodies[k][0]), k))
+            other = next((bodies[k][1] for k in near if not (len(own) == len(bodies[k][1]) and abs(sum(x.count(" ") + 1 for x in own if x not in bodies[k][1]) - sum(x.count(" ") + 1 for x in bodies[k][1] if x not in own)) <= 0.2 * sum(x.count(" ") + 1 for x in own if x not in bodies[k][1]))), None)
+            want[len(pages) - 1] = "\n\n".join(lines if other is None else [x for x in own if x not in other])
+    out = html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()
+    assert {r.page_id: r.text for r in out} == want and sum("template" not in x for x in want.values()) > 60
+
+
 def test_common_lines():
     rng = random.Random(2)
     for _ in range(300):
@@ -184,6 +228,20 @@ def test_chat(spark):
     back = {r.conv_id: r.t for r in out.select("conv_id", chat.read_back(F.col("formatted")).alias("t")).collect()}
     assert [tuple(t) for t in back[1]] == [("user", "plain"), ("user", "plain"), *[("assistant" if i % 2 else "user", texts[i] or "") for i in range(1, 5)]]
     assert [tuple(t) for t in back[None]] == [("", "x")]
+    loss = out.select("conv_id", chat.under_loss(F.col("formatted"), F.col("loss_spans")).alias("t")).collect()
+    assert {r.conv_id: r.t for r in loss} == {1: [texts[1], ""], None: []}
+
+
+def test_chat_of_odd_tables(spark):
+    """Very long and repeated texts, columns named like the operator's, no rows."""
+    long = "a 😀 <b> & [c]\n" * 50_000
+    rows = [(1, 0, "user", "hi", "x"), (1, 1, "assistant", long, "x"), (1, 1, "assistant", long, "x"), (2, None, None, None, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    out = chat.format_chat(chat.conversations_of(df).withColumns({"turns": F.lit(1), "loss_spans": F.lit(2), "formatted": F.lit("f")}))
+    found = {r.conv_id: (r.t, r.l) for r in out.select("conv_id", chat.read_back(F.col("formatted")).alias("t"), chat.under_loss(F.col("formatted"), F.col("loss_spans")).alias("l")).collect()}
+    assert [tuple(t) for t in found[1][0]] == [("user", "hi"), ("assistant", long), ("assistant", long)] and found[1][1] == [long, long]
+    assert [tuple(t) for t in found[2][0]] == [("", "")] and found[2][1] == []
+    assert chat.format_chat(chat.conversations_of(df.limit(0))).count() == 0
 
 
 def test_layouts(spark):

@@ -2,8 +2,8 @@
 
 A record is a variant (parsed JSON or a nested struct). Its fingerprint is a hash of those nested field paths, out of
 the ones that some layout knows, that the record has. The fingerprint selects a declarative mapping to canonical turns
-(role, text). Fields that no layout knows don't matter. The text of a conversation is a list of segments, of which each
-is either under the loss mask or not; joined they are the formatted text.
+(role, text). Fields that no layout knows don't matter. The loss mask of a formatted text is a list of spans: where the
+texts of its assistant turns stand in it.
 """
 
 from __future__ import annotations
@@ -115,15 +115,27 @@ def unescape(x: Column, escapes: list[tuple[str, str]] = ESCAPES) -> Column:
     return x
 
 
-def segments(turns: Column) -> Column:
-    """(text, loss) of a conversation. Of an assistant turn the text alone, without marks, is under the loss mask."""
+def marked(t: Column) -> Column:
+    """A turn as it stands in the formatted text."""
+    return F.concat(F.lit(TURN), escape(t["role"], ROLE_ESCAPES), F.lit("\n"), escape(t["text"]), F.lit(END))
 
-    def of(t: Column) -> Column:
-        head, body = F.concat(F.lit(TURN), escape(t["role"], ROLE_ESCAPES), F.lit("\n")), escape(t["text"])
-        part = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-        return F.array(part(head, F.lit(False)), part(body, t["role"] == LOSS_ROLE), part(F.lit(END), F.lit(False)))
 
-    return F.flatten(F.transform(turns, of))
+def loss_spans(turns: Column) -> Column:
+    """(start, length), in code points of the formatted text, of the text alone of each assistant turn."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, length: int>>").alias("spans"))
+
+    def add(a: Column, t: Column) -> Column:
+        n, whole = F.length(escape(t["text"])), F.length(marked(t))
+        span = F.struct((a["at"] + whole - n - len(END)).alias("start"), n.alias("length"))
+        spans = F.when(t["role"] == LOSS_ROLE, F.concat(a["spans"], F.array(span))).otherwise(a["spans"])
+        return F.struct((a["at"] + whole).alias("at"), spans.alias("spans"))
+
+    return F.aggregate(turns, start, add, lambda a: a["spans"])
+
+
+def under_loss(formatted: Column, spans: Column) -> Column:
+    """The texts under the loss mask, read from the formatted text."""
+    return F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"])))
 
 
 def joined(items: Column) -> Column:
@@ -143,14 +155,15 @@ def read_back(formatted: Column) -> Column:
 
 
 def format_chat(records: DataFrame, layouts: list[Layout] | None = None) -> DataFrame:
-    """records with layout, turns, segments (array of text, loss) and formatted.
+    """records with layout, turns, formatted and loss_spans (array of start, length: the loss mask on formatted).
 
     record: a variant column. A record that no layout fits, and a null one, keeps its row with null in the new columns.
     Null roles and texts count as empty. A conversation without turns gives an empty text. Columns of these names in the
-    input are replaced; all others stay. Rows that repeat stay. Nothing is shuffled.
+    input are replaced; all others stay. Rows that repeat stay; no rows give no rows. Texts are whole, of any length.
+    Nothing is shuffled.
     """
-    found = canonical(records, layouts).withColumn("segments", segments(F.col("turns")))
-    return found.withColumn("formatted", joined(F.transform("segments", lambda s: s["text"])))
+    found = canonical(records, layouts)
+    return found.withColumns({"formatted": joined(F.transform("turns", marked)), "loss_spans": loss_spans(F.col("turns"))})
 
 
 def conversations_of(rows: DataFrame) -> DataFrame:
@@ -174,7 +187,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversations_of(read(spark, sf_dir, "conversations"))
     out = format_chat(rows.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), odd)))
     turns = read_back(F.col("formatted"))
-    loss = joined(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])))
+    loss = joined(under_loss(F.col("formatted"), F.col("loss_spans")))
     return out.withColumns({"back": turns, "loss": loss}).select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),

@@ -32,7 +32,7 @@ BANDS, ROWS = 28, 4
 MINIMA = BANDS * ROWS
 SEED = 7
 #: Words whose hashes a task remembers, and the longest of them.
-MEMO_WORDS, MEMO_LENGTH = 100_000, 64
+MEMO_WORDS, MEMO_LENGTH = 250_000, 64
 HUBS = 1
 #: Members of a bucket that are compared with as many others at once.
 BLOCK = 1024

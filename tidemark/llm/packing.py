@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import byte_of_piece_char, special_tokens, tokenizer
+from tidemark.llm.bpe import byte_of_piece_char, tokenizer
 from tidemark.llm.common import read, small_batches, written
 
 CAPACITY = 4096
@@ -289,7 +289,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     small_batches(docs.sparkSession)
-    pieces = written(docs.mapInPandas(pieces_of(path, capacity, special_tokens(path)), PIECES), "pieces")
+    with open(path, encoding="utf-8") as f:
+        special = [x["content"] for x in json.load(f)["added_tokens"]]
+    pieces = written(docs.mapInPandas(pieces_of(path, capacity, special), PIECES), "pieces")
     counts = pieces.groupBy("block", "length").count()
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # capacity rows at most
     plan = make_plan(histogram, capacity).sort_values(["length", "rank"], ignore_index=True)

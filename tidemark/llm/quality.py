@@ -148,7 +148,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sam
     least counts, null ones don't. The network is fitted on sample_rows of the rows of label 1, and on as many rows that
     have some label, which isn't looked at, as unlabelled ones; rows that repeat doc_id and text are fitted on once. The
     prior is counted over all training rows. Null and empty texts are scored like any other, very long ones as a whole.
-    Without a training row of label 1 all scores are 0. Null and repeated doc_id keep their rows. No rows give no rows.
+    Without a training row of label 1 nothing can be learned, and all scores are 1. Null and repeated doc_id keep their rows. No rows give no rows.
     Other columns are ignored.
     """
     small_batches(docs.sparkSession)
@@ -158,7 +158,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sam
     labelled = written(training.join(own, "doc_id").select("row_key", "is_positive", "x"), "labelled")
     positive = matrix(sampled(labelled.where("is_positive"), sample_rows))
     if not len(positive):
-        return found.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return found.select("doc_id", "held_out", F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
     unlabelled = matrix(sampled(labelled, sample_rows))
     mean, dev = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-6
     prior = estimated_prior(labelled.where("is_positive"), training, positive, unlabelled, mean, dev)
