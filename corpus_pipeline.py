@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_dedup, near_dedup, packing, quality, toxicity
-from tidemark.llm.common import read, written
+from tidemark.llm.common import drop, read, written
 
 
 def without(docs: DataFrame, verdicts: DataFrame, rejected: str) -> DataFrame:
@@ -22,26 +22,29 @@ def without(docs: DataFrame, verdicts: DataFrame, rejected: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without the doc_ids of which some text is predicted toxic. Null, empty and repeated texts are judged like others; where no label tells anything, all stay."""
     return without(docs, toxicity.scored(docs, read(spark, sf_dir, "labels")), "predicted = 1")
 
 
 def poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without the doc_ids of which some text is predicted poor, as null and empty ones may be; where no label tells anything, all stay."""
     return without(docs, quality.scored(docs, read(spark, sf_dir, "labels")), "predicted = 0")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which nothing is left, as all their lines stand in earlier ones, go."""
+    """docs without later copies of repeated passages. Documents of which nothing is left go; null and empty texts stay."""
     found = line_dedup.dedup_lines(docs)
     left = (F.col("n_removed") == 0) | (F.trim("text") != "")
     return found.where(F.coalesce(left, F.lit(True))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id stays, and of rows that repeat doc_id and text one. Rows without doc_id, and without words, stay."""
     return without(docs, near_dedup.near_duplicates(docs, shingle_words=5, percent=80), "not kept").dropDuplicates(["doc_id", "text"])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of docs in sequences of 4096 tokens at most; a null or empty text is its end token alone."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -53,12 +56,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: The learned stages and the near copies can't be told in SQL; tests hold them against brute force and held-out labels.
+#: The learned stages and the tokenizer can't be told in SQL. Tests hold line dedup, near copies and packing, one after the other, against brute force, the learned stages against labels.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of what all stages keep. Each stage's table is deleted when the next has been written."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
