@@ -67,7 +67,7 @@ def test_odd_rows(spark, tmp_path):
         assert empty.columns == before.columns and empty.count() == 0
     assert len(rows) > docs.count() > 30 and {r.text for r in docs.where("doc_id is null").collect()} >= {None}
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
-    assert pieces.agg(F.count_if("piece = 0")).first()[0] == docs.count()
+    assert pieces.agg(F.count_if(F.col("piece") == 0)).first()[0] == docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
