@@ -129,6 +129,7 @@ def test_searches(spark, cosine):
             assert got[q] == [(i, -s) for s, i in want]
     assert not cosine or hits >= 0.9 * 5 * len(got)
     assert fn(df.limit(0), df, 5).count() == 0 == fn(df, df.limit(0), 5).count()
+    assert fn(df.where("vec_id % 50 = 0"), df, 5).select("rank").count() == sum(map(len, got.values()))
 
 
 # 4, 5
@@ -192,6 +193,20 @@ def test_classifiers_on_odd_tables(spark, fn, name):
 
 
 # 6
+def test_recall_on_a_whole_block():
+    """5,000 rows around centres: what the search opens is a part of the block, and recall against brute force is 0.9 or more."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((50, 64))
+    v = centres[rng.integers(0, 50, 5_000)] + 0.5 * rng.standard_normal((5_000, 64))
+    rows = pd.DataFrame({"vec_id": np.arange(5_000), "v": list(v)})
+    found = ann.search_block(rows, rows[::50], 5).groupby("query_id")["vec_id"].agg(set)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    near = unit[::50] @ unit.T
+    near[np.arange(100), np.arange(0, 5_000, 50)] = -2
+    want = {50 * i: set(np.argsort(-x)[:5].tolist()) for i, x in enumerate(near)}
+    assert sum(len(found[q] & w) for q, w in want.items()) >= 0.9 * 5 * len(want)
+
+
 def test_more_than_64_neighbours():
     v = np.random.default_rng(5).standard_normal((300, 8))
     rows = pd.DataFrame({"vec_id": np.arange(300), "v": list(v)})
@@ -265,6 +280,16 @@ def test_packing(spark):
     assert packing.pack(docs_of(spark, ["x"]).limit(0), WORD).count() == 0
 
 
+def test_words_are_encoded_as_by_the_library():
+    """Each code point between two letters, alone, and after a letter with a mark."""
+    encode, own = packing.word_encoder(WORD), packing.tokenizer(WORD)
+    points = [chr(i) for i in range(0x30000) if not 0xD800 <= i < 0xE000]
+    for make in (lambda c: f"a{c}b", lambda c: c, lambda c: f"e\u0301{c}"):
+        words = [w for c in points for w in make(c).split() if packing.WORD_END not in w and not set(w) & set("\x1c\x1d\x1e\x1f")]
+        want = [np.array(x.ids, "<u4").tobytes() for x in own.encode_batch(words, add_special_tokens=False)]
+        assert [w for w, x, y in zip(words, encode(words), want, strict=True) if x != y] == []
+
+
 def gapless(rows):
     at: dict[int, list] = {}
     for r in rows:

@@ -267,10 +267,10 @@ def pieces_of(path: str, capacity: int, special: list[str]):
 
 
 def placed(pieces: pd.DataFrame, before: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
-    """sequence_id and offset of a block's pieces. before: how many pieces of each length the earlier blocks hold."""
+    """sequence_id and offset of a block's pieces. before: how many pieces of each length (its_length) the earlier blocks hold."""
     pieces = pieces.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], kind="stable", ignore_index=True)
     length = pieces["length"].to_numpy()
-    rank = pieces.groupby("length").cumcount().to_numpy() + before.set_index("length")["before"].reindex(length).to_numpy()
+    rank = pieces.groupby("length").cumcount().to_numpy() + before.set_index("its_length")["before"].reindex(length).to_numpy()
     key = plan["length"].to_numpy() * (1 << 44) + plan["rank"].to_numpy()
     at = np.searchsorted(key, length * (1 << 44) + rank, side="right") - 1
     row = {c: plan[c].to_numpy()[at] for c in plan.columns}
@@ -296,7 +296,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # capacity rows at most
     plan = make_plan(histogram, capacity).sort_values(["length", "rank"], ignore_index=True)
     earlier = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(F.col("block").alias("in_block"), "length", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    # under names of its own: both sides come from one table
+    before = counts.select(F.col("block").alias("in_block"), F.col("length").alias("its_length"), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
     both = pieces.groupBy("block").cogroup(before.groupBy("in_block"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return both.applyInPandas(lambda a, b: placed(a, b, plan), schema)

@@ -37,7 +37,9 @@ def block_pairs(queries: DataFrame, rows: DataFrame, search: Callable[[pd.DataFr
     rows = rows.select("vec_id", "v", width, F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_r)).cast("int").alias("r"), each(n_q).alias("q"))
     queries = queries.select("vec_id", "v", width, F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_q)).cast("int").alias("q"), each(n_r).alias("r"))
     by = ["r", "q", "width"]
-    return rows.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(lambda a, b: search(a, b) if len(a) and len(b) else pd.DataFrame(), schema)
+    queries = queries.select(*[F.col(c).alias(f"query_{c}") for c in queries.columns])  # under names of their own: both sides may come from one table
+    pairs = rows.groupBy(*by).cogroup(queries.groupBy(*[f"query_{c}" for c in by]))
+    return pairs.applyInPandas(lambda a, b: search(a, b.rename(columns=lambda c: c.removeprefix("query_"))) if len(a) and len(b) else pd.DataFrame(), schema)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
