@@ -49,8 +49,8 @@ def sampled(rows: DataFrame, limit: int) -> DataFrame:
     if n > 2 * limit:
         near = keys.where(F.col("row_key") < F.lit(int(1.5 * limit / n * 2**64) - 2**63))
         keys = near if near.count() >= limit else keys
-    keys = written(keys.orderBy("row_key").limit(limit), "sample")
-    return rows.join(F.broadcast(keys), "row_key").dropDuplicates(["row_key"])  # limit keys at most
+    keys = F.broadcast(keys.orderBy("row_key").limit(limit))  # limit keys at most
+    return rows.join(keys, "row_key").dropDuplicates(["row_key"])
 
 
 def per_row(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

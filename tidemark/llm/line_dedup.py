@@ -41,8 +41,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def numbered(groups: DataFrame, name: str) -> DataFrame:
-    """Distinct groups, numbered in sorted order (with gaps)."""
-    return written(groups.orderBy(*groups.columns).withColumn(name, F.monotonically_increasing_id()), name)
+    """Distinct groups, numbered in sorted order (with gaps). To be read once: what it's joined into is written."""
+    return groups.orderBy(*groups.columns).withColumn(name, F.monotonically_increasing_id())
 
 
 def reach(words: Column, min_words: int) -> Column:
@@ -92,7 +92,7 @@ def suffix_array(places: DataFrame) -> DataFrame:
         pairs = ranked.withColumn("later", F.coalesce(F.lead("rank", 2**k).over(doc), F.lit(-1).cast("long")))
         ranks = numbered(pairs.select("rank", "later").distinct(), "next")
         last, ranked = ranked, written(pairs.join(ranks, ["rank", "later"]).select("doc_id", "text_id", "run", "seq", F.col("next").alias("rank")), "ranks")
-        drop(last, ranks)
+        drop(last)
     ranked = ranked.select(F.col("doc_id").alias("d"), F.col("text_id").alias("t"), F.col("seq").alias("s"), "rank")
     on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_id") == F.col("t")) & (F.col("seq") == F.col("s"))
     found = places.where("prefix is not null").join(ranked, on).select("doc_id", "text_id", "seq", "prefix", "least", "rank")
@@ -130,8 +130,7 @@ def summed(levels: int):
 
 def beyond(array: DataFrame, levels: int) -> DataFrame:
     """part, before, after: for each number of lines the earliest position that a range's first row, and its last, is joined with in other ranges (NEVER: none)."""
-    sums = array.groupBy("part").applyInPandas(summed(levels), "part long, first array<long>, last array<long>, left array<long>, right array<long>, whole array<boolean>")
-    sums = written(sums, "ranges")  # a row for each range
+    sums = array.groupBy("part").applyInPandas(summed(levels), "part long, first array<long>, last array<long>, left array<long>, right array<long>, whole array<boolean>")  # a row for each range
     ordered = Window.orderBy("part")
     agree = F.transform(F.arrays_zip("first", "was"), lambda x: x["first"] == x["was"])
     common = F.coalesce(F.array_position(F.transform(agree, lambda x: ~F.coalesce(x, F.lit(False))), True) - 1, F.lit(0))
@@ -185,7 +184,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def once(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text_id, text), with those that repeat doc_id and text_id once. Only texts of these are shuffled."""
-    again = written(docs.groupBy(F.col("doc_id").alias("d"), F.col("text_id").alias("t")).count().where("count > 1").drop("count"), "repeated")
+    again = docs.groupBy(F.col("doc_id").alias("d"), F.col("text_id").alias("t")).count().where("count > 1").drop("count")
     if again.isEmpty():
         return docs
     on = docs["doc_id"].eqNullSafe(again["d"]) & (docs["text_id"] == again["t"])

@@ -235,14 +235,14 @@ def largest_parts(known: DataFrame, turn: int) -> DataFrame:
     return largest.select("bucket", (F.col("n") - F.col("most.m")).alias("n_open"), F.col("most.component").alias("most"), F.col("most.hub").alias("hub"), F.explode(salts).alias("salt"))
 
 
-def links_of(docs: DataFrame, nodes: DataFrame, same_doc: DataFrame, size: int, percent: int) -> DataFrame:
+def links_of(docs: DataFrame, nodes: DataFrame, same_doc: DataFrame | None, size: int, percent: int) -> DataFrame:
     """node, component of the classes (node, row_key, set_id, n_shingles, bands, signature) that some link joins with another. same_doc: links besides."""
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SALT)).alias("salt")
     members = written(buckets.join(heads, "bucket").select("bucket", salt, "head", "n", "node"), "buckets")
     links = verify(members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), nodes, docs, size, percent)
-    joined = components(links.unionByName(same_doc))
+    joined = components(links if same_doc is None else links.unionByName(same_doc))
     for turn in range(HUBS + 1):
         known = members.join(joined, "node", "left").select("bucket", "salt", "n", "node", F.coalesce("component", "node").alias("component"))
         known = known.join(largest_parts(known, turn), ["bucket", "salt"])
@@ -284,7 +284,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     classes = linkable.groupBy("set_id").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     firsts = linkable.join(classes.select("node"), linkable["row"] == F.col("node")).drop("row", "doc_id")
     of_doc = linkable.join(classes, "set_id").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").select("doc_id", "b")
-    same_doc = written(linkable.join(of_doc, "doc_id").join(classes, "set_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "same-doc")
+    same_doc = None
+    if not of_doc.isEmpty():
+        same_doc = written(linkable.join(of_doc, "doc_id").join(classes, "set_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "same-doc")
     joined = links_of(docs, firsts, same_doc, shingle_words, percent)
     least = classes.join(joined, "node").groupBy("component").agg(F.min("least").alias("component_id"))
     linked_classes = classes.join(joined, "node", "left").join(least, "component", "left").select("set_id", F.coalesce("component_id", "least").alias("component_id"))
