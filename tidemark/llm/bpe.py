@@ -2,16 +2,17 @@
 
 1. Texts are split into words, in blocks of whole documents of one input partition. A block lists each of its words
    once, and keeps the number of the word at each position of its documents.
-2. The lists meet in groups by a hash of the word. There each distinct word is encoded once: the word table has its ids.
-3. The word table's ids are joined with the id-to-piece table, by id; a word's pieces, in order, are what it decodes to.
-4. Ids and pieces of words are joined back to the lists, and these to the blocks: by position they make up the documents
-   again, as ids and as decoded text.
+2. The lists meet in groups by a hash of the word. There each distinct word is encoded once.
+3. The ids go back to the blocks that list the word. Each word's ids are joined with the id-to-piece table, whose pieces
+   decode it; by position, ids and decoded words make up the documents again.
 
 A word here is a stretch of text that the tokenizer's own splitting never joins with its neighbours: a run of white space
-with the run of other characters after it. Special tokens are words of their own. Lists and positions are packed before
-they are shuffled: a list of words in alphabetic order, ids and pieces in that order, positions by frequency of the word.
-As rows of words they would be several times the texts. Blocks are made twice, from the same partitions: once for the
-lists, once for the positions.
+with the run of other characters after it. Special tokens are words of their own. What is shuffled is packed: a list of
+words in alphabetic order, ids in that order, positions by frequency of the word. Blocks are made twice, from the same
+partitions: once for the lists, once for the positions.
+
+Ids are joined with their pieces in the tasks that have them, not as rows: rows of (word, position, id) for a join by
+Spark were tried, and took three times the input on disk.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read, small_batches, written
+from tidemark.llm.common import read, small_batches
 
 #: Characters of text in a block; a longer document is a block of its own.
-BLOCK_CHARS = 48_000_000
+BLOCK_CHARS = 16_000_000
 #: Groups of the word table for each input partition; a group holds about as many words at every size of the input.
 GROUPS_PER_PARTITION = 8
 #: White space as the tokenizer sees it: without the four separators that Python's \s has besides.
@@ -151,54 +152,22 @@ def split_blocks(special: list[str], n_groups: int, rows_of, columns: list[str])
     return run
 
 
-ENCODED = "group_no int, in_block long, list_crc long, at array<int>, nth int, ids array<int>"
-
-
 def encode_group(path: str):
-    """Of a group's lists each distinct word is encoded once. Rows of words (nth, ids), and of lists (in_block, at: the nth of each word)."""
+    """Of a group's lists each distinct word is encoded once; a list's ids stand in the order of its words."""
 
     def run(lists: pd.DataFrame) -> pd.DataFrame:
         numbers = Numbers()
-        at = [np.fromiter(map(numbers.__getitem__, words := from_word_list(unpack(x))), np.int32, len(words)) for x in lists["data"]]
+        at = [np.fromiter(map(numbers.__getitem__, words := from_word_list(unpack(x))), np.int64, len(words)) for x in lists["data"]]
         found = [x.ids for x in tokenizer(path).encode_batch(list(numbers), add_special_tokens=False)]
+        ids = object_array([np.array(x, "<i4") for x in found])
+        size = np.fromiter(map(len, found), "<i4", len(found))
+        packed = [pack(len(x).to_bytes(8, "little") + size[x].tobytes() + b"".join(y.tobytes() for y in ids[x])) for x in at]
         crc = np.fromiter((zlib.crc32(w.encode()) for w in numbers), np.int64, len(numbers))
-        group = lists["group_no"].iat[0]
-        of_lists = pd.DataFrame({"group_no": group, "in_block": lists["block"], "list_crc": [int(crc[x].sum()) for x in at], "at": at, "nth": None, "ids": None})
-        of_words = pd.DataFrame({"group_no": group, "in_block": None, "list_crc": None, "at": None, "nth": np.arange(len(found)), "ids": found})
-        return pd.concat([x.astype({"in_block": "Int64", "list_crc": "Int64", "nth": "Int32"}) for x in (of_lists, of_words)])
+        return pd.DataFrame({"in_block": lists["block"], "group_no": lists["group_no"], "ids": packed, "list_crc": [int(crc[x].sum()) for x in at]})
 
     return run
 
 
-def decoded_words(words: DataFrame, table: list[bytes]) -> DataFrame:
-    """of_group, word_no, ids, piece (all its pieces as one) of words (group_no, nth, ids), by a join with the id-to-piece table, whose size the tokenizer fixes."""
-    pieces = words.sparkSession.createDataFrame(list(enumerate(table)), "id int, piece binary")
-    each = words.select("group_no", "nth", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(pieces), "id", "left")
-    found = each.groupBy("group_no", "nth").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "piece"))).alias("x"))
-    there = F.filter("x", lambda x: x["id"].isNotNull())
-    whole = F.aggregate(there, F.lit(b""), lambda a, x: F.concat(a, F.coalesce(x["piece"], F.lit(b""))))
-    return found.select(F.col("group_no").alias("of_group"), F.col("nth").alias("word_no"), F.transform(there, lambda x: x["id"]).alias("ids_of_word"), whole.alias("piece"))
-
-
-def packed_items(items: np.ndarray) -> bytes:
-    sizes = np.fromiter(map(len, items), "<i4", len(items))
-    return pack(len(items).to_bytes(8, "little") + sizes.tobytes() + b"".join(items.tolist()))
-
-
-def unpacked_items(data: bytes) -> list[bytes]:
-    data = unpack(data)
-    n = int.from_bytes(data[:8], "little")
-    at = (8 + 4 * n + np.concatenate([[0], np.cumsum(np.frombuffer(data, "<i4", n, 8), dtype=np.int64)])).tolist()
-    return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-
-def join_back(lists: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """Ids and pieces of each list of a group, in the order of its words."""
-    words = words.sort_values("word_no")
-    ids, pieces = object_array([np.asarray(x, "<i4").tobytes() for x in words["ids_of_word"]]), object_array(words["piece"].tolist())
-    return lists[["in_block", "group_no", "list_crc"]].assign(ids=[packed_items(ids[x]) for x in lists["at"]], pieces=[packed_items(pieces[x]) for x in lists["at"]])
-
-
 def byte_of_piece_char() -> dict[str, int]:
     """The byte-level alphabet: printable Latin-1 characters stand for themselves, all other bytes for 256 and on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -214,13 +183,17 @@ def pieces(path: str) -> list[bytes]:
     return [table.get(i, b"") for i in range(max(table) + 1)]
 
 
-def words_back(block: pd.DataFrame, lists: pd.DataFrame) -> tuple[list[np.ndarray], list[str]]:
+def words_back(block: pd.DataFrame, lists: pd.DataFrame, table: np.ndarray) -> tuple[list[np.ndarray], list[str]]:
     """Ids and decoded text of a block's words, in the order of (group, word)."""
     if block["words_crc"].sum() != lists["list_crc"].sum():
         raise ValueError("the documents were not the same when they were read again; write them to a table first")
-    lists = lists.sort_values("group_no")
-    ids = [np.frombuffer(x, "<i4") for data in lists["ids"] for x in unpacked_items(data)]
-    return ids, [x.decode("utf-8", "replace") for data in lists["pieces"] for x in unpacked_items(data)]
+    ids: list[np.ndarray] = []
+    for data in lists.sort_values("group_no")["ids"]:
+        data = unpack(data)
+        n = int.from_bytes(data[:8], "little")
+        size = np.frombuffer(data, "<i4", n, 8)
+        ids += np.split(np.frombuffer(data, "<i4", offset=8 + 4 * n), np.cumsum(size)[:-1]) if n else []
+    return ids, [b"".join(table[x].tolist()).decode("utf-8", "replace") for x in ids]
 
 
 def documents_back(block: pd.DataFrame) -> Iterator[tuple]:
@@ -237,16 +210,16 @@ def object_array(items: list) -> np.ndarray:
     return out
 
 
-def digested(block: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-    ids, decoded = words_back(block, lists)
+def digested(block: pd.DataFrame, lists: pd.DataFrame, table: np.ndarray) -> pd.DataFrame:
+    ids, decoded = words_back(block, lists, table)
     as_text, size = object_array([",".join(map(str, x.tolist())) for x in ids]), np.fromiter(map(len, ids), np.int64, len(ids))
     whole, sha = object_array(decoded), lambda x: hashlib.sha256(x.encode()).hexdigest()
     out = [(doc_id, int(size[at].sum()), sha(",".join(as_text[at].tolist())), sha("".join(whole[at].tolist()))) for doc_id, at in documents_back(block)]
     return pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
 
 
-def in_full(block: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-    ids, decoded = words_back(block, lists)
+def in_full(block: pd.DataFrame, lists: pd.DataFrame, table: np.ndarray) -> pd.DataFrame:
+    ids, decoded = words_back(block, lists, table)
     whole = object_array(decoded)
     out = [(doc_id, np.concatenate([np.zeros(0, "<i4"), *[ids[i] for i in at.tolist()]]), "".join(whole[at].tolist())) for doc_id, at in documents_back(block)]
     return pd.DataFrame(out, columns=["doc_id", "ids", "decoded"]).astype({"doc_id": "Int64"})
@@ -257,12 +230,10 @@ def by_block(docs: DataFrame, path: str, fn, schema: str) -> DataFrame:
     small_batches(docs.sparkSession)
     n_groups = GROUPS_PER_PARTITION * max(1, docs.rdd.getNumPartitions())
     split = lambda rows_of, schema: docs.mapInPandas(split_blocks(special_tokens(path), n_groups, rows_of, [x.split()[0] for x in schema.split(", ")]), schema)
-    encoded = written(split(lists_of, LISTS).groupBy("group_no").applyInPandas(encode_group(path), ENCODED), "word-table")
-    words = decoded_words(encoded.where("in_block is null"), pieces(path))
-    lists = encoded.where("in_block is not null").select("group_no", "in_block", "list_crc", "at")
-    back = lists.groupBy("group_no").cogroup(words.groupBy("of_group")).applyInPandas(join_back, "in_block long, group_no int, list_crc long, ids binary, pieces binary")
-    both = split(positions_of, POSITIONS).groupBy("block").cogroup(back.groupBy("in_block"))
-    return both.applyInPandas(fn, schema)
+    encoded = split(lists_of, LISTS).groupBy("group_no").applyInPandas(encode_group(path), "in_block long, group_no int, ids binary, list_crc long")
+    table = pieces(path)
+    both = split(positions_of, POSITIONS).groupBy("block").cogroup(encoded.groupBy("in_block"))
+    return both.applyInPandas(lambda a, b: fn(a, b, object_array(table)), schema)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
