@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
+import io
 
 import numpy as np
 import pytest
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.operators import bias, indicators, merge, stats
 from tidemark.sources import files, shared
+from tidemark.sources import tables as T
 
 
 @pytest.mark.parametrize(("t", "n", "p"), [(2.8398238308362544, 69248, 0.002257580242386239), (4.3742180509465864, 64112, 6.103023349155724e-06)])
@@ -77,6 +80,19 @@ def test_columns(spark, tmp_path):
     assert [tuple(r) for r in files.scan(spark, f"{tmp_path}/plain", "a int", "key").collect()] == [(1, "X-Y")]
 
 
+def test_bounds_reach_the_scan(spark, tmp_path):
+    """Articles of days without bars aren't read; those of unknown companies and outlets don't count."""
+    day = lambda i: datetime.datetime(2024, 1, i, 10)
+    spark.createDataFrame([(i, 1, day(i)) for i in range(1, 29)] + [(99, None, day(5))], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i % 30 or 99, 7 if i < 40 else 8, 0.1, 0.0) for i in range(60)], "l_orderkey long, l_suppkey long, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(7,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    found, out = T.articles(spark, str(tmp_path), datetime.date(2024, 1, 3), datetime.date(2024, 1, 6)), io.StringIO()
+    assert sorted((r.ticker, r.date.day) for r in found.collect()) == [(7, 3), (7, 3), (7, 4), (7, 4), (7, 5), (7, 5), (7, 6), (7, 6)]
+    with contextlib.redirect_stdout(out):
+        found.explain("formatted")
+    assert "GreaterThanOrEqual(o_orderdate" in out.getvalue() and "LessThan(o_orderdate" in out.getvalue()
+
+
 def test_kept_follows_its_sources(spark, tmp_path):
     path = f"{tmp_path}/t.parquet"
     made = []

@@ -36,12 +36,12 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         reach = (first - timedelta(days=bias.DAYS_BACK + 1), last + timedelta(days=1)) if first else (None, None)
         return bias.raw_index(bars, T.articles(spark, sf_dir, *reach), T.outlets(spark, sf_dir))
 
-    return kept(spark, sf_dir, "raw-index", ["lineitem", "orders", "customer"], make)
+    return kept(spark, sf_dir, "raw-index", ["lineitem", "orders", "customer", "supplier"], make)
 
 
 def norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with the raw and the normalised index. Only scores that are there count for the scale."""
-    return kept(spark, sf_dir, "index", ["lineitem", "orders", "customer"], lambda: bias.normalised(raw(spark, sf_dir)))
+    return kept(spark, sf_dir, "index", ["lineitem", "orders", "customer", "supplier"], lambda: bias.normalised(raw(spark, sf_dir)))
 
 
 def all_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def all_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark, sf_dir, "features", ["lineitem", "orders", "customer"], lambda: stats.features(norm(spark, sf_dir), all_indicators(spark, sf_dir)))
+    return kept(spark, sf_dir, "features", ["lineitem", "orders", "customer", "supplier"], lambda: stats.features(norm(spark, sf_dir), all_indicators(spark, sf_dir)))
 
 
 def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +203,7 @@ def regression_report(spark, sf_dir):
 RAW_SQL = f"""{BARS_SQL},
 daily AS (SELECT l_suppkey AS ticker, CAST(o_orderdate AS DATE) AS date, count(*) AS n,
   sum((coalesce(l_discount, 0) - coalesce(l_tax, 0)) * log10(1 + greatest(coalesce(c_acctbal, 0), 0)) / log10(41000001e0)) AS s
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2),
 raw AS (SELECT b.ticker, b.date, any_value(b.close) AS close, any_value(b.volume) AS volume, coalesce(sum(d.s), 0) AS bias_score, CAST(coalesce(sum(d.n), 0) AS BIGINT) AS n_articles
   FROM bars b LEFT JOIN daily d ON d.ticker = b.ticker AND d.date BETWEEN b.date - 14 AND b.date GROUP BY b.ticker, b.date)"""
 NORM_SQL = f"""{RAW_SQL},

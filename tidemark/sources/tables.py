@@ -29,12 +29,13 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str, first: datetime.date | None = None, last: datetime.date | None = None) -> DataFrame:
-    """ticker, date, outlet_id, pos, neg. first, last: bounds of the date, for the scan; without outlet an article doesn't count."""
+    """ticker, date, outlet_id, pos, neg, of known companies. first, last: bounds of the date, for the scan; without outlet an article doesn't count."""
+    known = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
     line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").where("o_custkey is not null")
     if first is not None and last is not None:
         at = [datetime.datetime.combine(d, datetime.time()) for d in (first, last + datetime.timedelta(days=1))]
         orders = orders.where((F.col("o_orderdate") >= F.lit(at[0]).cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(at[1]).cast("timestamp_ntz")))
-    return line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).select(
+    return line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).join(known, "l_suppkey", "left_semi").select(
         F.col("l_suppkey").alias("ticker"), F.to_date("o_orderdate").alias("date"), F.col("o_custkey").alias("outlet_id"), F.col("l_discount").alias("pos"), F.col("l_tax").alias("neg")
     )
 
