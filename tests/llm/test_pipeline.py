@@ -81,8 +81,10 @@ def test_run_is_brute_force(spark, tmp_path):
     for i in range(120):
         own = [" ".join(f"o{i}w{j}" for j in range(rng.randint(5, 40))) for _ in range(rng.randint(1, 3))]
         texts.append("\n".join(rng.sample([*own, *rng.sample(pool, 2)], len(own) + 2)))
-        if i % 10 == 9:  # a near copy: some words of the document before are others, on all lines
-            texts.append("\n".join(f"{x} c{i}" for x in texts[-1].split("\n")))
+        if i % 10 == 9:  # a near copy, whose only line differs
+            long = " ".join(f"n{i}w{j}" for j in range(120))
+            texts += [long, f"{long} c{i}"]
+    texts.append(pool[0])  # of which nothing is left
     docs = [(i, t) for i, t in enumerate(texts)]
     spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
