@@ -33,7 +33,7 @@ END_ID = 1
 #: Lengths above CAPACITY / LARGE are large, and rounded up to GROUPS sizes.
 LARGE, GROUPS = 4, 512
 #: Bytes of words and ids that a task remembers, with what Python needs for an entry.
-MEMO_BYTES, ENTRY_BYTES = 24_000_000, 200
+MEMO_BYTES, ENTRY_BYTES = 96_000_000, 200
 BATCH_CHARS = 1_000_000
 #: Fixed values of the tokenizer's file: how it splits, and the byte that stands for its end of a word here.
 SPLIT, WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "\x01"
@@ -191,12 +191,19 @@ def word_encoder(path: str):
         """By character: only a sigma's lower case depends on its place otherwise."""
         return w.lower() if "Σ" not in w else "".join(map(str.lower, w))
 
+    known: set[str] = set()  # characters that are in no category of OWN_WAY; at most all that there are
+
+    def usual(w: str) -> bool:
+        if not known.issuperset(w):
+            known.update(c for c in set(w) if unicodedata.category(c) not in OWN_WAY)
+        return known.issuperset(w)
+
     def encode(words: list[str]) -> list[bytes]:
         """Words with characters that one of both may not know, or that combine, are the library's."""
-        odd = [not w.isascii() and any(map(OWN_WAY.__contains__, map(unicodedata.category, w))) for w in words]
+        odd = [not w.isascii() and not usual(w) for w in words]
         if any(odd):
-            known = iter(encode([w for w, x in zip(words, odd, strict=True) if not x]))
-            return [library_ids(path, w) if x else next(known) for w, x in zip(words, odd, strict=True)]
+            others = iter(encode([w for w, x in zip(words, odd, strict=True) if not x]))
+            return [library_ids(path, w) if x else next(others) for w, x in zip(words, odd, strict=True)]
         parts = [pattern.findall(w.lower() if w.isascii() else lower(unicodedata.normalize("NFC", w))) for w in words]
         if not parts:
             return []
