@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, chat, html_text, line_dedup, near_dedup, packing, quality, topk, toxicity
+from tidemark.llm import ann, bpe, chat, filter_audit, html_text, line_dedup, near_dedup, packing, quality, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": html_text.op1_html_extract,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pack_linear_grouping": packing.op8_pack_linear_grouping,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_chat_format": chat.OP7_SQL,
     "op9_near_dedup": near_dedup.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
 }
