@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, chat, filter_audit, html_text, line_dedup, near_dedup, packing, prefix_trie, quality, topk, toxicity
+from tidemark.llm import ann, bpe, chat, filter_audit, group_join, html_text, line_dedup, near_dedup, packing, prefix_trie, quality, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": html_text.op1_html_extract,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_group_join": group_join.op12_group_join,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
@@ -29,5 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op9_near_dedup": near_dedup.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
     "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_group_join": group_join.OP12_SQL,
     "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
