@@ -83,17 +83,18 @@ def test_links_hold_for_any_sketch_and_blocks(spark, monkeypatch):
 
 
 def test_first_shingles_meet():
-    """Any two sets that are linked share one of the first shingles of both."""
+    """Any two sets that are linked share as many of the first shingles as either asks for."""
     rng, counts = np.random.default_rng(1), np.random.default_rng(2).integers(0, 9, J.CELLS).astype(np.float32)
 
     def first(text):
         import pandas as pd
 
         row = next(J.first_shingles(counts, 1, 80)(iter([pd.DataFrame({"row_key": [1], "text": [text]})])))
-        return set(row["first"].iat[0].tolist())
+        return set(row["first"].iat[0].tolist()), row["shared"].iat[0]
 
     for _ in range(300):
         x = [f"a{i}" for i in range(rng.integers(1, 40))]
         y = [w for w in x if rng.random() < 0.93] + [f"b{i}" for i in range(rng.integers(0, 4))]
         if y and 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y)):
-            assert first(" ".join(x)) & first(" ".join(y))
+            (p, k), (q, m) = first(" ".join(x)), first(" ".join(y))
+            assert len(p & q) >= max(k, m)

@@ -5,9 +5,9 @@
    size is fixed; by it, then by hash, shingles have one order for all, roughly from rare to frequent.
 2. Nodes are partitioned into groups of similar sets: each has KEYS minima of hashes, and goes by the one that most nodes
    have. Large groups are cut by hash, so that a group holds about GROUP nodes at most.
-3. The matrix has a cell for a shingle and a group that a set's first shingles hold, in that order: as many as any linked
-   set must share one of (all but a least overlap, and one). Where the cell of a query's first shingle and of another
-   group meet, the query may have links there; else it has none. Of two groups the one of fewer nodes asks.
+3. The matrix has a cell for a shingle and a group that a set's first shingles hold, in that order: all but a least
+   overlap, and SHARED more, so that linked sets share SHARED of them. A query whose first shingles stand in fewer cells of
+   a group has no link there. Of two groups the one of fewer nodes asks.
 4. A query and a group that meet come to one task, where the group's matrix column is whole: the union of its members'
    shingles. If the union holds fewer of the query's shingles than a link takes, the group stays closed. Else it is
    opened: its members' full overlaps with the query are counted, and links are told exactly. Members of one group
@@ -39,6 +39,8 @@ CELLS, PAGE = 1 << 20, 1 << 16
 #: Queries of a group that go to one task; members that come to one task, of as many groups as it takes.
 BLOCK, UNIT = 1024, 2048
 SEED = 12
+#: First shingles that linked sets have in common.
+SHARED = 10
 #: Rows of a table of counters that are added up in one task at first.
 FAN = 64
 
@@ -94,7 +96,13 @@ def sketch_of(pages: DataFrame) -> DataFrame:
 
 
 def first_shingles(sketch: np.ndarray, size: int, percent: int):
-    """row_key, set_id and those shingles, first in the order, of which any linked set holds one: of n all but a least overlap, and one."""
+    """row_key, set_id, those shingles, first in the order, that linked sets have `shared` of in common, and shared.
+
+    Of n shingles any linked set has at least c = percent * n in common, and so has at least percent * n shingles itself. The
+    first k that both have in common are among the first n - c + k of either, for any k up to c. A set takes them for k up to
+    SHARED, and asks for as many as the least linked set has taken them for.
+    """
+    part = lambda n: -(-percent * n // 100)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -103,22 +111,23 @@ def first_shingles(sketch: np.ndarray, size: int, percent: int):
             for key, text in zip(batch["row_key"], batch["text"], strict=True):
                 found = shingles(text, size, hashes)
                 if len(found):
-                    n = len(found) - -(-percent * len(found) // 100) + 1
+                    c = part(len(found))
                     # sets are ascending, and the sort is stable: ties by hash
-                    first = found[np.argsort(sketch[cell_of(found)], kind="stable")[:n]]
-                    rows.append((key, digest(found), first.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["row_key", "set_id", "first"])
+                    first = found[np.argsort(sketch[cell_of(found)], kind="stable")[: len(found) - c + min(SHARED, c)]]
+                    rows.append((key, digest(found), first.view(np.int64), min(SHARED, part(c))))
+            yield pd.DataFrame(rows, columns=["row_key", "set_id", "first", "shared"])
 
     return run
 
 
 def grouped(nodes: DataFrame) -> DataFrame:
-    """node, group, n_group of nodes (node, keys): by the key that most nodes have; n_group counts the nodes that have it. Groups are cut by hash."""
+    """node, group of nodes (node, keys): by the key that most nodes have. Groups are cut by hash; those of fewer nodes have smaller numbers."""
     each = nodes.select("node", F.explode("keys").alias("key"))
     often = each.groupBy("key").agg(F.count("*").alias("n"))
     best = each.join(often, "key").groupBy("node").agg(F.max(F.struct("n", "key")).alias("k")).select("node", "k.*")
     parts = F.ceil(F.col("n") / GROUP)
-    return best.select("node", F.xxhash64("key", F.pmod(F.xxhash64("node"), parts)).alias("group"), F.ceil(F.col("n") / parts).alias("n_group"))
+    hashed = F.xxhash64("key", F.pmod(F.xxhash64("node"), parts)).bitwiseAND(F.lit(2**48 - 1))
+    return best.select("node", (F.ceil(F.col("n") / parts) * 2**48 + hashed).alias("group"))
 
 
 def joined(percent: int):
@@ -175,12 +184,12 @@ def links_of(docs: DataFrame, nodes: DataFrame, sketch: DataFrame, size: int, pe
         counts[page * PAGE : (page + 1) * PAGE] = np.frombuffer(x, np.int64)
     counts = counts.astype(np.float32)
     groups = written(grouped(nodes), "groups")
-    first = docs.select("row_key", "text").mapInPandas(first_shingles(counts, size, percent), "row_key long, set_id binary, first array<long>")
+    first = docs.select("row_key", "text").mapInPandas(first_shingles(counts, size, percent), "row_key long, set_id binary, first array<long>, shared int")
     first = nodes.select("node", "row_key", "set_id").join(first, ["row_key", "set_id"]).dropDuplicates(["node"]).join(groups, "node")
-    cells = first.select(F.explode("first").alias("token"), "node", "group", "n_group").repartition("token")
-    column = cells.select("token", F.col("group").alias("asked"), F.col("n_group").alias("n_asked")).distinct()
-    smaller = (F.col("n_group") < F.col("n_asked")) | ((F.col("n_group") == F.col("n_asked")) & (F.col("group") < F.col("asked")))
-    others = cells.join(column, "token").where(smaller).select("node", F.col("asked").alias("group")).distinct()
+    cells = first.select(F.explode("first").alias("token"), "node", "group", "shared").repartition("token")
+    column = cells.select("token", F.col("group").alias("asked")).distinct()
+    met = cells.join(column, "token").where("group < asked").groupBy("node", "asked", "shared").agg(F.count("*").alias("n"))
+    others = met.where("n >= shared").select("node", F.col("asked").alias("group"))
     several = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
     own = groups.join(several, "group").select("node", "group")
     asks = written(others.unionByName(own), "asks")
