@@ -6,8 +6,8 @@
 2. Nodes are partitioned into groups of similar sets: each has KEYS minima of hashes, and goes by the one that most nodes
    have. Large groups are cut by hash, so that a group holds about GROUP nodes at most.
 3. The matrix has a cell for a shingle and a group that a set's first shingles hold, in that order: all but a least
-   overlap, and SHARED more, so that linked sets share SHARED of them. A query whose first shingles stand in fewer cells of
-   a group has no link there. Of two groups the one of fewer nodes asks.
+   overlap, and SHARED more, so that linked sets share SHARED of them. A set whose first shingles stand in fewer cells of
+   a group than that, not counting cells of its own alone, has no link there. Of two groups the one of fewer nodes asks.
 4. A query and a group that meet come to one task, where the group's matrix column is whole: the union of its members'
    shingles. If the union holds fewer of the query's shingles than a link takes, the group stays closed. Else it is
    opened: its members' full overlaps with the query are counted, and links are told exactly. Members of one group
@@ -183,18 +183,17 @@ def links_of(docs: DataFrame, nodes: DataFrame, sketch: DataFrame, size: int, pe
     for page, x in sketch.toLocalIterator():  # CELLS counters, whatever the input
         counts[page * PAGE : (page + 1) * PAGE] = np.frombuffer(x, np.int64)
     counts = counts.astype(np.float32)
-    groups = written(grouped(nodes), "groups")
+    nodes = written(nodes.select("node", "row_key", "set_id").join(grouped(nodes), "node"), "groups")
     first = docs.select("row_key", "text").mapInPandas(first_shingles(counts, size, percent), "row_key long, set_id binary, first array<long>, shared int")
-    first = nodes.select("node", "row_key", "set_id").join(first, ["row_key", "set_id"]).dropDuplicates(["node"]).join(groups, "node")
+    first = first.dropDuplicates(["row_key", "set_id"]).join(nodes, ["row_key", "set_id"])
     cells = first.select(F.explode("first").alias("token"), "node", "group", "shared").repartition("token")
-    column = cells.select("token", F.col("group").alias("asked")).distinct()
-    met = cells.join(column, "token").where("group < asked").groupBy("node", "asked", "shared").agg(F.count("*").alias("n"))
-    others = met.where("n >= shared").select("node", F.col("asked").alias("group"))
-    several = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    own = groups.join(several, "group").select("node", "group")
-    asks = written(others.unionByName(own), "asks")
+    column = cells.groupBy("token", F.col("group").alias("asked")).agg(F.count("*").alias("holders"))
+    met = cells.join(column, "token").where("group <> asked or holders > 1").groupBy("node", "group", "asked", "shared").agg(F.count("*").alias("n"))
+    met = written(met.where("n >= shared").select("node", "group", "asked"), "met")
+    asks = met.where("group <= asked").select("node", F.col("asked").alias("group"))
     asked = written(asks.groupBy("group").agg(F.count("*").alias("n")), "asked")
-    members = written(groups.join(asked, "group").select("node", "group", "n"), "members")
+    # who is linked with a set of a group meets that group, so only sets that meet some are compared
+    members = written(met.select("node", "group").distinct().join(asked, "group").select("node", "group", "n"), "members")
     sets = sets_for(asks.select("node").unionByName(members.select("node")), nodes, docs, size)
     units = max(1, (asks.count() + members.count()) // UNIT)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
