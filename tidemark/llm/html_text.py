@@ -35,6 +35,9 @@ NOT_CONTENT = set(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu modal nav navbar navigation"
     " newsletter notice overlay pager pagination popup promo recommended related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Parts of a name of several parts that make it a state, or the frame of what stands beside such an element.
+STATES = set("has with without no not is open closed enabled disabled layout page wrap content main body".split())
+PARTS = re.compile(r"[-_:]+|(?<=[a-z0-9])(?=[A-Z])")
 MAIN = {"article", "main"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br td th".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -101,7 +104,7 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
             continue
         if stack and stack[-1][0] in ENDS_ITSELF and (stack[-1][0] == tag or stack[-1][0] == "p" and tag != "span"):
             pop(len(stack) - 1, False)
-        odd = tag in LEFT_OUT and not (tag == "header" and main) or bool(m[4]) and tag not in ("body", "html") and named_so(m[4])
+        odd = tag in LEFT_OUT and not (tag == "header" and main) or bool(m[4]) and tag not in ("body", "html") and named_so(m[4], bool(main))
         n += 1
         if odd:
             end()
@@ -123,8 +126,20 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
     return found
 
 
-def named_so(attributes: str) -> bool:
-    return any(w in NOT_CONTENT for m in NAMED.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split())
+def named_so(attributes: str, in_main: bool = False) -> bool:
+    """Whether a class, id or role says that an element is no content: by its whole name, or by a part of it ("related-posts", "adSlot").
+
+    A name whose first or last part tells a state or a frame says nothing ("has-sidebar", "comments-open"); in an article
+    neither does a part "header", as its title stands there.
+    """
+    for m in NAMED.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            if name.lower() in NOT_CONTENT:
+                return True
+            parts = [x.lower() for x in PARTS.split(name) if x]
+            if len(parts) > 1 and not STATES.intersection((parts[0], parts[-1])) and any(x in NOT_CONTENT and not (in_main and x == "header") for x in parts):
+                return True
+    return False
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
