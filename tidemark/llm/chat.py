@@ -21,6 +21,8 @@ TURN, END = "<|turn|>", "<|end|>\n"
 ESCAPES = [("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;")]
 ROLE_ESCAPES = [*ESCAPES, ("\n", "&#10;")]
 LOSS_ROLE = "assistant"
+#: A column that is there only while layouts are selected.
+PRINT = "__fingerprint_of_record"
 TURNS = "array<struct<role: string, text: string>>"
 
 
@@ -60,13 +62,12 @@ def fingerprint_of(paths: frozenset[str]) -> Column:
 
 
 def has(record: Column, path: str) -> Column:
-    """Whether a variant has a field, of whatever type; within an array, whether some item has it (an empty array has all)."""
+    """Whether a variant has a field, of whatever type; of an array, whether each item has it as a field of its own (an empty array has all)."""
     at, _, item = path.partition("[].")
-    value = F.try_variant_get(record, f"$.{at}", "variant")
     if not item:
-        return value.isNotNull()
-    schema = F.schema_of_variant(value)
-    return F.coalesce(schema.rlike(f"[<, ]{item}: ") | (schema == "ARRAY<VOID>"), F.lit(False))
+        return F.try_variant_get(record, f"$.{at}", "variant").isNotNull()
+    items = F.try_variant_get(record, f"$.{at}", "array<variant>")
+    return F.coalesce(F.forall(items, lambda m: F.try_variant_get(m, f"$.{item}", "variant").isNotNull()), F.lit(False))
 
 
 def fingerprint(record: Column, layouts: list[Layout]) -> Column:
@@ -91,16 +92,19 @@ def turns_of(record: Column, layout: Layout) -> Column:
 
 
 def canonical(records: DataFrame, layouts: list[Layout] | None = None) -> DataFrame:
-    """records, of which `record` is a variant, with layout (null: none fits) and turns (role, text; null: none fits)."""
+    """records, of which `record` is a variant, with layout (null: none fits) and turns (role, text; null: none fits); other columns stay as they are.
+
+    A list of messages fits a layout only if each of its items has the layout's fields as its own.
+    """
     layouts = layouts or LAYOUTS
-    found = records.withColumn("fingerprint", fingerprint(F.col("record"), layouts))
+    found = records.withColumn(PRINT, fingerprint(F.col("record"), layouts))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in layouts:
         own = F.lit(False)
         for p in x.fingerprints():
-            own = own | (F.col("fingerprint") == fingerprint_of(p))
+            own = own | (F.col(PRINT) == fingerprint_of(p))
         layout, turns = F.when(own, F.lit(x.name)).otherwise(layout), F.when(own, turns_of(F.col("record"), x)).otherwise(turns)
-    return found.withColumns({"layout": layout, "turns": turns})
+    return found.withColumns({"layout": layout, "turns": turns}).drop(PRINT)
 
 
 def escape(x: Column, escapes: list[tuple[str, str]] = ESCAPES) -> Column:
