@@ -72,25 +72,32 @@ def sigmoid(g: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(g, -40, 40)))
 
 
+def risks(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Of outputs on positives and on unlabelled rows: the risk on positives, and the unbiased one on negatives."""
+    soft = lambda g: np.logaddexp(0, g)
+    return prior * soft(-gp).mean(), soft(gu).mean() - prior * soft(gp).mean()
+
+
+def slopes(gp: np.ndarray, gu: np.ndarray, prior: float) -> np.ndarray:
+    """How the sum of both risks changes with each output; where that on negatives is below zero it is overfitted, and the step goes back on it alone."""
+    of_negatives = np.concatenate([-prior * sigmoid(gp) / len(gp), sigmoid(gu) / len(gu)])
+    if risks(gp, gu, prior)[1] < 0:
+        return -of_negatives
+    return of_negatives + np.concatenate([-prior * sigmoid(-gp) / len(gp), np.zeros(len(gu))])
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> list[np.ndarray]:
     """Weights of the network; Adam over batches of both kinds of rows. Without prior it tells positives from unlabelled rows."""
     rng = np.random.default_rng(SEED)
     w = [rng.standard_normal((positive.shape[1], HIDDEN)) * 0.3, np.zeros(HIDDEN), rng.standard_normal(HIDDEN) * 0.3, np.zeros(1)]
     m, v = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w]
-    soft = lambda g: np.logaddexp(0, g)
     for step in range(1, STEPS + 1):
         p, u = (a[rng.integers(0, len(a), BATCH)] for a in (positive, unlabelled))
         x = np.concatenate([p, u])
         h = np.tanh(x @ w[0] + w[1])
         g = h @ w[2] + w[3]
         gp, gu = g[:BATCH], g[BATCH:]
-        if prior is None:
-            d = np.concatenate([-sigmoid(-gp), sigmoid(gu)]) / BATCH
-        else:
-            negative = soft(gu).mean() - prior * soft(gp).mean()
-            # below zero the risk on negatives is overfitted: step back on it alone
-            d_negative = np.concatenate([-prior * sigmoid(gp), sigmoid(gu)]) / BATCH
-            d = -d_negative if negative < 0 else d_negative + np.concatenate([-prior * sigmoid(-gp), np.zeros(BATCH)]) / BATCH
+        d = np.concatenate([-sigmoid(-gp), sigmoid(gu)]) / BATCH if prior is None else slopes(gp, gu, prior)
         dh = d[:, None] * w[2] * (1 - h * h)
         grads = [x.T @ dh + 1e-4 * w[0], dh.sum(axis=0), h.T @ d + 1e-4 * w[2], np.array([d.sum()])]
         for i, grad in enumerate(grads):
@@ -141,13 +148,13 @@ def estimated_prior(positives: DataFrame, everything: DataFrame, positive: np.nd
     return prior_of(counts)
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, unlabelled_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score double, predicted int for every row of docs (doc_id, text). labels: doc_id, quality.
 
     Labels are learned from rows alone whose crc32(doc_id as text) mod 4 is not 2; of several labels of one doc_id the
-    least counts, null ones don't. The network is fitted on sample_rows of the rows of label 1, and on as many rows that
-    have some label, which isn't looked at, as unlabelled ones; rows that repeat doc_id and text are fitted on once. The
-    prior is counted over all training rows. Null and empty texts are scored like any other, very long ones as a whole.
+    least counts, null ones don't. The network is fitted on at most sample_rows of the rows of label 1, and on at most
+    unlabelled_rows of all training rows, whose labels aren't looked at; rows that repeat doc_id and text are fitted on
+    once. The prior is counted over all training rows. Null and empty texts are scored like any other, very long ones as a whole.
     Without a training row of label 1 nothing can be learned, and all scores are 1. Null and repeated doc_id keep their rows. No rows give no rows.
     Other columns are ignored.
     """
@@ -159,7 +166,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sam
     positive = matrix(sampled(labelled.where("is_positive"), sample_rows))
     if not len(positive):
         return found.select("doc_id", "held_out", F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
-    unlabelled = matrix(sampled(labelled, sample_rows))
+    unlabelled = matrix(sampled(training.select("row_key", "x"), unlabelled_rows))
     mean, dev = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-6
     prior = estimated_prior(labelled.where("is_positive"), training, positive, unlabelled, mean, dev)
     weights = fit(scale(positive, mean, dev), scale(unlabelled, mean, dev), prior)
