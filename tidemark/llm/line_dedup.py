@@ -191,24 +191,25 @@ def once(docs: DataFrame) -> DataFrame:
     return docs.join(again, on, "left_anti").unionByName(docs.join(again, on, "left_semi").dropDuplicates(["doc_id", "text_id"]))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs (doc_id, text, ...) without later copies of repeated runs of lines, and with n_removed: the lines that went.
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counted: str = "n_removed") -> DataFrame:
+    """docs (doc_id, text, ...) without later copies of repeated runs of lines, and with a column, named by counted: the lines that went.
 
     Lines are compared with runs of white space as one space; blank lines are neither compared nor removed. The earliest
     copy, in order of doc_id (null first), text and line, stays; of copies that overlap the later lines go. Runs of under
     min_words words stay, and every first occurrence of a line does. Null and empty texts stay as they are. Rows that
     repeat both doc_id and text are one document and have one result. Texts are whole, of any length. No rows give no
-    rows. Other columns stay; n_removed is replaced.
+    rows. Other columns stay as they are, but for one that is named as counted says.
     """
-    keyed = docs.withColumn("__text_id", F.unhex(F.md5("text")))
+    # the columns of docs travel as one, so that none clashes with those made here
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col("doc_id").cast("long").alias("own_id"), F.unhex(F.md5("text")).alias("own_text"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("text_id", F.unhex(F.md5("text")))
-    gone = repeated_lines(once(plain), min_words).select(F.col("doc_id").alias("__doc_id"), F.col("text_id").alias("__gone_id"), F.col("gone").alias("__gone"))
     # by a shuffle at every size: what goes may be any share of the lines
-    out = keyed.join(gone.hint("merge"), keyed["doc_id"].cast("long").eqNullSafe(gone["__doc_id"]) & (keyed["__text_id"] == gone["__gone_id"]), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
-    n = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
-    return out.withColumns({"text": text, "n_removed": F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(n)}).drop("__text_id", "__doc_id", "__gone_id", "__gone")
+    gone = repeated_lines(once(plain), min_words).select("doc_id", "text_id", "gone").hint("merge")
+    out = keyed.join(gone, keyed["own_id"].eqNullSafe(gone["doc_id"]) & (keyed["own_text"] == gone["text_id"]), "left")
+    kept = F.array_join(F.filter(F.split("d.text", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(kept)
+    n = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
+    return out.select(*[text.alias(c) if c == "text" else F.col("d")[c].alias(c) for c in docs.columns if c != counted], n.alias(counted))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
