@@ -185,7 +185,7 @@ def links_of(docs: DataFrame, nodes: DataFrame, sketch: DataFrame, size: int, pe
     counts = counts.astype(np.float32)
     nodes = written(nodes.select("node", "row_key", "set_id").join(grouped(nodes), "node"), "groups")
     first = docs.select("row_key", "text").mapInPandas(first_shingles(counts, size, percent), "row_key long, set_id binary, first array<long>, shared int")
-    first = first.dropDuplicates(["row_key", "set_id"]).join(nodes, ["row_key", "set_id"])
+    first = written(first.dropDuplicates(["row_key", "set_id"]).join(nodes, ["row_key", "set_id"]).select("node", "group", "first", "shared"), "first-shingles")
     cells = first.select(F.explode("first").alias("token"), "node", "group", "shared").repartition("token")
     column = cells.groupBy("token", F.col("group").alias("asked")).agg(F.count("*").alias("holders"))
     met = cells.join(column, "token").where("group <> asked or holders > 1").groupBy("node", "group", "asked", "shared").agg(F.count("*").alias("n"))
