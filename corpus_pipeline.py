@@ -22,29 +22,32 @@ def without(docs: DataFrame, verdicts: DataFrame, rejected: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the doc_ids of which some text is predicted toxic. Null, empty and repeated texts are judged like others; where no label tells anything, all stay."""
+    """docs without the doc_ids of which some text is predicted toxic. Null, empty and repeated texts are judged like others; where no label tells anything, all stay. No rows give no rows."""
     return without(docs, toxicity.scored(docs, read(spark, sf_dir, "labels")), "predicted = 1")
 
 
 def poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the doc_ids of which some text is predicted poor, as null and empty ones may be; where no label tells anything, all stay."""
+    """docs without the doc_ids of which some text is predicted poor, as null and empty ones may be; where no label tells anything, all stay. No rows give no rows."""
     return without(docs, quality.scored(docs, read(spark, sf_dir, "labels")), "predicted = 0")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without later copies of repeated passages. Documents of which nothing is left go; null and empty texts stay."""
-    found = line_dedup.dedup_lines(docs)
-    left = (F.col("n_removed") == 0) | (F.trim("text") != "")
+    """docs without later copies of repeated passages. Documents of which nothing is left go; null and empty texts stay, and all columns but text and its n_chars. No rows give no rows."""
+    removed = "lines_removed"
+    while removed in docs.columns:
+        removed += "_"
+    found = line_dedup.dedup_lines(docs, counted=removed)
+    left = (F.col(removed) == 0) | (F.trim("text") != "")
     return found.where(F.coalesce(left, F.lit(True))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays, and of rows that repeat doc_id and text one. Rows without doc_id, and without words, stay."""
+    """Of each group of near copies the document with the smallest doc_id stays, and of rows that repeat doc_id and text one. Rows without doc_id, and without words, stay. No rows give no rows."""
     return without(docs, near_dedup.near_duplicates(docs, shingle_words=5, percent=80), "not kept").dropDuplicates(["doc_id", "text"])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of docs in sequences of 4096 tokens at most; a null or empty text is its end token alone."""
+    """The pieces of docs in sequences of 4096 tokens at most; a null or empty text is its end token alone. No rows give no pieces."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
