@@ -22,11 +22,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table, read again: what follows sees the same values however often it reads them, and a lost executor costs a re-read."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+def _at(spark: SparkSession, path: str):
+    """path, its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, fs = _at(spark, path)
+    return fs.exists(where)
+
+
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df as a table, read again: what follows sees the same values however often it reads them, and a lost executor costs a re-read.
+
+    by: a column by which rows are bucketed, and others in whose order they stand in a bucket. Windows, aggregations and
+    joins by the first column then need no exchange. A bucket is one file; there are as many as shuffle partitions.
+    """
+    spark, key = df.sparkSession, uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/{name}-{key}"
+    if by:
+        n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name.replace('-', '_')}_{key}"
+        df.repartition(n, by[0]).write.option("compression", "zstd").option("path", path).bucketBy(n, by[0]).sortBy(*by).format("parquet").saveAsTable(table)
+        out = spark.table(table)
+        out.table_name = table
+    else:
+        df.write.option("compression", "zstd").parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
@@ -36,9 +58,10 @@ def drop(*tables: DataFrame) -> None:
     for x in tables:
         path = getattr(x, "written_to", None)
         if path:
-            jvm = x.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(x.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            if hasattr(x, "table_name"):
+                x.sparkSession.sql(f"DROP TABLE IF EXISTS {x.table_name}")
+            where, fs = _at(x.sparkSession, path)
+            fs.delete(where, True)
 
 
 #: Derived tables of a session: by application, data and name, the state of their sources and the table.
@@ -46,23 +69,24 @@ _KEPT: dict[tuple[str, str, str], tuple[list, DataFrame]] = {}
 
 
 def _state(spark: SparkSession, paths: list[str]) -> list:
-    """Bytes, files and time of change of each source: a file, or a folder of files."""
-    jvm, conf, found = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), []
+    """Name, bytes and time of change of every file of each source: a file, or a folder of files."""
+    found = []
     for x in paths:
-        path = jvm.org.apache.hadoop.fs.Path(x)
-        fs = path.getFileSystem(conf)
-        summary = fs.getContentSummary(path)
-        found.append((x, summary.getLength(), summary.getFileCount(), fs.getFileStatus(path).getModificationTime()))
-    return found
+        where, fs = _at(spark, x)
+        files = fs.listFiles(where, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found)
 
 
-def kept(spark: SparkSession, sf_dir: str, name: str, sources: list[str], make) -> DataFrame:
-    """make(), written once in a session for all queries that read it, and again when its sources (tables in sf_dir) have changed."""
+def kept(spark: SparkSession, sf_dir: str, name: str, sources: list[str], make, by: tuple[str, ...] = ()) -> DataFrame:
+    """make(), written once in a session for all queries that read it, and again when its sources (tables in sf_dir) have changed; the older one is deleted then. by: as for written()."""
     key, state = (spark.sparkContext.applicationId, sf_dir, name), _state(spark, [f"{sf_dir}/{x}.parquet" for x in sources])
-    if key in _KEPT:
-        known, table = _KEPT[key]
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
-        if known == state and path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
-            return table
-    _KEPT[key] = state, written(make(), name)
+    known, table = _KEPT.get(key, (None, None))
+    if table is not None and known == state and exists(spark, table.written_to):
+        return table
+    _KEPT[key] = state, written(make(), name, by)
+    if table is not None:
+        drop(table)
     return _KEPT[key][1]

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from tidemark.sources.shared import kept
 
 
+#: Derived tables are bucketed by security, and in order of date in a bucket, so that windows by security read them as they are.
+BY_DATE = ("ticker", "date")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, date, open, high, low, close, volume: a row a day. (ticker, date) is the key. Made once in a session."""
-    return kept(spark, sf_dir, "bars", ["lineitem"], lambda: daily_bars(spark, sf_dir))
+    return kept(spark, sf_dir, "bars", ["lineitem"], lambda: daily_bars(spark, sf_dir), BY_DATE)
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
