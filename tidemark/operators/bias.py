@@ -23,16 +23,16 @@ def reach(followers: str) -> Column:
 def raw_index(bars: DataFrame, articles: DataFrame, outlets: DataFrame) -> DataFrame:
     """bars with bias_score and n_articles of the days [date - 14, date]; a bar without articles has 0.
 
-    Articles of unknown outlets don't count. Days without a bar don't matter. Articles are summed by day before any window, so that a frame holds 15 rows at
-    most however many articles a day has.
+    Articles of unknown outlets don't count. Days without a bar don't matter. Articles are summed by day before any window, so that a frame holds 30 rows at
+    most however many articles a day has; bars stand in the window beside them, as days without sentiment, so that nothing is joined.
     """
     own = articles.join(outlets.select(F.col("id").alias("outlet_id"), "avg_followers"), "outlet_id")
     daily = own.groupBy("ticker", "date").agg(F.sum(sentiment("pos", "neg") * reach("avg_followers")).alias("s"), F.count("*").alias("n"))
-    days = daily.unionByName(bars.select("ticker", "date", F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n")))
-    days = days.groupBy("ticker", "date").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    kept = F.struct(*[c for c in bars.columns if c not in ("ticker", "date")])
+    days = bars.select("ticker", "date", F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"), kept.alias("bar")).unionByName(daily, allowMissingColumns=True)
     frame = Window.partitionBy("ticker").orderBy(F.unix_date("date")).rangeBetween(-DAYS_BACK, 0)
-    scored = days.select("ticker", "date", F.sum("s").over(frame).alias("bias_score"), F.sum("n").over(frame).alias("n_articles"))
-    return bars.join(scored, ["ticker", "date"])
+    scored = days.select("ticker", "date", "bar", F.sum("s").over(frame).alias("bias_score"), F.sum("n").over(frame).alias("n_articles"))
+    return scored.where("bar is not null").select("ticker", "date", "bar.*", "bias_score", "n_articles")
 
 
 def scale_of(raw: DataFrame) -> DataFrame:

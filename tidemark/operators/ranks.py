@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from tidemark.sources.shared import written
 
 
-def positions(counts: DataFrame, by: list[str]) -> DataFrame:
-    """by, value, n, before: how many rows of the group have a smaller value. counts: by, value, n; a row for each value of a group."""
+def positions(counts: DataFrame, by: list[str], counted: tuple[str, ...] = ("n",)) -> DataFrame:
+    """by, value, counted, before: how many rows of the group have a smaller value. counts: by, value, counted; a row for each value of a group.
+
+    counted: several counts are placed at once; then there is a column before_<count> for each.
+    """
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.select(*by, "value", "n").repartitionByRange(parts, *by, "value")
+    ranged = counts.select(*by, "value", *counted).repartitionByRange(parts, *by, "value")
     ranged = written(ranged.withColumn("part", F.spark_partition_id()), "ranges")
-    sums = ranged.groupBy(*by, "part").agg(F.sum("n").alias("n"))
+    sums = ranged.groupBy(*by, "part").agg(*[F.sum(n).alias(n) for n in counted])
     ahead = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    start = sums.select(*by, "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))  # a row for each range, and one more for each group
+    start = sums.select(*by, "part", *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"start_{n}") for n in counted])  # a row for each range, and one more for each group
     within = Window.partitionBy(*by, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    found = ranged.withColumn("within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(start), [*by, "part"])
-    return found.select(*by, "value", "n", (F.col("start") + F.col("within")).alias("before"))
+    found = ranged.select("*", *[F.coalesce(F.sum(n).over(within), F.lit(0)).alias(f"within_{n}") for n in counted]).join(F.broadcast(start), [*by, "part"])
+    names = ["before"] if len(counted) == 1 else [f"before_{n}" for n in counted]
+    return found.select(*by, "value", *counted, *[(F.col(f"start_{n}") + F.col(f"within_{n}")).alias(name) for n, name in zip(counted, names, strict=True)])
 
 
 def percentiles(counts: DataFrame, by: list[str], wanted: dict[str, float]) -> DataFrame:
@@ -37,3 +41,31 @@ def percentiles(counts: DataFrame, by: list[str], wanted: dict[str, float]) -> D
         at, low, high = (F.col("total") - 1) * F.lit(float(p)), F.col(f"{name}_low"), F.col(f"{name}_high")
         found = found.withColumn(name, F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high))
     return found.select(*by, *wanted)
+
+
+#: Hex digits by which rows are counted at once, and rows that one task may sort.
+DIGITS, SORTED = 4, 10_000
+
+
+def least(rows: DataFrame, key: str, ties: list[str], k: int) -> DataFrame:
+    """The k rows of least key, a column of hex digits such as a hash gives, then of least ties; all rows if there are fewer.
+
+    Rows are counted by the first digits of their key, then those of the digits where the k-th row stands by the next ones,
+    until so few are left there that they can be sorted. All rows before them are taken as they are, wherever they stand.
+    """
+    rows = rows.where(F.col(key).isNotNull())
+    prefix, rest = "", k
+    while True:
+        at = len(prefix) + 1
+        here = rows.where(F.col(key).startswith(prefix)) if prefix else rows
+        counts = here.groupBy(F.substring(key, at, DIGITS).alias("digits")).agg(F.count("*").alias("n"))  # 16 ** DIGITS rows at most
+        before = F.sum("n").over(Window.orderBy("digits").rowsBetween(Window.unboundedPreceding, -1))
+        place = counts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < rest).orderBy(F.desc("digits")).first()
+        if place is None:
+            return rows.limit(0)
+        prefix, rest = prefix + place["digits"], rest - place["before"]
+        if place["n"] <= max(rest, SORTED) or len(place["digits"]) < DIGITS:
+            break
+    edge = rows.where(F.col(key).startswith(prefix))
+    edge = edge if place["n"] <= rest else edge.orderBy(key, *ties).limit(rest)
+    return rows.where(F.col(key) < prefix).unionByName(edge)

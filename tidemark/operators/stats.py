@@ -116,38 +116,46 @@ def study_rows(index: DataFrame, companies: DataFrame, top: int | None = None) -
     return rows.join(wanted.select("ticker"), "ticker", "left_semi")
 
 
-def regimes(rows: DataFrame) -> DataFrame:
-    """regime, ticker, bias and returns to come. Zero biases don't count; the signed regimes lose the tails of ret_next, OVERALL doesn't."""
+def signed(rows: DataFrame) -> DataFrame:
+    """ticker, bias, returns to come, and regime: the sign of the bias, null for the tails of ret_next of either sign. Zero biases don't count."""
     rows = rows.withColumn("ret", W.pct_change())
     ahead = {k: F.lead("ret", 1).over(W.by_date()) if n == 1 else W.full(F.sum, "ret", 1, n) for k, n in HORIZONS.items()}
     rows = rows.select("ticker", F.col("norm_bias_score").alias("bias"), *[c.alias(k) for k, c in ahead.items()]).dropna()
-    rows = written(rows.where(F.abs("bias") > 0.001), "returns")
-    sign = F.when(F.col("bias") > 0, "POSITIVE").otherwise("NEGATIVE")
-    signed = rows.withColumn("regime", sign)
-    counts = signed.groupBy("regime", F.col("ret_next").alias("value")).agg(F.count("*").alias("n"))
-    tails = ranks.percentiles(counts, ["regime"], {"low": 0.01, "high": 0.99})
-    kept = signed.join(F.broadcast(tails), "regime").where(F.col("ret_next").between(F.col("low"), F.col("high"))).drop("low", "high")  # two rows
-    return kept.unionByName(rows.withColumn("regime", F.lit("OVERALL")))
+    rows = written(rows.where(F.abs("bias") > 0.001).withColumn("sign", F.when(F.col("bias") > 0, "POSITIVE").otherwise("NEGATIVE")), "returns")
+    counts = rows.groupBy("sign", F.col("ret_next").alias("value")).agg(F.count("*").alias("n"))
+    tails = ranks.percentiles(counts, ["sign"], {"low": 0.01, "high": 0.99})
+    inside = F.when(F.col("ret_next").between(F.col("low"), F.col("high")), F.col("sign"))
+    return rows.join(F.broadcast(tails), "sign").withColumn("regime", inside).drop("sign", "low", "high")  # two rows
+
+
+def regimes(rows: DataFrame) -> DataFrame:
+    """signed rows once for their regime, and once for OVERALL, which has all."""
+    return rows.where("regime is not null").unionByName(rows.withColumn("regime", F.lit("OVERALL")))
 
 
 def spearman(rows: DataFrame) -> DataFrame:
-    """regime, a, b, rho: rank correlations of bias and all returns with each other; ties have their mean rank.
+    """regime, a, b, rho of signed rows: rank correlations of bias and all returns with each other; ties have their mean rank.
 
-    Ranks need no window over all rows: a value's rank follows from the counts of the values before it, which are
-    counted by value and summed over ranges of values.
+    A value's rank, of all rows and of those of either regime, follows from how many rows have a smaller one: values are
+    counted, and the counts summed over ranges of values, so no window holds all rows.
     """
-    names = ["bias", *HORIZONS]
+    names, counted = ["bias", *HORIZONS], ("OVERALL", "POSITIVE", "NEGATIVE")
     # sums of doubles may differ in the last bits when made again: values are rounded, so that ties stay ties, and kept
     rows = written(rows.select("regime", F.monotonically_increasing_id().alias("id"), *[F.round(c, 9).alias(c) for c in names]), "ranked-values")
     long = rows.select("regime", "id", F.posexplode(F.array(*names)).alias("k", "value"))
-    counts = long.groupBy("regime", "k", "value").agg(F.count("*").alias("n"))
-    placed = ranks.positions(counts, ["regime", "k"])
-    rank = F.col("before") + (F.col("n") + 1) / 2
-    ranked = placed.select("regime", "k", "value", rank.alias("rank"))
-    wide = long.join(ranked, ["regime", "k", "value"]).groupBy("regime", "id").pivot("k", list(range(len(names)))).agg(F.first("rank"))
+    counts = long.groupBy("k", "value").agg(F.count("*").alias("OVERALL"), *[F.count_if(F.coalesce(F.col("regime") == r, F.lit(False))).alias(r) for r in counted[1:]])
+    placed = ranks.positions(counts, ["k"], counted)
+    rank = {r: F.col(f"before_{r}") + (F.col(r) + 1) / 2 for r in counted}
+    ranked = placed.select("k", "value", *[rank[r].alias(f"rank_{r}") for r in counted])
+    own = F.when(F.col("regime") == "POSITIVE", F.col("rank_POSITIVE")).when(F.col("regime") == "NEGATIVE", F.col("rank_NEGATIVE"))
+    each = long.join(ranked, ["k", "value"]).select("id", "regime", "k", F.col("rank_OVERALL").alias("all"), own.alias("own"))
+    of = lambda c: [F.max(F.when(F.col("k") == i, F.col(c))).alias(f"{c}_{i}") for i in range(len(names))]
+    wide = written(each.groupBy("id", "regime").agg(*of("all"), *of("own")), "ranks")
+    columns = lambda c: [F.col(f"{c}_{i}").alias(str(i)) for i in range(len(names))]
+    both = wide.where("regime is not null").select("regime", *columns("own")).unionByName(wide.select(F.lit("OVERALL").alias("regime"), *columns("all")))
     rho = lambda i, j: F.try_divide(F.covar_pop(str(i), str(j)), F.stddev_pop(str(i)) * F.stddev_pop(str(j)))
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    found = wide.groupBy("regime").agg(*[rho(i, j).alias(f"{i}_{j}") for i, j in pairs])
+    found = both.groupBy("regime").agg(*[rho(i, j).alias(f"{i}_{j}") for i, j in pairs])
     cells = [F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"{min(i, j)}_{max(i, j)}").alias("rho")) for i in range(len(names)) for j in range(len(names))]
     return found.select("regime", F.explode(F.array(*cells)).alias("x")).select("regime", "x.*")
 
@@ -174,6 +182,7 @@ def silent_report(shocks: DataFrame) -> DataFrame:
     """line_no, line: the report on silent shocks."""
     n = F.count_if("silent_anomaly")
     one = shocks.agg(F.count("*").alias("n"), n.alias("silent"), F.coalesce(F.try_divide(100 * n, F.count("*")), F.lit(0.0)).alias("rate"))
+    # fixed values
     lines = F.array(
         F.lit("=== SILENT SHOCK ANALYSIS ==="),
         F.format_string("Total Data Points Analyzed: %d", "n"),
@@ -196,6 +205,7 @@ def place(column: str, names: dict[str, str]) -> Column:
 def regression_report(fits: DataFrame) -> DataFrame:
     """line_no, line: the table of regressions."""
     line = F.format_string("| %s | %s | %.4f | %.4f | %s |", labelled("regime", REGIMES), labelled("horizon", HORIZON_NAMES), "beta", "p", X.significance(F.col("p"), "Insignificant"))
-    return fits.select((3 + place("regime", REGIMES) * len(HORIZONS) + place("horizon", HORIZON_NAMES)).alias("line_no"), line.alias("line")).unionByName(
-        fits.sparkSession.createDataFrame(list(enumerate(["REGRESSION RESULTS", "| Regime | Forecast Horizon | Beta | P-Value | Significance |", "| :--- | :--- | :--- | :--- | :--- |"])), "line_no int, line string")
+    return fits.select((4 + place("regime", REGIMES) * len(HORIZONS) + place("horizon", HORIZON_NAMES)).alias("line_no"), line.alias("line")).unionByName(
+        # fixed values
+        fits.sparkSession.createDataFrame(list(enumerate(["REGRESSION RESULTS", "", "| Regime | Forecast Horizon | Beta | P-Value | Significance |", "| :--- | :--- | :--- | :--- | :--- |"])), "line_no int, line string")
     )

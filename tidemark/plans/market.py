@@ -14,7 +14,7 @@ from tidemark.operators import bias, indicators, merge, ranks, stats
 from tidemark.sources import files
 from tidemark.sources import tables as T
 from tidemark.sources.shared import kept, shared_dir
-from tidemark.sources.tables import BARS_SQL
+from tidemark.sources.tables import BARS_SQL, BY_DATE
 
 
 SAMPLE_ROWS, SAMPLE_TICKERS, SEED = 50_000, 10, 7
@@ -36,25 +36,29 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         reach = (first - timedelta(days=bias.DAYS_BACK + 1), last + timedelta(days=1)) if first else (None, None)
         return bias.raw_index(bars, T.articles(spark, sf_dir, *reach), T.outlets(spark, sf_dir))
 
-    return kept(spark, sf_dir, "raw-index", ["lineitem", "orders", "customer", "supplier"], make)
+    return kept(spark, sf_dir, "raw-index", ["lineitem", "orders", "customer", "supplier"], make, BY_DATE)
 
 
 def norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with the raw and the normalised index. Only scores that are there count for the scale."""
-    return kept(spark, sf_dir, "index", ["lineitem", "orders", "customer", "supplier"], lambda: bias.normalised(raw(spark, sf_dir)))
+    return kept(spark, sf_dir, "index", ["lineitem", "orders", "customer", "supplier"], lambda: bias.normalised(raw(spark, sf_dir)), BY_DATE)
 
 
 def all_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark, sf_dir, "indicators", ["lineitem"], lambda: indicators.indicators(T.bars(spark, sf_dir)))
+    return kept(spark, sf_dir, "indicators", ["lineitem"], lambda: indicators.indicators(T.bars(spark, sf_dir)), BY_DATE)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark, sf_dir, "features", ["lineitem", "orders", "customer", "supplier"], lambda: stats.features(norm(spark, sf_dir), all_indicators(spark, sf_dir)))
+    return kept(spark, sf_dir, "features", ["lineitem", "orders", "customer", "supplier"], lambda: stats.features(norm(spark, sf_dir), all_indicators(spark, sf_dir)), BY_DATE)
 
 
-def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lambda: stats.study_rows(norm(spark, sf_dir), T.companies(spark, sf_dir))
-    return kept(spark, sf_dir, "regimes", ["lineitem", "orders", "customer", "supplier"], lambda: stats.regimes(rows()))
+    return kept(spark, sf_dir, "signed-returns", ["lineitem", "orders", "customer", "supplier"], lambda: stats.signed(rows()), BY_DATE[:1])
+
+
+def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.regimes(signed(spark, sf_dir))
 
 
 def bars_daily(spark, sf_dir):
@@ -92,14 +96,14 @@ def bias_bands(spark, sf_dir):
         mean, dev = F.avg(column), F.stddev_samp(column)
         bounds += [(mean - 2 * dev).alias(f"{name}_low"), mean.alias(f"{name}_all"), (mean + 2 * dev).alias(f"{name}_high")]
     days = rows.groupBy("date").agg(F.avg("norm_bias_score").alias("norm_mean"), F.avg("bias_score").alias("raw_mean"))
-    return rounded(days.crossJoin(F.broadcast(rows.agg(*bounds))))  # one row
+    return rounded(days.crossJoin(F.broadcast(rows.agg(*bounds)))).orderBy("date")  # one row
 
 
 def bias_scatter(spark, sf_dir):
     """Raw and normalised scores of at most SAMPLE_ROWS rows, the first by a seeded hash."""
     key = F.md5(F.concat_ws("|", F.lit(SEED), "ticker", "date"))
     rows = norm(spark, sf_dir).select("ticker", "date", "bias_score", "norm_bias_score", key.alias("key"))
-    return rounded(rows.orderBy("key", "ticker", "date").limit(SAMPLE_ROWS).drop("key"))
+    return rounded(ranks.least(rows, "key", ["ticker", "date"], SAMPLE_ROWS).drop("key"))
 
 
 def ticker_sample(spark, sf_dir):
@@ -188,7 +192,7 @@ def event_trajectories(spark, sf_dir):
 
 
 def spearman_matrix(spark, sf_dir):
-    return rounded(stats.spearman(regimes(spark, sf_dir)))
+    return rounded(stats.spearman(signed(spark, sf_dir)))
 
 
 def panel_regression(spark, sf_dir):
@@ -346,10 +350,10 @@ SQL = {
       SELECT regime, a, b, round(covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)), 6) + 0e0 AS rho FROM pairs GROUP BY 1, 2, 3""",
     "panel_regression": f"""WITH {PANEL_SQL} SELECT regime, horizon, round(beta, 6) + 0e0 AS beta, round(se, 6) AS se, round(z, 6) + 0e0 AS z, round(p, 6) AS p, CASE WHEN p < 0.05 THEN 'Significant' ELSE 'Insignificant' END AS label,
       round(beta - 1.96 * se, 6) + 0e0 AS low, round(beta + 1.96 * se, 6) + 0e0 AS high FROM panel""",
-    "regression_report": f"""WITH {PANEL_SQL} SELECT CAST(3 + 4 * (CASE regime WHEN 'OVERALL' THEN 0 WHEN 'POSITIVE' THEN 1 ELSE 2 END) + (CASE horizon WHEN 'ret_next' THEN 0 WHEN 'ret_5' THEN 1 WHEN 'ret_14' THEN 2 ELSE 3 END) AS INTEGER) AS line_no,
+    "regression_report": f"""WITH {PANEL_SQL} SELECT CAST(4 + 4 * (CASE regime WHEN 'OVERALL' THEN 0 WHEN 'POSITIVE' THEN 1 ELSE 2 END) + (CASE horizon WHEN 'ret_next' THEN 0 WHEN 'ret_5' THEN 1 WHEN 'ret_14' THEN 2 ELSE 3 END) AS INTEGER) AS line_no,
       '| ' || (CASE regime WHEN 'OVERALL' THEN 'OVERALL' WHEN 'POSITIVE' THEN 'POSITIVE (>0)' ELSE 'NEGATIVE (<0)' END) || ' | ' || (CASE horizon WHEN 'ret_next' THEN '1-Day' WHEN 'ret_5' THEN '5-Day' WHEN 'ret_14' THEN '14-Day' ELSE '30-Day' END)
       || printf(' | %.4f | %.4f | ', beta, p) || (CASE WHEN p < 0.05 THEN 'Significant' ELSE 'Insignificant' END) || ' |' AS line FROM panel
-      UNION ALL SELECT CAST(unnest(range(3)) AS INTEGER), unnest(['REGRESSION RESULTS', '| Regime | Forecast Horizon | Beta | P-Value | Significance |', '| :--- | :--- | :--- | :--- | :--- |'])""",
+      UNION ALL SELECT CAST(unnest(range(4)) AS INTEGER), unnest(['REGRESSION RESULTS', '', '| Regime | Forecast Horizon | Beta | P-Value | Significance |', '| :--- | :--- | :--- | :--- | :--- |'])""",
 }
 QUERIES = {
     "bars_daily": bars_daily, "bias_raw": bias_raw, "bias_norm": bias_norm, "bias_saturation": bias_saturation, "bias_bands": bias_bands, "bias_scatter": bias_scatter, "ticker_sample": ticker_sample, "tickers": tickers,
