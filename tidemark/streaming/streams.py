@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.functions import text as X
 from tidemark.operators import merge, sentiment
+from tidemark.sources.shared import exists
 
 ATTEMPTS = "id, at timestamp, nth, ok, message"
 STATE = "retry int, error string, scraped boolean, last_at timestamp"
@@ -37,26 +38,30 @@ def run(stream: DataFrame, of_batch: Callable[[DataFrame, int], DataFrame], path
     return stream.sparkSession.read.option("basePath", path).parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+def day_sums(events: DataFrame, key: str, value: str) -> DataFrame:
+    """key, day, total, n of events (key, ts, value)."""
+    return events.groupBy(key, F.to_date("ts").alias("day")).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
+
+
+def sliding(days: DataFrame, key: str, length: int = 15) -> DataFrame:
+    """key, day, total, n over the days [day - length + 1, day], of sums (key, day, total, n), of which a key and day may have several."""
+    once = days.groupBy(key, "day").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    ahead = F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("k")
+    return once.select(key, "day", "total", "n", ahead).groupBy(key, F.date_add("day", F.col("k")).alias("day")).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
 def sliding_sums(events: DataFrame, key: str, value: str, days: int = 15) -> DataFrame:
-    """key, day, total, n over the days [day - days + 1, day] (ts: timestamp)."""
-    window = F.window("ts", f"{days} days", "1 day")
-    found = events.groupBy(key, window.alias("w")).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
-    return found.select(key, F.to_date(F.col("w.end") - F.expr("interval 1 day")).alias("day"), "total", "n")
+    """key, day, total, n over the days [day - days + 1, day] (ts: timestamp). Events are summed by day before a day is copied to its windows."""
+    return sliding(day_sums(events.where("ts is not null"), key, value), key, days)
 
 
 def sliding_sums_of_stream(stream: DataFrame, key: str, value: str, path: str, checkpoint: str, days: int = 15) -> DataFrame:
     """sliding_sums over all that the stream has brought so far, in whatever order.
 
-    Each micro-batch is summed by itself. Sums and counts add up over micro-batches, so no window has to be closed, and
-    no row is ever too late.
+    Each micro-batch is summed by day by itself. Sums and counts add up over micro-batches, so no window has to be closed,
+    and no row is ever too late.
     """
-    sums = run(stream, lambda batch, _: sliding_sums(batch, key, value, days), path, checkpoint)
-    return sums.groupBy(key, "day").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return sliding(run(stream.where("ts is not null"), lambda batch, _: day_sums(batch, key, value), path, checkpoint), key, days)
 
 
 def first_rows_of_stream(stream: DataFrame, key: str, order: str, path: str, checkpoint: str) -> DataFrame:
