@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.operators import ranks
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
@@ -50,16 +51,33 @@ def append_new(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame
 def resolve_or_create(dimension: DataFrame, wanted: DataFrame, key: str, name: str, position: str) -> DataFrame:
     """id, key, name of the dimension with a row for each missing key; of several names the last by position counts.
 
-    New ids follow the largest. Keys are numbered in blocks of their hash, so that no task numbers them all.
+    New ids follow the largest, in order of key. Keys are numbered by ranges of them, so that no task numbers them all.
     """
     missing = wanted.groupBy(key).agg(F.max_by(name, position).alias(name)).join(dimension.select(key), key, "left_anti")
-    blocks = missing.withColumn("block", F.pmod(F.xxhash64(key), F.lit(256)))
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("n"))
-    start = sizes.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # 256 rows
+    places = ranks.positions(missing.where(F.col(key).isNotNull()).select(F.lit(1).alias("one"), F.col(key).alias("value"), F.lit(1).cast("long").alias("n")), ["one"])
     top = dimension.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = blocks.join(F.broadcast(start), "block").crossJoin(F.broadcast(top))
-    id_ = F.col("top") + F.col("start") + F.row_number().over(Window.partitionBy("block").orderBy(key))
-    return dimension.select("id", key, name).unionByName(numbered.select(id_.alias("id"), key, name))
+    numbered = missing.join(places.select(F.col("value").alias(key), (F.col("before") + 1).alias("nth")), key).crossJoin(F.broadcast(top))  # one row
+    return dimension.select("id", key, name).unionByName(numbered.select((F.col("top") + F.col("nth")).alias("id"), key, name))
+
+
+def upsert_with_handles(dimension: DataFrame, wanted: DataFrame, key: str, name: str, handles: str, position: str) -> DataFrame:
+    """id, key, name, handles (map<string, array<string>>) of the dimension after wanted (key, name, handles, position).
+
+    A key that isn't there gets the next id. Of a key that wanted has, the name becomes its last by position, and each
+    platform's handles are those of all its rows and of the dimension, sorted, each once. Other keys stay as they are; rows
+    of wanted without key don't count. Handles are made distinct before those of a key meet.
+    """
+    wanted = wanted.where(F.col(key).isNotNull())
+    last = wanted.groupBy(key).agg(F.max_by(F.struct(F.col(name).alias("x")), position).alias("last"))
+    ids = resolve_or_create(dimension, wanted, key, name, position)
+    rows = dimension.join(last.select(key), key, "left_semi").select(key, handles).unionByName(wanted.select(key, handles))
+    each = rows.select(key, F.explode(handles).alias("platform", "own")).select(key, "platform", F.explode_outer("own").alias("handle")).distinct()
+    lists = each.groupBy(key, "platform").agg(F.array_sort(F.collect_set("handle")).alias("own"))
+    merged = lists.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("platform", "own")))).alias("merged"))
+    out = ids.join(last, key, "left").join(merged, key, "left").join(dimension.select(key, F.col(handles).alias("before")), key, "left")
+    none = F.create_map().cast("map<string, array<string>>")
+    known = F.coalesce("before", none)
+    return out.select("id", key, F.when(F.col("last").isNotNull(), F.col("last.x")).otherwise(F.col(name)).alias(name), F.when(F.col("last").isNotNull(), F.coalesce("merged", none)).otherwise(known).alias(handles))
 
 
 def merge_handles(old: Column, new: Column) -> Column:

@@ -8,16 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.operators import merge, ranks, sentiment
+from tidemark.operators import density, learned, merge, ranks, sentiment
 from tidemark.sources import tables as T
 from tidemark.sources.shared import shared_dir
 from tidemark.streaming import streams
 
-#: The subreddits that are searched, in order.
+#: The subreddits that are searched, in order.
 SUBREDDITS = (
     "wallstreetbets", "stocks", "investing", "StockMarket", "finance", "dividendinvesting", "pennystocks", "trading", "RobinHood", "wealthmanagement", "TechnicalAnalysis", "PersonalFinance",
     "ETFs", "MemeStocks", "ValueInvesting",
 )
+#: Bars of a company that documents may mention, from its first.
+MENTIONED_BARS = 400
 #: What stands in for the rows of a crawl: company names, messages, pages with links. {k} is a row's key.
 NAMES = ["Firm {k}, Inc.", "Firm {k} Corp.", "Firm {k} Corporation", "Firm {k} Ltd.", "Firm {k} LLC", " Firm {k} ", "Inc. {k} Inc. Corp."]
 MESSAGES = [
@@ -56,6 +58,21 @@ def article_histogram(spark, sf_dir):
     return rows.crossJoin(F.broadcast(edges)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))  # one row
 
 
+def article_density(spark, sf_dir):
+    """The curve over article_histogram: density of the number of articles at 200 points."""
+    found = density.density(T.companies(spark, sf_dir).where("current_page > 0"), "current_page")
+    return found.select("point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+
+
+def learned_sentiment(spark, sf_dir):
+    """Every document scored by a model of the others, which take the sign of the next day's returns of the companies that they mention, at a made-up day."""
+    docs = T.titled(spark, sf_dir)
+    n = T.table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
+    mentions = docs.crossJoin(F.broadcast(n)).select("id", F.explode(F.array(F.col("id") % F.col("n"), F.floor(F.col("id") / len(SUBREDDITS)) % F.col("n"))).alias("ticker"), (F.col("id") % MENTIONED_BARS).alias("nth"))  # one row
+    found = learned.scored(learned.labelled(docs, mentions, learned.next_returns(T.bars(spark, sf_dir))))
+    return found.select("id", "fold", F.round("pos", 6).alias("pos"), F.round("neg", 6).alias("neg"))
+
+
 def dup_titles(spark, sf_dir):
     return T.titled(spark, sf_dir).where("title is not null").groupBy("title").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "title").limit(10)
 
@@ -165,7 +182,9 @@ def unscored(spark, sf_dir):
 
 
 def empty_content(spark, sf_dir):
-    return T.titled(spark, sf_dir).where("content is null or content = ''").orderBy("id").limit(100).select("id")
+    """Pages of the queue that have no text yet, or an empty one."""
+    blank = F.when(F.col("content").isNull() & (F.col("id") % 4 == 0), F.lit("")).otherwise(F.col("content"))
+    return _queue(spark, sf_dir).withColumn("content", blank).where("content is null or content = ''").orderBy("id").limit(100).select("id")
 
 
 def collection_metrics(spark, sf_dir):
@@ -205,7 +224,17 @@ def resolve_outlets(spark, sf_dir):
     known = pages.groupBy("domain").agg(F.min("page_id").alias("id")).where("id % 2 = 0").select("id", "domain", F.lit("known").alias("name"))
     found = merge.resolve_or_create(known, pages.select("domain", F.col("page_id").cast("string").alias("name"), "page_id"), "domain", "name", "page_id")
     top = known.agg(F.max("id").alias("top"))
-    return found.crossJoin(F.broadcast(top)).select("domain", "name", (F.col("id") > F.coalesce("top", F.lit(0))).alias("is_new"))  # one row
+    return found.crossJoin(F.broadcast(top)).select("id", "domain", "name", (F.col("id") > F.coalesce("top", F.lit(0))).alias("is_new"))  # one row
+
+
+def upsert_outlets(spark, sf_dir):
+    """Outlets with handles: known ones get another name and more handles, others a new id. Handles are made up of the pages' numbers."""
+    pages = T.table(spark, sf_dir, "pages").select(X.domain(F.col("url")).alias("domain"), "page_id")
+    made = F.create_map(F.lit("twitter"), F.array(F.concat(F.lit("u"), F.col("page_id") % 3)), F.lit("youtube"), F.when(F.col("page_id") % 2 == 0, F.array(F.concat(F.lit("c"), F.col("page_id") % 5))).otherwise(F.array().cast("array<string>")))
+    known = pages.groupBy("domain").agg(F.min("page_id").alias("id")).where("id % 2 = 0")
+    known = known.select("id", "domain", F.lit("known").alias("name"), F.create_map(F.lit("twitter"), F.array(F.lit("a"), F.col("domain")), F.lit("facebook"), F.array(F.lit("f"))).alias("handles"))
+    found = merge.upsert_with_handles(known, pages.select("domain", F.col("page_id").cast("string").alias("name"), made.alias("handles"), "page_id"), "domain", "name", "handles", "page_id")
+    return found.select("id", "domain", "name", *[F.array_join(F.col("handles")[p], ",").alias(p) for p in ("twitter", "youtube", "facebook")])
 
 
 def _queue(spark, sf_dir):
@@ -368,6 +397,11 @@ SQL = {
     "article_top20": f"WITH {_COMPANIES} SELECT symbol, name, current_page FROM c ORDER BY current_page DESC, symbol LIMIT 20",
     "article_histogram": f"""WITH {_COMPANIES}, e AS (SELECT min(current_page) AS lo, max(current_page) AS hi FROM c WHERE current_page > 0)
       SELECT CAST(least(49, floor(50e0 * (current_page - lo) / nullif(hi - lo, 0))) AS INTEGER) AS bin, count(*) AS n FROM c, e WHERE current_page > 0 GROUP BY 1""",
+    "article_density": f"""WITH {_COMPANIES}, v AS (SELECT CAST(current_page AS DOUBLE) AS x FROM c WHERE current_page > 0),
+      s AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n, stddev_samp(x) * pow(count(*), -0.2) AS h FROM v), b AS (SELECT (x - lo) / (hi - lo) * {density.BINS} AS place FROM v, s WHERE hi > lo),
+      i AS (SELECT least(floor(place), {density.BINS - 1}) AS bin, place FROM b), w AS (SELECT bin, sum(w) AS w FROM (SELECT bin, 1 - (place - bin) AS w FROM i UNION ALL SELECT bin + 1, place - bin FROM i) GROUP BY bin),
+      p AS (SELECT CAST(p AS INTEGER) AS point, lo + (hi - lo) * p / {density.POINTS - 1} AS x, lo + (hi - lo) * bin / {density.BINS} AS y, w, n, h FROM w, s, range({density.POINTS}) r(p))
+      SELECT point, round(x, 6) AS x, round(sum(w * exp(-pow((x - y) / h, 2) / 2) / (n * h * sqrt(2 * pi()))), 9) AS density FROM p GROUP BY point, x""",
     "dup_titles": f"WITH {_TITLED} SELECT title, count(*) AS n FROM t WHERE title IS NOT NULL GROUP BY title HAVING count(*) > 1 ORDER BY n DESC, title LIMIT 10",
     "dup_summary": f"""WITH {_TITLED}, g AS (SELECT title, count(*) AS n FROM t WHERE title IS NOT NULL GROUP BY title)
       SELECT sum(n)::BIGINT AS total, count(*) AS titles, count_if(n > 1)::BIGINT AS repeated, (sum(n) - count(*))::BIGINT AS redundant, round(100e0 * count_if(n > 1) / count(*), 6) AS repeated_percent FROM g""",
@@ -398,14 +432,22 @@ SQL = {
       CASE WHEN symbol % 2 = 0 THEN 'HTTP 500' END AS last_error, CASE WHEN symbol % 4 <> 0 THEN TIMESTAMP '{NOW}' END AS last_updated FROM c""",
     "score_update": "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN round(doc_id % 10 / 10e0, 6) END AS pos, CASE WHEN doc_id % 2 = 0 THEN round(doc_id % 7 / 7e0, 6) END AS neg FROM documents",
     "unscored": "SELECT count(*) FILTER (doc_id % 2 <> 0) AS n FROM documents",
-    "empty_content": "SELECT doc_id AS id FROM documents WHERE text IS NULL OR text = '' ORDER BY doc_id LIMIT 100",
+    "empty_content": "WITH q AS (SELECT event_id AS id, CASE WHEN event_type = 'purchase' THEN 'text' WHEN event_id % 4 = 0 THEN '' END AS content FROM events) SELECT id FROM q WHERE content IS NULL OR content = '' ORDER BY id LIMIT 100",
     "collection_metrics": f"WITH {_COMPANIES} SELECT count(*) AS articles, count(DISTINCT nullif({_DOMAIN}, '')) AS outlets, (SELECT count(DISTINCT symbol) FROM c WHERE is_processed) AS companies FROM pages",
     "media_pages": f"""SELECT page_id // 10 + 1 AS page, CAST(page_id AS VARCHAR) AS article_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, coalesce(url, '') AS url, '' AS publish_date,
       coalesce({_DOMAIN}, '') AS media_name, CASE WHEN page_id % 3 <> 0 THEN regexp_extract(html, '<html lang="([^"]*)"', 1) ELSE '' END AS language FROM pages""",
     "company_ranges": "SELECT s_suppkey AS symbol, CAST(floor(4e0 * (row_number() OVER (ORDER BY s_suppkey) - 1) / count(*) OVER ()) AS INTEGER) AS range FROM supplier",
     "merge_handles": "SELECT c_custkey, array_to_string(list_sort(list_distinct([c_name, 'b', 'a'])), ',') AS x, 'c' AS y FROM customer",
     "resolve_outlets": f"""WITH p AS (SELECT {_DOMAIN} AS domain, page_id FROM pages), k AS (SELECT domain, min(page_id) AS id FROM p GROUP BY domain HAVING min(page_id) % 2 = 0)
-      SELECT p.domain, CASE WHEN k.domain IS NULL THEN CAST(max(page_id) AS VARCHAR) ELSE 'known' END AS name, k.domain IS NULL AS is_new FROM p LEFT JOIN k USING (domain) GROUP BY p.domain, k.domain""",
+      , m AS (SELECT domain, row_number() OVER (ORDER BY domain) AS r FROM (SELECT DISTINCT domain FROM p WHERE domain NOT IN (SELECT domain FROM k)))
+      SELECT coalesce(k.id, (SELECT coalesce(max(id), 0) FROM k) + m.r) AS id, p.domain, CASE WHEN k.domain IS NULL THEN CAST(max(page_id) AS VARCHAR) ELSE 'known' END AS name, k.domain IS NULL AS is_new
+      FROM p LEFT JOIN k USING (domain) LEFT JOIN m USING (domain) GROUP BY p.domain, k.domain, k.id, m.r""",
+    "upsert_outlets": f"""WITH p AS (SELECT {_DOMAIN} AS domain, page_id FROM pages), k AS (SELECT domain, min(page_id) AS id FROM p GROUP BY domain HAVING min(page_id) % 2 = 0)
+      , m AS (SELECT domain, row_number() OVER (ORDER BY domain) AS r FROM (SELECT DISTINCT domain FROM p WHERE domain NOT IN (SELECT domain FROM k))),
+      g AS (SELECT domain, max(page_id) AS last, list('u' || page_id % 3) AS t, coalesce(list('c' || page_id % 5) FILTER (page_id % 2 = 0), []) AS y FROM p GROUP BY domain)
+      SELECT coalesce(k.id, (SELECT coalesce(max(id), 0) FROM k) + m.r) AS id, g.domain, CAST(last AS VARCHAR) AS name,
+      array_to_string(list_sort(list_distinct(CASE WHEN k.id IS NULL THEN t ELSE list_concat(t, ['a', g.domain]) END)), ',') AS twitter, array_to_string(list_sort(list_distinct(y)), ',') AS youtube,
+      CASE WHEN k.id IS NOT NULL THEN 'f' END AS facebook FROM g LEFT JOIN k USING (domain) LEFT JOIN m USING (domain)""",
     "scrape_worklist": f"WITH {_QUEUE} SELECT id, retry FROM q WHERE content IS NULL AND NOT scraped AND retry < 3 AND (last_at IS NULL OR last_at < TIMESTAMP '2024-01-30 11:00:00') ORDER BY last_at NULLS FIRST, id LIMIT 100",
     "scrape_progress": f"""WITH {_QUEUE} SELECT count(*) AS total, count_if(scraped)::BIGINT AS scraped, count_if(NOT scraped AND retry < 3)::BIGINT AS pending, count_if(NOT scraped AND retry >= 3)::BIGINT AS failed FROM q""",
     "scrape_update": f"""WITH {_QUEUE}, o AS (SELECT *, id % 3 <> 0 AS tried, id % 3 <> 0 AND id % 4 = 0 AS ok, CASE WHEN id % 5 <> 0 THEN repeat({_one_of(MESSAGES, "id")}, 40) END AS m FROM q),
@@ -430,8 +472,8 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        article_top20, article_histogram, dup_titles, dup_summary, dup_rows, dup_clean, domain_extract, names_cleaned, error_classify, times_parsed, model_text, lexicon_sentiment, scored_articles, handle_extract,
-        handle_json, insert_ignore, upsert_company, partial_update, state_presets, score_update, unscored, empty_content, collection_metrics, media_pages, company_ranges, merge_handles, resolve_outlets, scrape_worklist,
+        article_top20, article_histogram, article_density, learned_sentiment, dup_titles, dup_summary, dup_rows, dup_clean, domain_extract, names_cleaned, error_classify, times_parsed, model_text, lexicon_sentiment, scored_articles, handle_extract,
+        handle_json, insert_ignore, upsert_company, partial_update, state_presets, score_update, unscored, empty_content, collection_metrics, media_pages, company_ranges, merge_handles, resolve_outlets, upsert_outlets, scrape_worklist,
         scrape_progress, scrape_update, unprocessed_queue, submissions_dedup, running_distinct, batch_windows, stream_windows, stream_dedup, stream_scores, stream_retry,
     )
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import market, records
+from tidemark.plans import exports, flows, market, records
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = market.QUERIES | records.QUERIES
-ORACLE_SQL: dict[str, str] = market.SQL | records.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = market.QUERIES | records.QUERIES | flows.QUERIES | exports.QUERIES
+ORACLE_SQL: dict[str, str] = market.SQL | records.SQL | flows.SQL | exports.SQL

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
@@ -24,15 +24,29 @@ def unique_columns(df: DataFrame) -> DataFrame:
     return numbered.select(*[F.col(f"c{i}").alias(c) for c, i in sorted(first.items(), key=lambda x: x[1])])
 
 
+def key_of(path: Column, key: str) -> Column:
+    """The key in a file's path: of its folder, or its name without .csv."""
+    folder_of, name = F.regexp_extract(path, rf"/{key}=([^/]*)/[^/]*$", 1), F.regexp_extract(path, r"([^/]*?)(?:\.csv)?(?:\.gz)?$", 1)
+    return F.url_decode(F.when(folder_of != "", folder_of).otherwise(name))
+
+
 def scan(spark: SparkSession, folder: str, schema: str, key: str) -> DataFrame:
     """All CSV files below folder as one table, with the file's name (without .csv) as the column key.
 
     A file of an export is named by its folder, key=value, as partitioned writes name it.
     """
-    path = F.col("_metadata.file_path")
-    folder_of, name = F.regexp_extract(path, rf"/{key}=([^/]*)/[^/]*$", 1), F.regexp_extract(path, r"([^/]*?)(?:\.csv)?(?:\.gz)?$", 1)
     rows = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").csv(folder)
-    return rows.withColumn(key, F.url_decode(F.when(folder_of != "", folder_of).otherwise(name)))
+    return rows.withColumn(key, key_of(F.col("_metadata.file_path"), key))
+
+
+def complete_keys(spark: SparkSession, folder: str, columns: list[str], key: str) -> DataFrame:
+    """key of those CSV files below folder, laid out as for scan(), whose first line names all columns; of a key with several files, all must."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").text(folder)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth")).where("start = 0")
+    heads = lines.groupBy("path").agg(F.min_by("value", "nth").alias("head"))
+    names = F.transform(F.split("head", ","), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit(""))))
+    whole = F.forall(F.array(*map(F.lit, columns)), lambda c: F.array_contains(names, c))
+    return heads.groupBy(key_of(F.col("path"), key).alias(key)).agg(F.every(whole).alias("whole")).where("whole").select(key)
 
 
 def export_by_key(rows: DataFrame, key: str, folder: str) -> None:
@@ -53,10 +67,10 @@ def market_rows(rows: DataFrame) -> DataFrame | None:
     return rows.select(*[F.col(c).alias(MARKET_NAMES.get(c, c)) for c in MARKET_COLUMNS])
 
 
-def price_rows(rows: DataFrame) -> DataFrame:
-    """Downloaded prices: the columns that count, each once, under short names, the date without time; rows without date go."""
+def price_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """Downloaded prices: keys and the columns that count, each once, under short names, the date without time; rows without date go."""
     rows = unique_columns(rows)
-    missing = lacking(rows, PRICE_COLUMNS)
+    missing = lacking(rows, [*keys, *PRICE_COLUMNS])
     if missing:
         raise ValueError(f"prices lack {', '.join(missing)}")
-    return rows.select(*[(F.to_date(c) if c == "Date" else F.col(c)).alias(c.lower()) for c in PRICE_COLUMNS]).where("date is not null")
+    return rows.select(*keys, *[(F.to_date(c) if c == "Date" else F.col(c)).alias(c.lower()) for c in PRICE_COLUMNS]).where("date is not null")
