@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from numpy.lib.stride_tricks import sliding_window_view
+from tidemark.functions import windows as W
+from tidemark.operators import recurrence as R
 
 OUT = "ticker long, date date, ema10 double, smma34 double, zlema34 double, impulse_macd double, impulse_histo double, impulse_signal double, atr double, supertrend double, stx string, psi double, smooth_velocity double, macd double, b5 double, rel_vol double"
 
@@ -137,3 +140,19 @@ def indicators(bars: DataFrame) -> DataFrame:
     One exchange by ticker. A security's whole history is one group: years of daily bars, some thousand rows.
     """
     return bars.select("ticker", "date", "high", "low", "close", "volume").groupBy("ticker").applyInPandas(of_security, OUT)
+
+
+def linear(bars: DataFrame, fast: int = 10, slow: int = 34, back: int = 20) -> DataFrame:
+    """ticker, date, ema10, smma34, zlema34, atr, smooth_velocity of bars (ticker, date, high, low, close): those indicators whose recurrence is linear.
+
+    They are the same as those of indicators(), made by scans, so that one security's series may be many tasks. What a
+    row has of the rows just before it comes from windows.
+    """
+    before = F.lag("close").over(W.by_date())
+    tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
+    moves = [F.coalesce((F.try_divide(F.col("close"), F.lag("close", i).over(W.by_date())) - 1) / i, F.lit(0.0)) for i in range(1, back + 1)]
+    rows = bars.select("ticker", "date", "high", "close", tr.alias("tr"), ((F.col("high") + F.col("low") + F.col("close")) / 3).alias("src"), (sum(moves[1:], moves[0]) / back).alias("move"))
+    once = {"nth": R.counted(), "highs": R.running(F.col("high")), "trs": R.running(F.col("tr")), "ema10": R.ema(F.col("close"), fast), "once": R.ema(F.col("src"), slow), "smooth": R.ema(F.col("move"), fast)}
+    rows = R.scan(rows, "ticker", ["date"], once)
+    rows = R.scan(rows, "ticker", ["date"], {"twice": R.ema(F.col("once"), slow), "smma34": R.smoothed(F.col("high"), slow, F.col("nth"), F.col("highs")), "atr": R.smoothed(F.col("tr"), fast, F.col("nth"), F.col("trs"))})
+    return rows.select("ticker", "date", "ema10", "smma34", (2 * F.col("once") - F.col("twice")).alias("zlema34"), F.coalesce("atr", F.lit(0.0)).alias("atr"), (100 * F.col("smooth")).alias("smooth_velocity"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.functions import text as X
-from tidemark.operators import merge
+from tidemark.operators import merge, recurrence
 from tidemark.plans import records as R
 from tidemark.sources import cursor
 from tidemark.sources import tables as T
@@ -83,6 +83,15 @@ def keyed_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
+def event_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, running sum and means of the events of each kind, in order of time: few series, each of which holds a large share of all rows."""
+    rows = T.table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
+    value = F.col("value")
+    rows = recurrence.scan(rows, "event_type", ["ts", "event_id"], {"nth": recurrence.counted(), "total": recurrence.running(value), "mean10": recurrence.ema(value, 10)})
+    rows = recurrence.scan(rows, "event_type", ["ts", "event_id"], {"smoothed20": recurrence.smoothed(value, 20, F.col("nth"), F.col("total"))})
+    return rows.select("event_id", "event_type", F.col("nth").cast("long").alias("nth"), *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("total", "mean10", "smoothed20")])
+
+
 _TRIES = f"""e AS (SELECT user_id AS id, event_id AS nth, epoch_us(ts) // 1000 AS at_ms, event_type = 'purchase' AS ok, {R._one_of(R.MESSAGES, "event_id")} AS m FROM events),
   t AS (SELECT id, nth, at_ms, ok, coalesce({R._LIMITED}, false) AS limited FROM e)"""
 SQL = {
@@ -93,8 +102,14 @@ SQL = {
     "stream_metrics": f"""WITH {_TRIES} SELECT CAST(0 AS BIGINT) AS batch, count(*) AS rows, count_if(ok)::BIGINT AS ok, count_if(limited)::BIGINT AS limited, count_if(NOT ok AND NOT limited)::BIGINT AS failed, true AS timed FROM t""",
     "page_cursor": f"""WITH p AS (SELECT {R._DOMAIN} AS host, page_id, row_number() OVER (PARTITION BY {R._DOMAIN} ORDER BY page_id) - 1 AS nth FROM pages)
       SELECT host, page_id, nth, nth // {PAGES} * {PAGES} AS first FROM p""",
+    # weights of values further back are below the last digit of a double
+    "event_trends": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t, sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS total FROM events),
+      w AS (SELECT a.event_id, sum(CASE WHEN b.t = 0 THEN 1 ELSE 2 / 11e0 END * b.value * pow(9 / 11e0, a.t - b.t)) AS mean10,
+        sum(CASE WHEN b.t > 19 THEN b.value / 20e0 WHEN b.t = 19 THEN b.total / 20e0 ELSE 0 END * pow(19 / 20e0, a.t - b.t)) AS smoothed20
+        FROM e a JOIN e b ON a.event_type = b.event_type AND b.t BETWEEN a.t - 800 AND a.t GROUP BY a.event_id)
+      SELECT event_id, event_type, t AS nth, round(total, 4) + 0e0 AS total, round(mean10, 4) + 0e0 AS mean10, CASE WHEN t >= 19 THEN round(smoothed20, 4) + 0e0 END AS smoothed20 FROM e JOIN w USING (event_id)""",
     "keyed_companies": f"""WITH {R._COMPANIES}, k AS (SELECT * FROM c WHERE symbol % 3 <> 0 OR symbol % 2 = 0)
       SELECT symbol, CASE WHEN symbol % 2 = 0 THEN name || ' new' ELSE name END AS name, CASE WHEN symbol % 5 = 0 THEN symbol ELSE 0 END AS current_page, is_processed OR symbol % 7 = 0 AS is_processed,
       CASE WHEN symbol % 5 = 0 THEN 'HTTP 500' END AS last_error, CASE WHEN symbol % 7 = 0 OR (symbol % 2 = 0 AND symbol % 3 <> 0) THEN TIMESTAMP '{R.NOW}' END AS last_updated FROM k""",
 }
-QUERIES = {f.__name__: f for f in (stream_retry_queue, stream_event_windows, stream_metrics, page_cursor, keyed_companies)}
+QUERIES = {f.__name__: f for f in (stream_retry_queue, stream_event_windows, stream_metrics, page_cursor, keyed_companies, event_trends)}

@@ -146,6 +146,11 @@ def indicators_all(spark, sf_dir):
     return rounded(all_indicators(spark, sf_dir), 4)
 
 
+def linear_indicators(spark, sf_dir):
+    """Those indicators whose recurrence is linear, by scans along the series."""
+    return rounded(indicators.linear(T.bars(spark, sf_dir)), 4)
+
+
 def features_full(spark, sf_dir):
     names = {"date": "time", "ticker": "stock_name", "norm_bias_score": "bias_index", "open": "into", "high": "inth", "low": "intl", "close": "intc", "volume": "v", "stx": "STX", "impulse_histo": "ImpulseHisto"}
     columns = [*names, "psi", "smooth_velocity", "macd", "b5", "rel_vol"]
@@ -326,6 +331,7 @@ SQL = {
     "copy_projection": f"""WITH {RAW_SQL} SELECT ticker, date, close, volume, round(bias_score, 6) + 0e0 AS bias_score FROM raw WHERE ticker % 2 = 0
       UNION ALL SELECT ticker, date, close, volume, NULL FROM bars WHERE ticker % 2 <> 0""",
     "indicators": INDICATORS_SQL,
+    "linear_indicators": INDICATORS_SQL.replace("SELECT * FROM ind", "SELECT ticker, date, ema10, smma34, zlema34, atr, smooth_velocity FROM ind"),
     "features_full": FULL_SQL,
     "silent_shocks": f"""WITH {SILENT_SQL} SELECT date AS time, ticker AS stock_name, round(norm_bias_score, 6) + 0e0 AS bias_index, close AS intc, volume AS v, round(rel_vol, 6) AS rel_vol,
       round(z_score_price, 6) + 0e0 AS z_score_price, is_volume_shock, silent_anomaly FROM silent ORDER BY abs(round(z_score_price, 6)) DESC NULLS LAST, ticker, date""",
@@ -357,7 +363,7 @@ SQL = {
 }
 QUERIES = {
     "bars_daily": bars_daily, "bias_raw": bias_raw, "bias_norm": bias_norm, "bias_saturation": bias_saturation, "bias_bands": bias_bands, "bias_scatter": bias_scatter, "ticker_sample": ticker_sample, "tickers": tickers,
-    "study_input": study_input, "market_daily_mean": market_daily_mean, "silent_monthly": bias_by_month, "returns": returns, "copy_projection": copy_projection, "indicators": indicators_all, "features_full": features_full,
+    "study_input": study_input, "market_daily_mean": market_daily_mean, "silent_monthly": bias_by_month, "returns": returns, "copy_projection": copy_projection, "indicators": indicators_all, "linear_indicators": linear_indicators, "features_full": features_full,
     "silent_shocks": silent_shocks, "silent_report": silent_report, "files_by_ticker": files_by_ticker, "trend_follower": trend_follower, "follower_share": follower_share, "event_study": event_study,
     "event_trajectories": event_trajectories, "spearman_matrix": spearman_matrix, "panel_regression": panel_regression, "regression_report": regression_report,
 }
