@@ -105,9 +105,17 @@ def scrape_update(queue: DataFrame, outcomes: DataFrame, now: Column) -> DataFra
 
 
 def repeats(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The rows that aren't the first of their key by order, with nth (from 2): what delete_repeats takes away."""
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return rows.where(F.col(key).isNotNull()).withColumn("nth", nth).where("nth > 1")
+    """The rows that aren't the first of their key by order, with nth (from 2): what delete_repeats takes away.
+
+    Places are counted over ranges of (key, order), so a key that very many rows have is many tasks. Rows that have both in
+    common follow each other in any order; a null order comes first.
+    """
+    rows = rows.where(F.col(key).isNotNull())
+    counts = rows.groupBy(F.col(key).alias("key"), F.col(order).alias("value")).agg(F.count("*").alias("n"))
+    placed = ranks.positions(counts, ["key"]).select("key", "value", "before")
+    found = rows.join(placed, (rows[key] == placed["key"]) & rows[order].eqNullSafe(placed["value"]))
+    nth = F.col("before") + F.row_number().over(Window.partitionBy(key, order).orderBy(F.lit(1)))
+    return found.select(*[rows[c] for c in rows.columns], nth.cast("int").alias("nth")).where("nth > 1")
 
 
 def delete_repeats(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +21,13 @@ def positions(counts: DataFrame, by: list[str], counted: tuple[str, ...] = ("n",
     ranged = written(ranged.withColumn("part", F.spark_partition_id()), "ranges")
     sums = ranged.groupBy(*by, "part").agg(*[F.sum(n).alias(n) for n in counted])
     ahead = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    start = sums.select(*by, "part", *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"start_{n}") for n in counted])  # a row for each range, and one more for each group
+    start = sums.select(*by, "part", *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"start_{n}") for n in counted])
+    # only a group's ranges after its first: as ranges follow each other in order of the group, there are fewer than ranges
+    start = start.where(" or ".join(f"`start_{n}` > 0" for n in counted))
     within = Window.partitionBy(*by, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    found = ranged.select("*", *[F.coalesce(F.sum(n).over(within), F.lit(0)).alias(f"within_{n}") for n in counted]).join(F.broadcast(start), [*by, "part"])
+    placed = ranged.select("*", *[F.coalesce(F.sum(n).over(within), F.lit(0)).alias(f"within_{n}") for n in counted])
+    same = (placed["part"] == start["part"]) & reduce(and_, [placed[c].eqNullSafe(start[c]) for c in by])
+    found = placed.join(F.broadcast(start), same, "left").select(*[placed[c] for c in placed.columns], *[F.coalesce(f"start_{n}", F.lit(0)).alias(f"start_{n}") for n in counted])
     names = ["before"] if len(counted) == 1 else [f"before_{n}" for n in counted]
     return found.select(*by, "value", *counted, *[(F.col(f"start_{n}") + F.col(f"within_{n}")).alias(name) for n, name in zip(counted, names, strict=True)])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +67,8 @@ def drop(*tables: DataFrame) -> None:
 
 #: Derived tables of a session: by application, data and name, the state of their sources and the table.
 _KEPT: dict[tuple[str, str, str], tuple[list, DataFrame]] = {}
+#: Seconds that each derived table took when it was last made, with those that it needed.
+MADE: dict[str, float] = {}
 
 
 def _state(spark: SparkSession, paths: list[str]) -> list:
@@ -86,7 +89,9 @@ def kept(spark: SparkSession, sf_dir: str, name: str, sources: list[str], make,
     known, table = _KEPT.get(key, (None, None))
     if table is not None and known == state and exists(spark, table.written_to):
         return table
+    began = time.monotonic()
     _KEPT[key] = state, written(make(), name, by)
+    MADE[name] = time.monotonic() - began
     if table is not None:
         drop(table)
     return _KEPT[key][1]

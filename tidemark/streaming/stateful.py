@@ -85,6 +85,18 @@ class RetryQueue(StatefulProcessor):
             yield Row(id=key[0], nth=nth, at_ms=at, settled=any(at < x <= at + self.rest_ms for x in succeeded))
 
 
+class First(StatefulProcessor):
+    """Of a key's rows (ranked, rank, row) the one of least rank (null first), of the first micro-batch that has any."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield Row(row=min(rows, key=lambda r: (True, r["rank"]) if r["ranked"] else (False,))["row"])
+
+
 def retry_queue(tries: DataFrame, path: str, checkpoint: str, delay_s: int, rest_ms: int = REST_MS) -> DataFrame:
     """id, nth, at_ms, due_ms, state of all limited tries that the stream tries (id, at timestamp, nth, ok, limited) has brought so far.
 

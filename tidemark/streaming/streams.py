@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.functions import text as X
 from tidemark.operators import merge, sentiment
-from tidemark.sources.shared import exists
+from tidemark.streaming import stateful
 
 ATTEMPTS = "id, at timestamp, nth, ok, message"
 STATE = "retry int, error string, scraped boolean, last_at timestamp"
@@ -65,19 +65,15 @@ def sliding_sums_of_stream(stream: DataFrame, key: str, value: str, path: str, c
 
 
 def first_rows_of_stream(stream: DataFrame, key: str, order: str, path: str, checkpoint: str) -> DataFrame:
-    """The first row of each key: of a micro-batch the least by order, of several the one of the first. Rows without key go.
+    """The first row of each key: of a micro-batch the least by order (null first), of several the one of the first. Rows without key go.
 
-    What is known is the table itself, not a state that must fit somewhere, and nothing is forgotten.
+    Which keys were seen is in the state store, so a micro-batch reads nothing of what came before it.
     """
     columns = stream.columns
-
-    def new(batch: DataFrame, number: int) -> DataFrame:
-        spark = batch.sparkSession
-        known = spark.read.option("basePath", path).parquet(path).where(F.col("batch") < number) if exists(spark, path) else batch.limit(0)
-        fresh = merge.insert_ignore(batch.limit(0), batch.where(F.col(key).isNotNull()), key, order)
-        return fresh.join(known.select(key), key, "left_anti").select(*columns)
-
-    return run(stream, new, path, checkpoint).select(*columns)
+    rows = stream.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(order).isNotNull().alias("ranked"), F.col(order).alias("rank"), F.struct(*columns).alias("row"))
+    fresh = rows.groupBy("key").transformWithState(stateful.First(), StructType([rows.schema["row"]]), "Append", "None")
+    with stateful.in_rocks(stream.sparkSession):
+        return run(fresh, lambda batch, _: batch.select("row.*"), path, checkpoint).select(*columns)
 
 
 def scores_of_stream(articles: DataFrame, stream: DataFrame, load: Callable[[], sentiment.Scorer], path: str, checkpoint: str) -> DataFrame:
