@@ -130,12 +130,15 @@ def summed(levels: int):
 
 def beyond(array: DataFrame, levels: int) -> DataFrame:
     """part, before, after: for each number of lines the earliest position that a range's first row, and its last, is joined with in other ranges (NEVER: none)."""
-    sums = array.groupBy("part").applyInPandas(summed(levels), "part long, first array<long>, last array<long>, left array<long>, right array<long>, whole array<boolean>")  # a row for each range
-    ordered = Window.orderBy("part")
+    sums = array.groupBy("part").applyInPandas(summed(levels), "part long, first array<long>, last array<long>, left array<long>, right array<long>, whole array<boolean>")
+    sums = written(sums, "ranges")  # a row for each range
+    # only the numbers of ranges meet in one place; the prefixes come to their neighbour's by its number
+    neighbours = sums.select("part").withColumn("earlier", F.lag("part").over(Window.orderBy("part")))
+    sums = sums.join(neighbours, "part").join(sums.select(F.col("part").alias("earlier"), F.col("last").alias("was")), "earlier", "left").drop("earlier")
     agree = F.transform(F.arrays_zip("first", "was"), lambda x: x["first"] == x["was"])
     common = F.coalesce(F.array_position(F.transform(agree, lambda x: ~F.coalesce(x, F.lit(False))), True) - 1, F.lit(0))
     common = F.when(F.col("was").isNull(), 0).when(common < 0, F.size("first")).otherwise(common)
-    sums = sums.withColumn("was", F.lag("last").over(ordered)).withColumn("common", common.cast("int"))
+    sums = sums.withColumn("common", common.cast("int"))
     each = sums.select("part", "common", F.posexplode(F.arrays_zip("left", "right", "whole")).alias("level", "x")).select("part", (F.col("level") + 1).alias("level"), "common", "x.*")
     by_level = Window.partitionBy("level").orderBy("part")
     each = each.withColumns({"joined": F.col("common") >= F.col("level"), "joins": F.coalesce(F.lead("common").over(by_level) >= F.col("level"), F.lit(False))})
