@@ -107,9 +107,12 @@ def error_classify(spark, sf_dir):
 
 
 def times_parsed(spark, sf_dir):
-    """Epochs as text; texts as times, of which some can't be read."""
+    """Epochs as text, of made-up and of the events' own times; texts as times, of which some can't be read."""
     text = F.element_at(F.array(F.lit("2024-02-29 23:59:59"), F.lit("2023-02-29 00:00:00"), F.lit("n/a"), F.lit(None).cast("string")), (F.col("event_id") % 4 + 1).cast("int"))
-    return T.table(spark, sf_dir, "events").select("event_id", X.epoch_text(1_700_000_000 + 86_399 * F.col("event_id")).alias("text"), F.to_date(X.time_or_null(text)).alias("date"))
+    return T.table(spark, sf_dir, "events").select(
+        "event_id", X.epoch_text(1_700_000_000 + 86_399 * F.col("event_id")).alias("text"), F.to_date(X.time_or_null(text)).alias("date"),
+        X.epoch_text(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("own_text"), F.to_date(X.time_or_null(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))).alias("own_date"),
+    )
 
 
 def model_text(spark, sf_dir):
@@ -412,7 +415,8 @@ SQL = {
       SELECT c_custkey, '"' || {_PHRASE} || '" AND language:en' AS phrase, replace(c_mktsegment || '.B.', '.', '-') AS ticker, translate(c_name || '/x\\y', '/\\', '__') AS file_name FROM n""",
     "error_classify": f"WITH e AS (SELECT {_one_of(MESSAGES, 'event_id')} AS m FROM events) SELECT {_ladder(1)} AS code, {_ladder(2)} AS kind, count(*) AS n FROM e GROUP BY 1, 2",
     "times_parsed": """SELECT event_id, strftime(make_timestamp((1700000000 + 86399 * event_id) * 1000000), '%Y-%m-%d %H:%M:%S') AS text,
-      CAST(try_strptime((['2024-02-29 23:59:59', '2023-02-29 00:00:00', 'n/a', NULL])[event_id % 4 + 1], '%Y-%m-%d %H:%M:%S') AS DATE) AS date FROM events""",
+      CAST(try_strptime((['2024-02-29 23:59:59', '2023-02-29 00:00:00', 'n/a', NULL])[event_id % 4 + 1], '%Y-%m-%d %H:%M:%S') AS DATE) AS date,
+      strftime(ts, '%Y-%m-%d %H:%M:%S') AS own_text, CAST(ts AS DATE) AS own_date FROM events""",
     "model_text": f"WITH {_TITLED} SELECT id, md5(substring(CASE WHEN trim(content) <> '' THEN title || ' ' || content ELSE title END, 1, 2000)) AS text_md5 FROM t",
     "lexicon_sentiment": f"WITH {_TITLED}, w AS (SELECT id, regexp_split_to_array(lower(content), '[^a-z]+') AS w FROM t) SELECT id, {_SHARES} FROM w",
     "scored_articles": _SCORED,
