@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.functions import text as X
-from tidemark.operators import merge, recurrence
+from tidemark.operators import merge, recurrence, sentiment
 from tidemark.plans import records as R
 from tidemark.sources import cursor
 from tidemark.sources import tables as T
@@ -83,6 +83,32 @@ def keyed_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
+def keyed_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue as a table that changes in place: rows come, come again, and take the outcomes of their tries."""
+    rows = R._queue(spark, sf_dir)
+    table = KeyedTable(spark, folder(spark, "queue"), rows.schema, ["id"], 16)
+    for part in (rows.where("id % 2 = 0"), rows):
+        table.change(part, lambda old, new: merge.insert_ignore(old, new, "id", "retry"))
+    table.change(R._outcomes(rows), lambda old, new: merge.scrape_update(old, new, R.now()))
+    return table.read()
+
+
+def keyed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of articles as a stream; each micro-batch goes into the table of articles, of which it rewrites the folders that it touches."""
+    stream, out, state = R._streamed(spark, sf_dir, "documents")
+    articles = R._articles(spark, sf_dir)
+    table = KeyedTable(spark, out, articles.schema, ["id"], 16)
+    table.change(articles, lambda old, new: merge.insert_ignore(old, new, "id", "pos"))
+    titled = stream.select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("content"))
+    scorer = sentiment.lexicon(R.POSITIVE, R.NEGATIVE)
+
+    def merge_scores(batch: DataFrame, number: int) -> None:
+        table.change(sentiment.scored(batch, scorer), lambda old, new: merge.partial_update(old, new, "id"))
+
+    titled.writeStream.foreachBatch(merge_scores).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return table.read().select("id", F.round("pos", 6).alias("pos"), F.round("neg", 6).alias("neg"))
+
+
 def event_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, running sum and means of the events of each kind, in order of time: few series, each of which holds a large share of all rows."""
     rows = T.table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
@@ -102,6 +128,8 @@ SQL = {
     "stream_metrics": f"""WITH {_TRIES} SELECT CAST(0 AS BIGINT) AS batch, count(*) AS rows, count_if(ok)::BIGINT AS ok, count_if(limited)::BIGINT AS limited, count_if(NOT ok AND NOT limited)::BIGINT AS failed, true AS timed FROM t""",
     "page_cursor": f"""WITH p AS (SELECT {R._DOMAIN} AS host, page_id, row_number() OVER (PARTITION BY {R._DOMAIN} ORDER BY page_id) - 1 AS nth FROM pages)
       SELECT host, page_id, nth, nth // {PAGES} * {PAGES} AS first FROM p""",
+    "keyed_queue": R.SQL["scrape_update"],
+    "keyed_scores": R.SQL["stream_scores"],
     # weights of values further back are below the last digit of a double
     "event_trends": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t, sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS total FROM events),
       w AS (SELECT a.event_id, sum(CASE WHEN b.t = 0 THEN 1 ELSE 2 / 11e0 END * b.value * pow(9 / 11e0, a.t - b.t)) AS mean10,
@@ -112,4 +140,4 @@ SQL = {
       SELECT symbol, CASE WHEN symbol % 2 = 0 THEN name || ' new' ELSE name END AS name, CASE WHEN symbol % 5 = 0 THEN symbol ELSE 0 END AS current_page, is_processed OR symbol % 7 = 0 AS is_processed,
       CASE WHEN symbol % 5 = 0 THEN 'HTTP 500' END AS last_error, CASE WHEN symbol % 7 = 0 OR (symbol % 2 = 0 AND symbol % 3 <> 0) THEN TIMESTAMP '{R.NOW}' END AS last_updated FROM k""",
 }
-QUERIES = {f.__name__: f for f in (stream_retry_queue, stream_event_windows, stream_metrics, page_cursor, keyed_companies, event_trends)}
+QUERIES = {f.__name__: f for f in (stream_retry_queue, stream_event_windows, stream_metrics, page_cursor, keyed_companies, keyed_queue, keyed_scores, event_trends)}

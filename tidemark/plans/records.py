@@ -259,14 +259,17 @@ def scrape_progress(spark, sf_dir):
     return q.agg(F.count("*").alias("total"), F.count_if("scraped").alias("scraped"), F.count_if(~F.col("scraped") & (F.col("retry") < 3)).alias("pending"), F.count_if(~F.col("scraped") & (F.col("retry") >= 3)).alias("failed"))
 
 
-def scrape_update(spark, sf_dir):
+def _outcomes(queue):
     """Tries of all rows but every third: some succeed, some fail, some meet a rate limit."""
-    q = _queue(spark, sf_dir)
-    outcomes = q.where("id % 3 <> 0").select(
+    return queue.where("id % 3 <> 0").select(
         "id", (F.col("id") % 4 == 0).alias("ok"), F.when(F.col("id") % 8 == 0, F.lit("body")).alias("text"), F.lit('{"x":["a"]}').alias("social"), F.col("id").alias("outlet"),
         F.when(F.col("id") % 5 != 0, F.repeat(one_of(MESSAGES, "id"), 40)).alias("message"),
     )
-    return merge.scrape_update(q, outcomes, now())
+
+
+def scrape_update(spark, sf_dir):
+    q = _queue(spark, sf_dir)
+    return merge.scrape_update(q, _outcomes(q), now())
 
 
 def unprocessed_queue(spark, sf_dir):
