@@ -61,7 +61,7 @@ def corpus():
     return docs + [(2**60 + 1, texts[90], None, None, None), (2**60 + 2, texts[90] + " more", None, None, None)]
 
 
-@pytest.mark.parametrize(("size", "percent", "group"), [(3, 90, 256), (3, 90, 3), (2, 80, 16), (1, 60, 256)])
+@pytest.mark.parametrize(("size", "percent", "group"), [(3, 90, 256), (3, 90, 3), (2, 70, 16)])
 def test_join_is_that_of_brute_force(spark, monkeypatch, size, percent, group):
     monkeypatch.setattr(J, "GROUP", group)
     docs = corpus()
