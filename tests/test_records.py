@@ -7,7 +7,9 @@ import os
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.functions import text
 from tidemark.operators import sentiment
 from tidemark.plans import records
 from tidemark.streaming import streams
@@ -80,3 +82,11 @@ def test_any_scorer(spark):
     articles = spark.createDataFrame([(i, "t", "c" * i if i else None) for i in range(5)], "id long, title string, content string").coalesce(1)
     found = sentiment.scored(articles, load, batch=2)
     assert sorted(map(tuple, found.collect())) == [(0, 1.0, 2.0), (1, 3.0, 2.0), (2, 4.0, 2.0), (3, 5.0, 2.0), (4, 6.0, 1.0)] and seen.value == 1
+
+
+def test_epochs_after_year_9999(spark):
+    """As DuckDB writes them: no sign before five digits; times before 1970 and parts of seconds go down."""
+    seconds = {0: "1970-01-01 00:00:00", 518_394_000_000: "18397-04-02 13:20:00", -1: "1969-12-31 23:59:59", 253_402_300_799: "9999-12-31 23:59:59", 253_402_300_800: "10000-01-01 00:00:00"}
+    rows = spark.createDataFrame([(s,) for s in seconds], "s long")
+    assert {r.s: r.t for r in rows.select("s", text.epoch_text(rows.s).alias("t")).collect()} == seconds
+    assert spark.range(1).select(text.epoch_text(F.lit(-0.5)), text.epoch_text(F.lit(1.5))).first()[:] == ("1969-12-31 23:59:59", "1970-01-01 00:00:01")
