@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import bias, merge, stats
+from tidemark.plans import records
 from tidemark.sources import files
 
 OUTLETS = "id long, domain string, name string, handles map<string,array<string>>"
@@ -68,3 +69,17 @@ def test_index_of_days_without_bars(spark):
     assert [(r.ticker, r.date, r.close, r.s, round(r.bias_score, 9), r.n_articles) for r in found.collect()] == [
         ("a", day(3), 3.0, None, 0.5, 1), ("a", day(17), 17.0, None, 0.75, 2), ("a", day(18), 18.0, None, 0.25, 1), ("a", day(40), 40.0, None, 0.0, 0), ("b", day(3), 1.0, 2.0, 0.0, 0),
     ]
+
+
+def test_merges_broadcast_no_side(spark):
+    """Files of keys in order are so small that Spark would broadcast millions of rows of them."""
+    queue = records._queue(spark, "/root/testdata/sf0.001")
+    tries = records._outcomes(queue)
+    keys = queue.select("id")
+    found = [
+        merge.insert_ignore(queue, queue, "id", "retry"), merge.scrape_update(queue, tries, records.now()), merge.partial_update(queue, keys.withColumn("retry", F.lit(1)), "id"),
+        merge.append_new(queue, queue, ["id"]), merge.upsert(queue, queue, "id", ["retry"]), merge.delete_repeats(queue, "id", "retry"),
+    ]
+    for x in found:
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan, plan

@@ -9,16 +9,21 @@ from tidemark.functions import text as X
 from tidemark.operators import ranks
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """df as a side that isn't broadcast: files of keys in order, or of repeated texts, are a few MB, and what they hold isn't."""
+    return df.hint("merge")
+
+
 def insert_ignore(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """old and the first row, by order (null first), of each key of new that old lacks."""
     first = new.groupBy(key).agg(F.min_by(F.struct(*new.columns), F.struct(order)).alias("r")).select("r.*")
-    return old.unionByName(first.join(old.select(key), key, "left_anti").select(*old.columns))
+    return old.unionByName(first.join(sorted_side(old.select(key)), key, "left_anti").select(*old.columns))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, updated: list[str], stamp: str | None = None, now: Column | None = None) -> DataFrame:
     """Rows of both by key; where both have one, old's with the columns named in updated from new. stamp: a column that such a change sets to now."""
     a, b = old.select(F.struct(*old.columns).alias("o"), F.col(key)), new.select(F.struct(*new.columns).alias("n"), F.col(key))
-    both = a.join(b, key, "full")
+    both = a.join(sorted_side(b), key, "full")
     pick = lambda c: F.when(F.col("o").isNull(), F.col(f"n.{c}")).when(F.col("n").isNull() | F.lit(c not in updated), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))
     changed = F.col("o").isNotNull() & F.col("n").isNotNull()
     return both.select(*[F.col(key) if c == key else F.when(changed, now).otherwise(pick(c)).alias(c) if c == stamp else pick(c).alias(c) for c in old.columns])
@@ -29,7 +34,7 @@ def partial_update(old: DataFrame, changes: DataFrame, key: str, stamp: str | No
     changed = [c for c in changes.columns if c != key]
     new = changes.select(key, *[F.col(c).alias(f"new_{c}") for c in changed], F.lit(True).alias("is_changed"))
     pick = lambda c: F.when(F.col("is_changed"), now).otherwise(F.col(c)).alias(c) if c == stamp else F.coalesce(f"new_{c}", c).alias(c) if c in changed else F.col(c)
-    return old.join(new, key, "left").select(*[pick(c) for c in old.columns])
+    return old.join(sorted_side(new), key, "left").select(*[pick(c) for c in old.columns])
 
 
 def mark_complete(old: DataFrame, keys: DataFrame, key: str, stamp: str | None = None, now: Column | None = None) -> DataFrame:
@@ -45,7 +50,7 @@ def reset_state(old: DataFrame, keys: DataFrame, key: str, stamp: str | None = N
 def append_new(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """target and the rows whose keys it lacks, of its columns (null where rows have none). Run again it adds nothing."""
     shaped = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in target.dtypes])
-    return target.unionByName(shaped.join(target.select(*keys), keys, "left_anti"))
+    return target.unionByName(shaped.join(sorted_side(target.select(*keys)), keys, "left_anti"))
 
 
 def resolve_or_create(dimension: DataFrame, wanted: DataFrame, key: str, name: str, position: str) -> DataFrame:
@@ -53,10 +58,10 @@ def resolve_or_create(dimension: DataFrame, wanted: DataFrame, key: str, name: s
 
     New ids follow the largest, in order of key. Keys are numbered by ranges of them, so that no task numbers them all.
     """
-    missing = wanted.groupBy(key).agg(F.max_by(name, position).alias(name)).join(dimension.select(key), key, "left_anti")
+    missing = wanted.groupBy(key).agg(F.max_by(name, position).alias(name)).join(sorted_side(dimension.select(key)), key, "left_anti")
     places = ranks.positions(missing.where(F.col(key).isNotNull()).select(F.lit(1).alias("one"), F.col(key).alias("value"), F.lit(1).cast("long").alias("n")), ["one"])
     top = dimension.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = missing.join(places.select(F.col("value").alias(key), (F.col("before") + 1).alias("nth")), key).crossJoin(F.broadcast(top))  # one row
+    numbered = missing.join(sorted_side(places.select(F.col("value").alias(key), (F.col("before") + 1).alias("nth"))), key).crossJoin(F.broadcast(top))  # one row
     return dimension.select("id", key, name).unionByName(numbered.select((F.col("top") + F.col("nth")).alias("id"), key, name))
 
 
@@ -70,11 +75,11 @@ def upsert_with_handles(dimension: DataFrame, wanted: DataFrame, key: str, name:
     wanted = wanted.where(F.col(key).isNotNull())
     last = wanted.groupBy(key).agg(F.max_by(F.struct(F.col(name).alias("x")), position).alias("last"))
     ids = resolve_or_create(dimension, wanted, key, name, position)
-    rows = dimension.join(last.select(key), key, "left_semi").select(key, handles).unionByName(wanted.select(key, handles))
+    rows = dimension.join(sorted_side(last.select(key)), key, "left_semi").select(key, handles).unionByName(wanted.select(key, handles))
     each = rows.select(key, F.explode(handles).alias("platform", "own")).select(key, "platform", F.explode_outer("own").alias("handle")).distinct()
     lists = each.groupBy(key, "platform").agg(F.array_sort(F.collect_set("handle")).alias("own"))
     merged = lists.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("platform", "own")))).alias("merged"))
-    out = ids.join(last, key, "left").join(merged, key, "left").join(dimension.select(key, F.col(handles).alias("before")), key, "left")
+    out = ids.join(sorted_side(last), key, "left").join(sorted_side(merged), key, "left").join(sorted_side(dimension.select(key, F.col(handles).alias("before"))), key, "left")
     none = F.create_map().cast("map<string, array<string>>")
     known = F.coalesce("before", none)
     return out.select("id", key, F.when(F.col("last").isNotNull(), F.col("last.x")).otherwise(F.col(name)).alias(name), F.when(F.col("last").isNotNull(), F.coalesce("merged", none)).otherwise(known).alias(handles))
@@ -92,7 +97,7 @@ def scrape_update(queue: DataFrame, outcomes: DataFrame, now: Column) -> DataFra
     Success sets what was found and resets the tries; failure counts one more and keeps the beginning of its message. A
     rate limit is neither: the row stays as it was, and is tried again.
     """
-    both = queue.join(outcomes, "id", "left")
+    both = queue.join(sorted_side(outcomes), "id", "left")
     ok = F.coalesce("ok", F.lit(False))
     limited = F.coalesce(~ok & (X.error_class(F.col("message"))["code"] == X.RATE_LIMITED), F.lit(False))
     failed = F.col("ok").isNotNull() & ~ok & ~limited
@@ -113,7 +118,7 @@ def repeats(rows: DataFrame, key: str, order: str) -> DataFrame:
     rows = rows.where(F.col(key).isNotNull())
     counts = rows.groupBy(F.col(key).alias("key"), F.col(order).alias("value")).agg(F.count("*").alias("n"))
     placed = ranks.positions(counts, ["key"]).select("key", "value", "before")
-    found = rows.join(placed, (rows[key] == placed["key"]) & rows[order].eqNullSafe(placed["value"]))
+    found = rows.join(sorted_side(placed), (rows[key] == placed["key"]) & rows[order].eqNullSafe(placed["value"]))
     nth = F.col("before") + F.row_number().over(Window.partitionBy(key, order).orderBy(F.lit(1)))
     return found.select(*[rows[c] for c in rows.columns], nth.cast("int").alias("nth")).where("nth > 1")
 
@@ -121,7 +126,7 @@ def repeats(rows: DataFrame, key: str, order: str) -> DataFrame:
 def delete_repeats(rows: DataFrame, key: str, order: str) -> DataFrame:
     """rows but for all of a key that aren't its first by order; rows without key stay."""
     first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("first"))
-    return rows.join(first, key, "left").where(F.col(key).isNull() | (F.col(order) == F.col("first"))).drop("first")
+    return rows.join(sorted_side(first), key, "left").where(F.col(key).isNull() | (F.col(order) == F.col("first"))).drop("first")
 
 
 def clean_repeats(rows: DataFrame, key: str, order: str, backup: str, dry_run: bool = True) -> DataFrame:
