@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -10,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import bias, merge, stats
-from tidemark.plans import records
+from tidemark.plans import market, records
 from tidemark.sources import files
+from tidemark.sources import tables as T
 
 OUTLETS = "id long, domain string, name string, handles map<string,array<string>>"
 
@@ -83,3 +86,19 @@ def test_merges_broadcast_no_side(spark):
     for x in found:
         plan = x._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "SortMergeJoin" in plan, plan
+
+
+def test_derived_tables_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """Bars, indicators and features go to their buckets in one exchange or none, and are the same where series are long and days are summed first."""
+    sf, by_ticker = "/root/testdata/sf0.001", "hashpartitioning(ticker"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().replace("l_suppkey", "ticker")
+    bars = T.daily_bars(spark, sf)
+    assert plan(bars).count("Exchange") == 1 and by_ticker in plan(bars)
+    features = stats.features(market.norm(spark, sf))
+    assert by_ticker not in plan(features) and "SortMergeJoin" not in plan(features) and by_ticker not in plan(market.all_indicators(spark, sf))
+    found = [sorted(map(tuple, x.collect())) for x in (bars, market.rounded(market.raw(spark, sf)))]
+    monkeypatch.setattr(T, "SHORT", 1)
+    os.symlink(sf, tmp_path / "same")
+    long = [T.daily_bars(spark, sf), market.rounded(market.raw(spark, f"{tmp_path}/same"))]
+    by_day = [re.search(r"hashpartitioning\(ticker#\w+, \w+#", plan(x)) is not None for x in (bars, long[0])]
+    assert by_day == [False, True] and [sorted(map(tuple, x.collect())) for x in long] == found

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import ranks
-from tidemark.sources.shared import written
+from tidemark.sources.shared import placed, written
 
 #: The reach of the largest outlet, days looked back, floor of the scale.
 MOST_FOLLOWERS, DAYS_BACK, LEAST_SCALE = 41_000_000, 14, 1e-6
@@ -20,19 +20,27 @@ def reach(followers: str) -> Column:
     return F.log10(1 + F.greatest(F.coalesce(F.col(followers), F.lit(0.0)), F.lit(0.0))) / F.log10(F.lit(1.0 + MOST_FOLLOWERS))
 
 
-def raw_index(bars: DataFrame, articles: DataFrame, outlets: DataFrame) -> DataFrame:
+def raw_index(bars: DataFrame, articles: DataFrame, outlets: DataFrame, short: bool = False) -> DataFrame:
     """bars with bias_score and n_articles of the days [date - 14, date]; a bar without articles has 0.
 
     Articles of unknown outlets don't count. Days without a bar don't matter. Articles are summed by day before any window, so that a frame holds 30 rows at
     most however many articles a day has; bars stand in the window beside them, as days without sentiment, so that nothing is joined.
+    Bars that stand in buckets by ticker stay there, and what is summed comes to them; short: before it is summed, which is less
+    to shuffle where a day has few articles, but brings all articles of a security to one task.
     """
     own = articles.join(outlets.select(F.col("id").alias("outlet_id"), "avg_followers"), "outlet_id")
-    daily = own.groupBy("ticker", "date").agg(F.sum(sentiment("pos", "neg") * reach("avg_followers")).alias("s"), F.count("*").alias("n"))
+    own = own.select("ticker", "date", (sentiment("pos", "neg") * reach("avg_followers")).alias("s"))
+    buckets = getattr(bars, "buckets", None)
+    if short and buckets:
+        own = own.repartition(buckets, "ticker")
+    daily = own.groupBy("ticker", "date").agg(F.sum("s").alias("s"), F.count("*").alias("n"))
+    if buckets and not short:
+        daily = daily.repartition(buckets, "ticker")
     kept = F.struct(*[c for c in bars.columns if c not in ("ticker", "date")])
     days = bars.select("ticker", "date", F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"), kept.alias("bar")).unionByName(daily, allowMissingColumns=True)
     frame = Window.partitionBy("ticker").orderBy(F.unix_date("date")).rangeBetween(-DAYS_BACK, 0)
     scored = days.select("ticker", "date", "bar", F.sum("s").over(frame).alias("bias_score"), F.sum("n").over(frame).alias("n_articles"))
-    return scored.where("bar is not null").select("ticker", "date", "bar.*", "bias_score", "n_articles")
+    return placed(scored.where("bar is not null").select("ticker", "date", "bar.*", "bias_score", "n_articles"), buckets)
 
 
 def scale_of(raw: DataFrame) -> DataFrame:
@@ -48,7 +56,7 @@ def scale_of(raw: DataFrame) -> DataFrame:
     return found.select(F.greatest("mad", F.lit(LEAST_SCALE)).alias("s"), F.when(F.col("p99") > 0, F.col("p99")).otherwise(F.col("most") + LEAST_SCALE).alias("p"))
 
 
-def normalised(raw: DataFrame) -> DataFrame:
-    """raw with norm_bias_score in [-1, 1]."""
+def normalised(raw: DataFrame, scale: DataFrame | None = None) -> DataFrame:
+    """raw with norm_bias_score in [-1, 1]. scale: what scale_of gives for raw, where it is there."""
     score = F.asinh(F.col("bias_score") / F.col("s")) / F.asinh(F.col("p") / F.col("s"))
-    return raw.crossJoin(F.broadcast(scale_of(raw))).withColumn("norm_bias_score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score))).drop("s", "p")
+    return raw.crossJoin(F.broadcast(scale_of(raw) if scale is None else scale)).withColumn("norm_bias_score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score))).drop("s", "p")

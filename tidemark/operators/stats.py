@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions import windows as W
-from tidemark.operators import ranks
+from tidemark.operators import indicators, ranks
 from tidemark.sources.shared import written
 
 HORIZONS = {"ret_next": 1, "ret_5": 5, "ret_14": 14, "ret_30": 30}
@@ -21,9 +21,9 @@ REGIMES = {"OVERALL": "OVERALL", "POSITIVE": "POSITIVE (>0)", "NEGATIVE": "NEGAT
 HORIZON_NAMES = {"ret_next": "1-Day", "ret_5": "5-Day", "ret_14": "14-Day", "ret_30": "30-Day"}
 
 
-def features(index: DataFrame, indicators: DataFrame) -> DataFrame:
+def features(index: DataFrame) -> DataFrame:
     """Bars with their index and all indicators, without the rows where any of them isn't there yet."""
-    return index.join(indicators, ["ticker", "date"]).dropna()
+    return indicators.with_indicators(index).dropna()
 
 
 def silent_shocks(rows: DataFrame, z: float = 3.0, volume: float = 3.0, quiet: float = 0.1, least_rows: int = 10) -> DataFrame:
@@ -116,16 +116,24 @@ def study_rows(index: DataFrame, companies: DataFrame, top: int | None = None) -
     return rows.join(wanted.select("ticker"), "ticker", "left_semi")
 
 
-def signed(rows: DataFrame) -> DataFrame:
-    """ticker, bias, returns to come, and regime: the sign of the bias, null for the tails of ret_next of either sign. Zero biases don't count."""
+def ahead(rows: DataFrame) -> DataFrame:
+    """ticker, bias, returns to come, sign of the bias. Zero biases don't count."""
     rows = rows.withColumn("ret", W.pct_change())
-    ahead = {k: F.lead("ret", 1).over(W.by_date()) if n == 1 else W.full(F.sum, "ret", 1, n) for k, n in HORIZONS.items()}
-    rows = rows.select("ticker", F.col("norm_bias_score").alias("bias"), *[c.alias(k) for k, c in ahead.items()]).dropna()
-    rows = written(rows.where(F.abs("bias") > 0.001).withColumn("sign", F.when(F.col("bias") > 0, "POSITIVE").otherwise("NEGATIVE")), "returns")
+    to_come = {k: F.lead("ret", 1).over(W.by_date()) if n == 1 else W.full(F.sum, "ret", 1, n) for k, n in HORIZONS.items()}
+    rows = rows.select("ticker", F.col("norm_bias_score").alias("bias"), *[c.alias(k) for k, c in to_come.items()]).dropna()
+    return rows.where(F.abs("bias") > 0.001).withColumn("sign", F.when(F.col("bias") > 0, "POSITIVE").otherwise("NEGATIVE"))
+
+
+def tails(rows: DataFrame) -> DataFrame:
+    """sign, low, high: the bounds of the tails of ret_next, of rows as ahead() gives them."""
     counts = rows.groupBy("sign", F.col("ret_next").alias("value")).agg(F.count("*").alias("n"))
-    tails = ranks.percentiles(counts, ["sign"], {"low": 0.01, "high": 0.99})
+    return ranks.percentiles(counts, ["sign"], {"low": 0.01, "high": 0.99})
+
+
+def signed(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """ticker, bias, returns to come, and regime: the sign of the bias, null for the tails (bounds) of ret_next of either sign."""
     inside = F.when(F.col("ret_next").between(F.col("low"), F.col("high")), F.col("sign"))
-    return rows.join(F.broadcast(tails), "sign").withColumn("regime", inside).drop("sign", "low", "high")  # two rows
+    return rows.join(F.broadcast(bounds), "sign").withColumn("regime", inside).drop("sign", "low", "high")  # two rows
 
 
 def regimes(rows: DataFrame) -> DataFrame:
@@ -137,11 +145,14 @@ def spearman(rows: DataFrame) -> DataFrame:
     """regime, a, b, rho of signed rows: rank correlations of bias and all returns with each other; ties have their mean rank.
 
     A value's rank, of all rows and of those of either regime, follows from how many rows have a smaller one: values are
-    counted, and the counts summed over ranges of values, so no window holds all rows.
+    counted, and the counts summed over ranges of values, so no window holds all rows. An id of rows that are kept is used;
+    other rows are written with one.
     """
     names, counted = ["bias", *HORIZONS], ("OVERALL", "POSITIVE", "NEGATIVE")
     # sums of doubles may differ in the last bits when made again: values are rounded, so that ties stay ties, and kept
-    rows = written(rows.select("regime", F.monotonically_increasing_id().alias("id"), *[F.round(c, 9).alias(c) for c in names]), "ranked-values")
+    if "id" not in rows.columns:
+        rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "ranked-values")
+    rows = rows.select("regime", "id", *[F.round(c, 9).alias(c) for c in names])
     long = rows.select("regime", "id", F.posexplode(F.array(*names)).alias("k", "value"))
     counts = long.groupBy("k", "value").agg(F.count("*").alias("OVERALL"), *[F.count_if(F.coalesce(F.col("regime") == r, F.lit(False))).alias(r) for r in counted[1:]])
     placed = ranks.positions(counts, ["k"], counted)
@@ -150,9 +161,11 @@ def spearman(rows: DataFrame) -> DataFrame:
     own = F.when(F.col("regime") == "POSITIVE", F.col("rank_POSITIVE")).when(F.col("regime") == "NEGATIVE", F.col("rank_NEGATIVE"))
     each = long.join(ranked, ["k", "value"]).select("id", "regime", "k", F.col("rank_OVERALL").alias("all"), own.alias("own"))
     of = lambda c: [F.max(F.when(F.col("k") == i, F.col(c))).alias(f"{c}_{i}") for i in range(len(names))]
-    wide = written(each.groupBy("id", "regime").agg(*of("all"), *of("own")), "ranks")
-    columns = lambda c: [F.col(f"{c}_{i}").alias(str(i)) for i in range(len(names))]
-    both = wide.where("regime is not null").select("regime", *columns("own")).unionByName(wide.select(F.lit("OVERALL").alias("regime"), *columns("all")))
+    # dealt before they are grouped: a row of five ranks is no smaller than the five
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = each.repartition(parts, "id").groupBy("id").agg(F.max("regime").alias("regime"), *of("all"), *of("own"))
+    ranks_of = lambda regime, c: F.struct(regime.alias("regime"), *[F.col(f"{c}_{i}").alias(str(i)) for i in range(len(names))])
+    both = wide.select(F.explode(F.array(ranks_of(F.lit("OVERALL"), "all"), ranks_of(F.col("regime"), "own"))).alias("x")).select("x.*").where("regime is not null")
     rho = lambda i, j: F.try_divide(F.covar_pop(str(i), str(j)), F.stddev_pop(str(i)) * F.stddev_pop(str(j)))
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     found = both.groupBy("regime").agg(*[rho(i, j).alias(f"{i}_{j}") for i, j in pairs])

@@ -13,10 +13,12 @@ from tidemark.functions import windows as W
 from tidemark.operators import bias, indicators, merge, ranks, stats
 from tidemark.sources import files
 from tidemark.sources import tables as T
-from tidemark.sources.shared import kept, shared_dir
+from tidemark.sources.shared import kept, placed, shared_dir
 from tidemark.sources.tables import BARS_SQL, BY_DATE
 
 
+#: The tables of which the index is made.
+INDEXED = ["lineitem", "orders", "customer", "supplier"]
 SAMPLE_ROWS, SAMPLE_TICKERS, SEED = 50_000, 10, 7
 
 
@@ -34,27 +36,41 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         bars = T.bars(spark, sf_dir)
         first, last = bars.agg(F.min("date"), F.max("date")).first()
         reach = (first - timedelta(days=bias.DAYS_BACK + 1), last + timedelta(days=1)) if first else (None, None)
-        return bias.raw_index(bars, T.articles(spark, sf_dir, *reach), T.outlets(spark, sf_dir))
+        return bias.raw_index(bars, T.articles(spark, sf_dir, *reach), T.outlets(spark, sf_dir), T.short_series(spark, sf_dir))
 
-    return kept(spark, sf_dir, "raw-index", ["lineitem", "orders", "customer", "supplier"], make, BY_DATE)
+    return kept(spark, sf_dir, "raw-index", INDEXED, make, BY_DATE)
 
 
 def norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars with the raw and the normalised index. Only scores that are there count for the scale."""
-    return kept(spark, sf_dir, "index", ["lineitem", "orders", "customer", "supplier"], lambda: bias.normalised(raw(spark, sf_dir)), BY_DATE)
+    """Bars with the raw and the normalised index, which is made of the raw one whenever it is read: only the scale, a row, is kept. Only scores that are there count for it."""
+    scale = kept(spark, sf_dir, "scale", INDEXED, lambda: bias.scale_of(raw(spark, sf_dir)))
+    return bias.normalised(raw(spark, sf_dir), scale)
 
 
 def all_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark, sf_dir, "indicators", ["lineitem"], lambda: indicators.indicators(T.bars(spark, sf_dir)), BY_DATE)
+    def make() -> DataFrame:
+        bars = T.bars(spark, sf_dir)
+        return placed(indicators.indicators(bars), bars.buckets)
+
+    return kept(spark, sf_dir, "indicators", ["lineitem"], make, BY_DATE)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark, sf_dir, "features", ["lineitem", "orders", "customer", "supplier"], lambda: stats.features(norm(spark, sf_dir), all_indicators(spark, sf_dir)), BY_DATE)
+    """Of the rows where all indicators are there, what the anomalies need; the indicators themselves aren't kept."""
+
+    def make() -> DataFrame:
+        found = stats.features(norm(spark, sf_dir)).select("ticker", "date", "close", "volume", "norm_bias_score", "rel_vol")
+        return placed(found, raw(spark, sf_dir).buckets)
+
+    return kept(spark, sf_dir, "features", INDEXED, make, BY_DATE)
 
 
 def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lambda: stats.study_rows(norm(spark, sf_dir), T.companies(spark, sf_dir))
-    return kept(spark, sf_dir, "signed-returns", ["lineitem", "orders", "customer", "supplier"], lambda: stats.signed(rows()), BY_DATE[:1])
+    def make() -> DataFrame:
+        return stats.ahead(stats.study_rows(norm(spark, sf_dir), T.companies(spark, sf_dir))).withColumn("id", F.monotonically_increasing_id())
+
+    rows = kept(spark, sf_dir, "returns", INDEXED, make)
+    return stats.signed(rows, kept(spark, sf_dir, "tails", INDEXED, lambda: stats.tails(rows)))
 
 
 def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +170,7 @@ def linear_indicators(spark, sf_dir):
 def features_full(spark, sf_dir):
     names = {"date": "time", "ticker": "stock_name", "norm_bias_score": "bias_index", "open": "into", "high": "inth", "low": "intl", "close": "intc", "volume": "v", "stx": "STX", "impulse_histo": "ImpulseHisto"}
     columns = [*names, "psi", "smooth_velocity", "macd", "b5", "rel_vol"]
-    return rounded(features(spark, sf_dir).select(*[F.col(c).alias(names.get(c, c)) for c in columns]), 4)
+    return rounded(stats.features(norm(spark, sf_dir)).select(*[F.col(c).alias(names.get(c, c)) for c in columns]), 4)
 
 
 def silent_shocks(spark, sf_dir):
