@@ -58,3 +58,21 @@ def test_scan_is_a_loop(spark, parts):
     assert got.keys() == want.keys()
     assert all(got[i][1] == "own" and (got[i][0] is None) == (want[i][0] is None) and (want[i][0] is None or got[i][0] == pytest.approx(want[i][0], abs=1e-12)) for i in want)
     assert R.scan(df.limit(0), "k", ["t", "n"], {"y": R.running(F.col("a_0"))}).count() == 0
+
+
+@pytest.mark.parametrize("short", [False, True])
+def test_linear_indicators_join_nothing(spark, short):
+    """The same as from the array code, where series are ranges and where they stay; of what a scan has written no row is shuffled again."""
+    rng, rows = np.random.default_rng(2), []
+    for k, n in ((1, 300), (2, 5), (3, 40), (4, 1)):
+        close = 100 + rng.standard_normal(n).cumsum()
+        rows += [(k, datetime.date(2000, 1, 1) + datetime.timedelta(days=i), float(c + rng.random()), float(c - rng.random()), float(c), 7) for i, c in enumerate(close)]
+    bars = spark.createDataFrame(rows, "ticker long, date date, high double, low double, close double, volume long").repartition(4, "ticker")
+    found = I.linear(bars, short=short)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(ticker") == short and "rangepartitioning" not in plan and "SortMergeJoin" not in plan, plan
+    want = I.indicators(bars).orderBy("ticker", "date").toPandas()
+    found = found.orderBy("ticker", "date").toPandas()
+    assert len(found) == 346
+    for c in ("ema10", "smma34", "zlema34", "atr", "smooth_velocity"):
+        assert np.allclose(found[c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-9, equal_nan=True), c

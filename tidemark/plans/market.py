@@ -163,8 +163,8 @@ def indicators_all(spark, sf_dir):
 
 
 def linear_indicators(spark, sf_dir):
-    """Those indicators whose recurrence is linear, by scans along the series."""
-    return rounded(indicators.linear(T.bars(spark, sf_dir)), 4)
+    """Those indicators whose recurrence is linear, by a scan along the series: of short ones where their bars stand."""
+    return rounded(indicators.linear(T.bars(spark, sf_dir), short=T.short_series(spark, sf_dir)), 4)
 
 
 def features_full(spark, sf_dir):
