@@ -76,3 +76,24 @@ def test_linear_indicators_join_nothing(spark, short):
     assert len(found) == 346
     for c in ("ema10", "smma34", "zlema34", "atr", "smooth_velocity"):
         assert np.allclose(found[c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-9, equal_nan=True), c
+
+
+def test_indicators_of_many_series_at_once(spark, monkeypatch):
+    """Blocks of securities give what each gives alone, whatever their lengths, with prices that lack or stand still; Python is called for blocks, not for securities."""
+    rng, lengths, rows = np.random.default_rng(6), [1, 2, 9, 10, 34, 35, 60, 130, 300, 50, 51, 20], []
+    for k, n in enumerate(lengths):
+        close = 100 + rng.standard_normal(n).cumsum() if k % 4 else np.full(n, 5.0)
+        rows += [(k, datetime.date(2000, 1, 1) + datetime.timedelta(days=i), None if k == 8 and i == 200 else float(c + 1), float(c - 1), float(c), int(rng.integers(0, 9))) for i, c in enumerate(close)]
+    monkeypatch.setattr(I, "BLOCK", 150)
+    monkeypatch.setattr(I, "BATCH", 64)
+    bars = spark.createDataFrame(rows, "ticker long, date date, high double, low double, close double, volume long").repartition(3)
+    frame = I.indicators(bars)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan, plan
+    found = frame.orderBy("ticker", "date").toPandas()
+    assert len(found) == sum(lengths)
+    for k, own in found.groupby("ticker"):
+        series = [r for r in rows if r[0] == k]
+        alone = I.of_series(*(np.array([r[i] for r in series], dtype=float) for i in (2, 3, 4, 5)))
+        for c, y in alone.items():
+            assert own[c].tolist() == y.tolist() if c == "stx" else np.allclose(own[c].astype(float), y, rtol=1e-12, equal_nan=True), (k, c)

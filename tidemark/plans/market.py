@@ -48,11 +48,8 @@ def norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def make() -> DataFrame:
-        bars = T.bars(spark, sf_dir)
-        return placed(indicators.indicators(bars), bars.buckets)
-
-    return kept(spark, sf_dir, "indicators", ["lineitem"], make, BY_DATE)
+    """Made when read: one query reads them, so a table of them would only be written to be read again."""
+    return indicators.indicators(T.bars(spark, sf_dir))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
