@@ -124,3 +124,13 @@ def test_b5_is_macd_or_its_predecessor():
     x = np.random.default_rng(1).standard_normal(200).cumsum()
     y = indicators.b5(x)
     assert all(np.isclose(y[i], x[i]) or np.isclose(y[i], x[i - 1]) for i in range(1, 200))
+
+
+def test_links_are_found_once(spark, tmp_path):
+    """Not once for each platform and each column that is made of them."""
+    from tidemark.plans import records
+
+    spark.createDataFrame([(i,) for i in range(20)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    found = records.handle_extract(spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert {r.c_custkey: (r.twitter, r.youtube, r.n) for r in found.collect()}[3] == (None, "ch3,u_3", 1)
