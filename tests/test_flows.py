@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import os
 import random
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
@@ -191,3 +192,40 @@ def test_cursor_takes_a_long_host_in_few_batches(spark, tmp_path):
     more = pages.unionByName(spark.createDataFrame([("b", 3), ("b", 4), ("c", 0)], "host string, id long"))
     found = cursor.crawl(spark, *cursor.numbered(more, 2), 2, *at).collect()
     assert len(found) == 2006 and {(r.id, r["first"]) for r in found if r.host == "b"} == {(0, 0), (1, 0), (2, 2), (3, 3), (4, 3)}
+
+
+def test_retry_queue_has_one_timer_for_a_key():
+    """However many tries a key has; what is due by the watermark is told at one timer, as the rule says."""
+
+    class List:
+        def __init__(self):
+            self.rows = []
+
+        exists, get = lambda self: bool(self.rows), lambda self: iter(self.rows)
+        appendList, put, clear = lambda self, x: self.rows.extend(x), lambda self, x: setattr(self, "rows", list(x)), lambda self: self.rows.clear()
+
+    class Handle:
+        timers, registered = set(), 0
+
+        def getListState(self, name, schema):
+            return List()
+
+        def listTimers(self):
+            return iter(sorted(self.timers))
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+            self.registered += 1
+
+    rng, handle, queue = random.Random(8), Handle(), stateful.RetryQueue(100)
+    queue.init(handle)
+    rows = [SimpleNamespace(nth=i, at_ms=rng.randrange(5000), ok=i % 3 == 0, limited=i % 3 == 1) for i in range(600)]
+    list(queue.handleInputRows((1,), iter(rows), None))
+    assert handle.registered == 1
+    found, mark = [], SimpleNamespace(getCurrentWatermarkInMs=lambda: 3000)
+    while handle.timers and min(handle.timers) < 3000:
+        at = min(handle.timers)
+        handle.timers.remove(at)
+        found += [(r.nth, r.settled) for r in queue.handleExpiredTimer((1,), mark, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at))]
+    assert handle.registered == 2 and len(handle.timers) == 1 and min(handle.timers) >= 3000
+    assert sorted(found) == sorted((r.nth, any(x.ok and r.at_ms < x.at_ms <= r.at_ms + 100 for x in rows)) for r in rows if r.limited and r.at_ms + 100 < 3000)
