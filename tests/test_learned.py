@@ -67,3 +67,25 @@ def test_least_rows_are_those_of_a_sort(spark, monkeypatch, most, k):
     assert sorted(map(tuple, found.collect())) == sorted(r for r in rows if r[0])[:k]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_texts_are_not_joined_with_labels(spark):
+    """Labels apart give the same scores as labels beside the texts; the plan that scores has no exchange, so texts stay where they are read."""
+    docs = spark.createDataFrame([(i, "t", f"{'rose' if i % 3 else 'fell'} w{i % 7}") for i in range(300)] + [(7, "t", "again"), (900, None, None)], "id long, title string, content string")
+    labels = spark.createDataFrame([(i, 1.0 if i % 3 else 2.0) for i in range(0, 300, 2)] + [(7, None), (5000, 1.0)], "id long, label double")
+    beside = learned.scored(docs.join(labels, "id", "left"))
+    apart = learned.scored(docs, labels=labels)
+    assert "Exchange" not in apart._jdf.queryExecution().executedPlan().toString()
+    by = lambda rows: sorted((r.id, r.fold, round(r.pos, 6), round(r.neg, 6)) for r in rows.collect())
+    a, b = by(apart), by(beside)
+    assert len(a) == 302 and [x[:2] for x in a] == [x[:2] for x in b] and np.allclose(np.array(a), np.array(b), atol=2e-6)
+
+
+def test_what_is_fitted_on_is_bounded(spark):
+    """Of 3,000 labelled documents a model is fitted on about 300 of other folds; no more texts than any model needs are kept."""
+    docs = spark.range(3000).selectExpr("id", "'t' AS title", "concat('w', id % 9) AS content")
+    labels = spark.range(3000).selectExpr("id", "1.0 + id % 2 AS label").withColumn("label", F.col("label").cast("double"))
+    rows, below = learned.examples(docs, labels, 3, 300)
+    for fold in range(3):
+        assert 200 < rows.where((F.col("fold") != fold) & (F.col("place") < below[fold])).count() < 400
+    assert rows.count() < 600
