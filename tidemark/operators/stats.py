@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions import windows as W
 from tidemark.operators import indicators, ranks
+from tidemark.operators.rank_products import rank_products
 from tidemark.sources.shared import written
 
 HORIZONS = {"ret_next": 1, "ret_5": 5, "ret_14": 14, "ret_30": 30}
@@ -144,33 +145,15 @@ def regimes(rows: DataFrame) -> DataFrame:
 def spearman(rows: DataFrame) -> DataFrame:
     """regime, a, b, rho of signed rows: rank correlations of bias and all returns with each other; ties have their mean rank.
 
-    A value's rank, of all rows and of those of either regime, follows from how many rows have a smaller one: values are
-    counted, and the counts summed over ranges of values, so no window holds all rows. An id of rows that are kept is used;
-    other rows are written with one.
+    Values are rounded, as sums of doubles may differ in the last bits when made again, so that ties stay ties.
     """
-    names, counted = ["bias", *HORIZONS], ("OVERALL", "POSITIVE", "NEGATIVE")
-    # sums of doubles may differ in the last bits when made again: values are rounded, so that ties stay ties, and kept
-    if "id" not in rows.columns:
-        rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "ranked-values")
-    rows = rows.select("regime", "id", *[F.round(c, 9).alias(c) for c in names])
-    long = rows.select("regime", "id", F.posexplode(F.array(*names)).alias("k", "value"))
-    counts = long.groupBy("k", "value").agg(F.count("*").alias("OVERALL"), *[F.count_if(F.coalesce(F.col("regime") == r, F.lit(False))).alias(r) for r in counted[1:]])
-    placed = ranks.positions(counts, ["k"], counted)
-    rank = {r: F.col(f"before_{r}") + (F.col(r) + 1) / 2 for r in counted}
-    ranked = placed.select("k", "value", *[rank[r].alias(f"rank_{r}") for r in counted])
-    own = F.when(F.col("regime") == "POSITIVE", F.col("rank_POSITIVE")).when(F.col("regime") == "NEGATIVE", F.col("rank_NEGATIVE"))
-    each = long.join(ranked, ["k", "value"]).select("id", "regime", "k", F.col("rank_OVERALL").alias("all"), own.alias("own"))
-    of = lambda c: [F.max(F.when(F.col("k") == i, F.col(c))).alias(f"{c}_{i}") for i in range(len(names))]
-    # dealt before they are grouped: a row of five ranks is no smaller than the five
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wide = each.repartition(parts, "id").groupBy("id").agg(F.max("regime").alias("regime"), *of("all"), *of("own"))
-    ranks_of = lambda regime, c: F.struct(regime.alias("regime"), *[F.col(f"{c}_{i}").alias(str(i)) for i in range(len(names))])
-    both = wide.select(F.explode(F.array(ranks_of(F.lit("OVERALL"), "all"), ranks_of(F.col("regime"), "own"))).alias("x")).select("x.*").where("regime is not null")
-    rho = lambda i, j: F.try_divide(F.covar_pop(str(i), str(j)), F.stddev_pop(str(i)) * F.stddev_pop(str(j)))
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    found = both.groupBy("regime").agg(*[rho(i, j).alias(f"{i}_{j}") for i, j in pairs])
-    cells = [F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"{min(i, j)}_{max(i, j)}").alias("rho")) for i in range(len(names)) for j in range(len(names))]
-    return found.select("regime", F.explode(F.array(*cells)).alias("x")).select("regime", "x.*")
+    names, regime = ["bias", *HORIZONS], ["OVERALL", "POSITIVE", "NEGATIVE"]
+    kind = F.when(F.col("regime") == "POSITIVE", 1).when(F.col("regime") == "NEGATIVE", 2).otherwise(0)
+    found = rank_products(rows.select(kind.alias("kind"), *[F.round(c, 9).alias(c) for c in names]), names)
+    size = lambda i: F.sqrt(f"{i}_{i}")
+    rho = lambda i, j: F.try_divide(F.col(f"{min(i, j)}_{max(i, j)}"), size(i) * size(j))
+    cells = [F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), rho(i, j).alias("rho")) for i in range(len(names)) for j in range(len(names))]
+    return found.select(F.element_at(F.array(*map(F.lit, regime)), F.col("kind") + 1).alias("regime"), F.explode(F.array(*cells)).alias("x")).select("regime", "x.*")
 
 
 def panel(rows: DataFrame) -> DataFrame:

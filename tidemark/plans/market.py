@@ -64,7 +64,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make() -> DataFrame:
-        return stats.ahead(stats.study_rows(norm(spark, sf_dir), T.companies(spark, sf_dir))).withColumn("id", F.monotonically_increasing_id())
+        return stats.ahead(stats.study_rows(norm(spark, sf_dir), T.companies(spark, sf_dir)))
 
     rows = kept(spark, sf_dir, "returns", INDEXED, make)
     return stats.signed(rows, kept(spark, sf_dir, "tails", INDEXED, lambda: stats.tails(rows)))
