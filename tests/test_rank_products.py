@@ -1,4 +1,4 @@
-"""Rank correlations by blocks of rows and ranges of values, which shuffle no rows."""
+"""Rank correlations and percentiles by blocks of rows, ranges and bins of values, which shuffle no rows."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import rank_products, stats
+from tidemark.operators import bias, rank_products, ranks, stats
 
 NAMES = ["bias", *stats.HORIZONS]
 
@@ -69,6 +69,35 @@ def test_rows_are_not_shuffled(spark, tmp_path):
     assert shuffled(spark, lambda: stats.spearman(rows).collect()) < 50 * n
 
 
+def test_percentiles_shuffle_few_values(spark, tmp_path):
+    """Of values that hardly repeat, each was shuffled three times and written for a percentile."""
+    n = 200_000
+    spark.range(n).select(F.sin("id").alias("bias_score"), F.cos("id").alias("ret_next"), F.when(F.col("id") % 2 == 0, "POSITIVE").otherwise("NEGATIVE").alias("sign")).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    assert shuffled(spark, lambda: stats.tails(rows).collect()) < 10 * n
+    assert shuffled(spark, lambda: bias.scale_of(rows).collect()) < 20 * n
+
+
+def test_percentiles_of_odd_values(spark):
+    """Values that aren't finite, far apart or next to each other, some of them often, in a group without name, and groups of one value or none."""
+    nan, inf = float("nan"), float("inf")
+    values = {
+        None: [-inf, -inf, -1.7e308, -1.0, -0.0, 0.0, 5e-324, 1e-323, 1.0, 1.0000000000000002, 1.0000000000000004, 1.7e308, inf, nan, nan],
+        "x": [inf, nan], "y": [2.5], "z": [None], "w": [-1.7e308, 0.5, 0.5, 0.5, 0.5, 1.7e308], "v": [1e15, *(i / 7 for i in range(500))],
+    }
+    rows = spark.createDataFrame([(g, x, 1 + i % 3) for g, own in values.items() for i, x in enumerate(own)], "g string, value double, n int").repartition(3)
+    wanted = {f"p{i}": i / 20 for i in range(21)}
+    found = {r.g: r for r in ranks.percentiles(rows, ["g"], wanted).collect()}
+    assert set(found) == set(values) - {"z"}
+    for g, r in found.items():
+        every = sorted((x for i, x in enumerate(values[g]) for _ in range(1 + i % 3)), key=lambda x: (x != x, x))
+        for name, p in wanted.items():
+            at = (len(every) - 1) * p
+            low, high = every[int(np.floor(at))], every[int(np.ceil(at))]
+            want = low if low == high else (np.ceil(at) - at) * low + (at - np.floor(at)) * high
+            assert r[name] == want or (r[name] != r[name] and want != want), (g, name)
+
+
 def test_numbers_come_back():
     values = np.array([-np.inf, -1e300, -2.5, -1e-9, 0.0, 1e-9, 0.1, 4e6, 1e300, np.inf, np.nan])
     for own in (values, values[2:8], values[:0]):

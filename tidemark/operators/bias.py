@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import ranks
-from tidemark.sources.shared import placed, written
+from tidemark.sources.shared import placed, stable
 
 #: The reach of the largest outlet, days looked back, floor of the scale.
 MOST_FOLLOWERS, DAYS_BACK, LEAST_SCALE = 41_000_000, 14, 1e-6
@@ -45,13 +45,13 @@ def raw_index(bars: DataFrame, articles: DataFrame, outlets: DataFrame, short: b
 
 def scale_of(raw: DataFrame) -> DataFrame:
     """One row: s, the floored median absolute deviation, and p, the 99th percentile of the absolute score (or what stands in for it)."""
-    one = F.lit(1).alias("one")
-    scores = written(raw.where("bias_score is not null").groupBy(F.col("bias_score").alias("value")).agg(F.count("*").alias("n")), "scores")
-    median = ranks.percentiles(scores.select(one, "value", "n"), ["one"], {"median": 0.5}).select("median")
-    size = F.abs("value")
-    dev = scores.crossJoin(F.broadcast(median)).select(one, F.abs(F.col("value") - F.col("median")).alias("value"), "n")  # the median is one row
+    one, size = F.lit(1).alias("one"), F.abs("value")
+    rows = stable(raw if hasattr(raw, "written_to") else raw.select("bias_score"), "scores").where("bias_score is not null")
+    scores = rows.select(one, F.col("bias_score").alias("value"), F.lit(1).alias("n"))
+    median = ranks.percentiles(scores, ["one"], {"median": 0.5}).select("median")
+    dev = scores.crossJoin(F.broadcast(median)).select("one", F.abs(F.col("value") - F.col("median")).alias("value"), "n")  # the median is one row
     mad = ranks.percentiles(dev, ["one"], {"mad": 0.5})
-    p99 = ranks.percentiles(scores.select(one, size.alias("value"), "n"), ["one"], {"p99": 0.99})
+    p99 = ranks.percentiles(scores.withColumn("value", size), ["one"], {"p99": 0.99})
     found = scores.agg(one, F.max(size).alias("most")).join(mad, "one", "left").join(p99, "one", "left")  # one row each
     return found.select(F.greatest("mad", F.lit(LEAST_SCALE)).alias("s"), F.when(F.col("p99") > 0, F.col("p99")).otherwise(F.col("most") + LEAST_SCALE).alias("p"))
 

@@ -1,11 +1,12 @@
-"""Exact positions and percentiles of values, by sums over ranges of values: no task holds all of them."""
+"""Exact positions and percentiles of values, by sums over ranges or bins of values: no task holds all of them."""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.shared import written
@@ -32,22 +33,62 @@ def positions(counts: DataFrame, by: list[str], counted: tuple[str, ...] = ("n",
     return found.select(*by, "value", *counted, *[(F.col(f"start_{n}") + F.col(f"within_{n}")).alias(name) for n, name in zip(counted, names, strict=True)])
 
 
+#: Bins by which values are counted at once.
+BINS = 1 << 12
+
+
 def percentiles(counts: DataFrame, by: list[str], wanted: dict[str, float]) -> DataFrame:
-    """by and a column for each wanted percentile, interpolated as by F.percentile; null values don't count. counts: by, value, n; values may repeat."""
-    counts = counts.where("value is not null").groupBy(*by, "value").agg(F.sum("n").alias("n"))
-    placed = positions(counts, by)
-    totals = placed.groupBy(*by).agg(F.sum("n").alias("total"))
-    placed = placed.join(F.broadcast(totals), by)  # a row for each group
-    columns = []
-    for name, p in wanted.items():
-        at = (F.col("total") - 1) * F.lit(float(p))
-        holds = lambda x: F.max(F.when((F.col("before") <= x) & (x < F.col("before") + F.col("n")), F.col("value")))
-        columns += [holds(F.floor(at)).alias(f"{name}_low"), holds(F.ceil(at)).alias(f"{name}_high")]
-    found = placed.groupBy(*by, "total").agg(*columns)
-    for name, p in wanted.items():
-        at, low, high = (F.col("total") - 1) * F.lit(float(p)), F.col(f"{name}_low"), F.col(f"{name}_high")
-        found = found.withColumn(name, F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high))
-    return found.select(*by, *wanted)
+    """by and a column for each wanted percentile, interpolated as by F.percentile; null values don't count. counts: by, value, n; values may repeat.
+
+    Values are counted in bins of equal width from the least to the greatest, then those of the bin where a wanted one stands, until
+    a bin has one value; its ends have bins of their own, so it always gets narrower. So hardly anything is shuffled, but counts is
+    read some four times, and must be the same each time. There are few groups: their bounds are in the driver.
+    """
+    rows = counts.where("value is not null").select(*by, (F.col("value") + F.lit(0.0)).alias("value"), "n")  # no negative zero
+    finite = F.when(F.abs("value") < math.inf, F.col("value"))
+    groups = rows.groupBy(*by).agg(F.sum("n").alias("n"), F.min(finite).alias("low"), F.max(finite).alias("high")).collect()
+    places = {(g, name): (r["n"] - 1) * float(p) for g, r in enumerate(groups) for name, p in wanted.items()}
+    # group, number of the wanted row: its number within a cell, the cell's bounds
+    ahead = {(g, x): (x, groups[g]["low"], groups[g]["high"]) for (g, _), at in places.items() for x in (math.floor(at), math.ceil(at))}
+    found, first = {}, True
+    while ahead:
+        cells = list(dict.fromkeys((g, low, high) for (g, _), (_, low, high) in ahead.items()))
+        here = [reduce(and_, [F.col(c).eqNullSafe(F.lit(groups[g][c])) for c in by]) for g, _, _ in cells]
+        if not first:
+            here = [x & F.col("value").between(low, high) for x, (_, low, high) in zip(here, cells, strict=True)]
+        inside = lambda values: F.coalesce(*[F.when(x, value) for x, value in zip(here, values, strict=True)])
+        bins = rows.select(inside([F.lit(i) for i in range(len(cells))]).alias("cell"), inside([_bin(low, high) for _, low, high in cells]).alias("bin"), "value", "n").where("cell is not null")
+        bins = bins.groupBy("cell", "bin").agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))  # BINS + 5 rows at most for each cell
+        before = F.sum("n").over(Window.partitionBy("cell").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+        bins = bins.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("one", F.col("low") == F.col("high"))
+        holds = lambda cell, x: (F.col("cell") == cell) & (F.col("before") <= x) & (F.lit(x) < F.col("before") + F.col("n"))
+        hits = bins.where(reduce(or_, [holds(cells.index((g, low, high)), x) for (g, _), (x, low, high) in ahead.items()])).collect()
+        rest = {}
+        for (g, at), (x, low, high) in ahead.items():
+            hit = next(r for r in hits if cells[r["cell"]] == (g, low, high) and r["before"] <= x < r["before"] + r["n"])
+            if hit["one"]:
+                found[g, at] = hit["low"]
+            else:
+                rest[g, at] = (x - hit["before"], hit["low"], hit["high"])
+        ahead, first = rest, False
+    out = []
+    for g, r in enumerate(groups):
+        row = [r[c] for c in by]
+        for name in wanted:
+            at = places[g, name]
+            low, high = found[g, math.floor(at)], found[g, math.ceil(at)]
+            row.append(low if low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high)
+        out.append(tuple(row))
+    types = dict(rows.dtypes)
+    return counts.sparkSession.createDataFrame(out, ", ".join([*(f"`{c}` {types[c]}" for c in by), *(f"`{c}` double" for c in wanted)]))
+
+
+def _bin(low: float | None, high: float | None) -> Column:
+    """The bin of value between finite bounds, in order of values; the bounds and what isn't finite have their own."""
+    value, low, high = F.col("value"), F.lit(low).cast("double"), F.lit(high).cast("double")
+    share = F.try_divide(value / 2 - low / 2, high / 2 - low / 2)  # halves don't overflow
+    special = F.when(value == -math.inf, -2).when(F.isnan(value), BINS + 3).when(value == math.inf, BINS + 2).when(value <= low, -1).when(value >= high, BINS + 1)
+    return special.otherwise(F.coalesce(F.floor(share * BINS), F.lit(0)))
 
 
 #: Hex digits by which rows are counted at once, and rows that one task may sort.

@@ -13,7 +13,7 @@ from tidemark.functions import text as X
 from tidemark.functions import windows as W
 from tidemark.operators import indicators, ranks
 from tidemark.operators.rank_products import rank_products
-from tidemark.sources.shared import written
+from tidemark.sources.shared import stable, written
 
 HORIZONS = {"ret_next": 1, "ret_5": 5, "ret_14": 14, "ret_30": 30}
 #: Names of what is reported.
@@ -127,7 +127,7 @@ def ahead(rows: DataFrame) -> DataFrame:
 
 def tails(rows: DataFrame) -> DataFrame:
     """sign, low, high: the bounds of the tails of ret_next, of rows as ahead() gives them."""
-    counts = rows.groupBy("sign", F.col("ret_next").alias("value")).agg(F.count("*").alias("n"))
+    counts = stable(rows, "returns").select("sign", F.col("ret_next").alias("value"), F.lit(1).alias("n"))
     return ranks.percentiles(counts, ["sign"], {"low": 0.01, "high": 0.99})
 
 

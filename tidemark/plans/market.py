@@ -90,7 +90,7 @@ def bias_saturation(spark, sf_dir):
     """Mean, deviation, outliers beyond two of them, clamped and nearly clamped rows, the least raw score of these, the raw scores' 99th percentile."""
     rows = norm(spark, sf_dir).select("bias_score", "norm_bias_score")
     two = rows.agg(F.avg("norm_bias_score").alias("mean"), F.stddev_samp("norm_bias_score").alias("dev"))
-    sizes = rows.groupBy(F.lit(1).alias("one"), F.abs("bias_score").alias("value")).agg(F.count("*").alias("n"))
+    sizes = rows.select(F.lit(1).alias("one"), F.abs("bias_score").alias("value"), F.lit(1).alias("n"))
     p_ref = ranks.percentiles(sizes, ["one"], {"p_ref": 0.99}).select("p_ref")
     x = F.col("norm_bias_score")
     found = rows.crossJoin(F.broadcast(two)).groupBy("mean", "dev").agg(  # one row
