@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import bias, rank_products, ranks, stats
+from tidemark.plans import market
+from tidemark.sources import tables as T
 
 NAMES = ["bias", *stats.HORIZONS]
 
@@ -98,6 +103,19 @@ def test_percentiles_of_odd_values(spark):
             assert r[name] == want or (r[name] != r[name] and want != want), (g, name)
 
 
+def test_tasks_are_dealt_so_many_lines(spark, tmp_path, monkeypatch):
+    """However few shuffle partitions there are, a task sorts a bounded number of rows of bars and index."""
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, market.rounded(market.raw(spark, sf)).collect()))
+    monkeypatch.setattr(T, "DEALT", 500)
+    os.symlink(sf, tmp_path / "same")
+    bars, raw = T.bars(spark, f"{tmp_path}/same"), market.raw(spark, f"{tmp_path}/same")
+    assert bars.buckets == raw.buckets == 12
+    index = bias.raw_index(bars, T.articles(spark, sf), T.outlets(spark, sf), True)
+    assert set(re.findall(r"hashpartitioning\(\w+#\w+, (\d+)\), REPARTITION|hashpartitioning\(ticker#\w+, (\d+)\), ENSURE", index._jdf.queryExecution().executedPlan().toString())) == {("12", "")}
+    assert sorted(map(tuple, market.rounded(raw).collect())) == want
+
+
 def test_numbers_come_back():
     values = np.array([-np.inf, -1e300, -2.5, -1e-9, 0.0, 1e-9, 0.1, 4e6, 1e300, np.inf, np.nan])
     for own in (values, values[2:8], values[:0]):

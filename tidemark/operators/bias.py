@@ -25,7 +25,7 @@ def raw_index(bars: DataFrame, articles: DataFrame, outlets: DataFrame, short: b
 
     Articles of unknown outlets don't count. Days without a bar don't matter. Articles are summed by day before any window, so that a frame holds 30 rows at
     most however many articles a day has; bars stand in the window beside them, as days without sentiment, so that nothing is joined.
-    Bars that stand in buckets by ticker stay there, and what is summed comes to them; short: before it is summed, which is less
+    Where bars stand in buckets by ticker, as many tasks get both, and what is summed comes to them; short: before it is summed, which is less
     to shuffle where a day has few articles, but brings all articles of a security to one task.
     """
     own = articles.join(outlets.select(F.col("id").alias("outlet_id"), "avg_followers"), "outlet_id")
@@ -38,6 +38,8 @@ def raw_index(bars: DataFrame, articles: DataFrame, outlets: DataFrame, short: b
         daily = daily.repartition(buckets, "ticker")
     kept = F.struct(*[c for c in bars.columns if c not in ("ticker", "date")])
     days = bars.select("ticker", "date", F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"), kept.alias("bar")).unionByName(daily, allowMissingColumns=True)
+    if buckets:
+        days = days.repartition(buckets, "ticker")  # a union isn't known to be dealt so
     frame = Window.partitionBy("ticker").orderBy(F.unix_date("date")).rangeBetween(-DAYS_BACK, 0)
     scored = days.select("ticker", "date", "bar", F.sum("s").over(frame).alias("bias_score"), F.sum("n").over(frame).alias("n_articles"))
     return placed(scored.where("bar is not null").select("ticker", "date", "bar.*", "bias_score", "n_articles"), buckets)
